@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.functions.columns import let
 from pagemill.functions.html_tree import PageTree
 
 NODE_TYPE = T.StructType(
@@ -188,19 +189,22 @@ def text_slice(text: Column, start: Column, stop: Column) -> Column:
 
 def text_without(text: Column, node: Column, cut: Column) -> Column:
     """Text of ``node`` without the elements of ``cut`` that lie strictly inside it (``cut`` in document order)."""
-    inner = F.filter(cut, lambda r: (r["i"] > node["i"]) & (r["i"] <= node["last"]))
-    kept = F.aggregate(
-        inner,
-        F.struct(node["start"].alias("pos"), F.lit("").alias("out")),
-        lambda acc, r: F.when(
-            r["start"] >= acc["pos"],
-            F.struct(
-                r["stop"].alias("pos"),
-                F.concat(acc["out"], text_slice(text, acc["pos"], r["start"])).alias("out"),
-            ),
-        ).otherwise(acc),
-        lambda acc: F.concat(acc["out"], text_slice(text, acc["pos"], node["stop"])),
-    )
-    return F.when(F.exists(cut, lambda r: (r["i"] > node["i"]) & (r["i"] <= node["last"])), kept).otherwise(
-        text_slice(text, node["start"], node["stop"])
+
+    def joined(inner: Column) -> Column:
+        kept = F.aggregate(
+            inner,
+            F.struct(node["start"].alias("pos"), F.lit("").alias("out")),
+            lambda acc, r: F.when(
+                r["start"] >= acc["pos"],
+                F.struct(
+                    r["stop"].alias("pos"),
+                    F.concat(acc["out"], text_slice(text, acc["pos"], r["start"])).alias("out"),
+                ),
+            ).otherwise(acc),
+            lambda acc: F.concat(acc["out"], text_slice(text, acc["pos"], node["stop"])),
+        )
+        return F.when(F.size(inner) == 0, text_slice(text, node["start"], node["stop"])).otherwise(kept)
+
+    return F.when(F.size(cut) == 0, text_slice(text, node["start"], node["stop"])).otherwise(
+        let(F.filter(cut, lambda r: (r["i"] > node["i"]) & (r["i"] <= node["last"])), joined)
     )
