@@ -217,6 +217,16 @@ def _resolved(base: Column, ref: Column) -> Column:
     return F.concat(scheme, colon, mark, authority, path, query, fragment)
 
 
+def _resolve(base: Column, ref: Column) -> Column:
+    return F.when(
+        _is_valid(ref),
+        F.when(
+            _is_opaque(ref),
+            F.concat(ref["scheme"], F.lit(":"), ref["path"], ref["query"], _legal_fragment(ref["fragment"])),
+        ).otherwise(_resolved(base, ref)),
+    )
+
+
 def resolve_url(base: Column, ref: Column) -> Column:
     """Absolute URL of ``ref`` seen from ``base`` (RFC 3986 section 5); NULL if either is not valid.
 
@@ -225,16 +235,28 @@ def resolve_url(base: Column, ref: Column) -> Column:
     """
     return let(
         F.struct(_split(base).alias("b"), _split(ref).alias("r")),
-        lambda u: F.when(
-            _is_valid(u["b"]) & _is_valid(u["r"]),
-            F.when(
-                _is_opaque(u["r"]),
-                F.concat(u["r"]["scheme"], F.lit(":"), u["r"]["path"], u["r"]["query"], _legal_fragment(u["r"]["fragment"])),
-            ).otherwise(_resolved(u["b"], u["r"])),
-        ),
+        lambda u: F.when(_is_valid(u["b"]), _resolve(u["b"], u["r"])),
     )
 
 
+def resolve_hrefs(base: Column, links: Column) -> Column:
+    """``array<struct<ord, href>>`` to ``array<struct<ord, href, url>>``; the base is taken apart once, links that
+    do not resolve are left out."""
+
+    def resolved(b: Column) -> Column:
+        with_url = F.transform(
+            links,
+            lambda x: F.struct(
+                x["ord"].alias("ord"),
+                x["href"].alias("href"),
+                let(_split(x["href"]), lambda r: _resolve(b, r)).alias("url"),
+            ),
+        )
+        return F.when(_is_valid(b), F.filter(with_url, lambda x: x["url"].isNotNull()))
+
+    return let(_split(base), resolved)
+
+
 def hostname_suffixes(hostname: Column, lengths: list[int]) -> Column:
     """The endings of ``hostname`` that have one of the given lengths."""
     return F.filter(

@@ -11,20 +11,25 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.extract import extract_links, page_view
 from pagemill.functions.nodes import html_nodes
-from pagemill.functions.urls import hostname_suffixes, resolve_url, url_hostname
+from pagemill.functions.urls import hostname_suffixes, resolve_hrefs, url_hostname
 from pagemill.operators.joins import BROADCAST_BYTES, ROWS_PER_KEY, lookup_join
 
 
 def page_links(pages: DataFrame, selectors: Sequence[str] = ()) -> DataFrame:
     """One row per link to follow: ``src_url, ord, href, url`` with ``url`` absolute. Links that do not resolve
-    are dropped. Only url and html are read; each page is parsed once."""
+    are dropped. Only url and html are read; each page is parsed once.
+
+    URLs are resolved inside the page row, before the links become rows: a filter on ``url`` then reads a finished
+    value instead of resolving it again.
+    """
     dom = pages.select("url", html_nodes(F.col("html")).alias("dom"))
-    links = dom.select(
-        F.col("url").alias("src_url"),
-        F.inline(extract_links(page_view(F.col("dom"), selectors))),
-    )
-    resolved = links.withColumn("url", resolve_url(F.col("src_url"), F.col("href")))
-    return resolved.filter(F.col("url").isNotNull())
+    return link_rows(dom.select("url", page_view(F.col("dom"), selectors).alias("page")))
+
+
+def link_rows(parsed: DataFrame) -> DataFrame:
+    """Link rows of parsed pages (columns ``url`` and ``page``)."""
+    hrefs = resolve_hrefs(F.col("url"), extract_links(F.col("page")))
+    return parsed.select(F.col("url").alias("src_url"), F.inline(hrefs))
 
 
 def same_host(links: DataFrame, base: str = "src_url", link: str = "url") -> DataFrame:

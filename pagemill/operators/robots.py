@@ -94,7 +94,7 @@ def is_allowed(path: Column, rules: Column) -> Column:
     hit = F.filter(
         rules,
         lambda r: F.when(r["regex"].isNull(), path.startswith(r["pattern"])).otherwise(
-            path.startswith(r["prefix"]) & path.rlike(r["regex"])
+            path.startswith(r["prefix"]) & F.rlike(path, r["regex"])
         ),
     )
     best = F.array_max(F.transform(hit, lambda r: F.struct(F.octet_length(r["pattern"]).alias("n"), r["allow"].alias("allow"))))

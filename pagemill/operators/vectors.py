@@ -242,7 +242,7 @@ def ivf_assign(vectors: DataFrame, model, vector_col: str = "vector") -> DataFra
     return assigned.drop("_features")
 
 
-def _centroid_table(spark, model) -> DataFrame:
+def centroid_table(spark, model) -> DataFrame:
     rows = [(n, [float(x) for x in c]) for n, c in enumerate(model.clusterCenters())]
     return spark.createDataFrame(rows, "id int, vector array<double>")
 
@@ -265,7 +265,7 @@ def knn_ivf(
     spark = assigned.sparkSession
     q = _prepared(queries, id_col, vector_col, ("query_id", "query_vector"))
     probes = knn(
-        _centroid_table(spark, model),
+        centroid_table(spark, model),
         q.select(F.col("query_id").alias("id"), F.col("query_vector").alias("vector")),
         nprobe,
         metric,
