@@ -16,6 +16,7 @@ import checks as C  # noqa: E402
 from oracle import oracle_sql  # noqa: E402, F401
 from pagemill.functions import embed as E  # noqa: E402
 from pagemill.functions import extract as X  # noqa: E402
+from pagemill.functions.models import count_model  # noqa: E402
 from pagemill.functions.nodes import first_node, html_nodes, select_nodes  # noqa: E402
 from pagemill.functions.text import clean_text, content_hash  # noqa: E402
 from pagemill.functions.urls import url_parts  # noqa: E402
@@ -323,19 +324,8 @@ def q_embed_dummy(spark, sf_dir):
     return rows.select("doc_id", "i", F.round(F.col("v").cast("double"), 5).alias("v"))
 
 
-def _count_model():
-    """A small model: thousands of bytes, words, digits."""
-
-    def model(texts):
-        return [
-            (len(t.encode()) / 1000.0, t.count(" ") + 1, sum("0" <= c <= "9" for c in t)) for t in texts
-        ]
-
-    return model
-
-
 def q_embed_with(spark, sf_dir):
-    E.register_embedder("counts", _count_model)
+    E.register_embedder("counts", count_model)
     embed = E.text_embedder("Counts", 3)
     v = F.col("v")
     docs = _table(spark, sf_dir, "documents").select("doc_id", embed(F.col("text")).alias("v"))
