@@ -45,7 +45,7 @@ EXCLUDED = ["example.org", "farm.example.net"]
 AD_PATTERNS = [r"/(?P<word>[Tt]he)", "q=1", "%C3%BC", "/[[:upper:]][[:lower:]]$"]
 # the same for a regular expression engine without the named group
 AD_PATTERNS_SQL = [r"/([Tt]he)", "q=1", "%C3%BC", "/[[:upper:]][[:lower:]]$"]
-LIMITS = {"url": 40, "html_source": 10_000, "main_content": 6_000, "title": 50, "language": 0}
+LIMITS = {"url": 60, "html_source": 20_000, "main_content": 8_000, "title": 70, "language": 0}
 EMBED_DIM = 64
 KNN_K = 5
 MAX_DEPTH = 3

@@ -56,6 +56,7 @@ OPTIONAL_END = {
 SPACE = "\t\n\f\r "
 # ------------------------------------------------------------------------------------------------------
 
+_MARKUP = re.compile(r"<[a-zA-Z/!?]")
 _NAME = re.compile(r"[a-zA-Z][^\t\n\f\r />]*+")
 _ATTR = re.compile(
     r"""[\t\n\f\r /]*+([^\t\n\f\r />][^\t\n\f\r />=]*+)"""
@@ -120,7 +121,10 @@ class PageTree:
 
     def _find_open(self, tags, stop) -> int:
         """Depth of the innermost open element in ``tags``, not looking past ``stop``; -1 if none."""
-        if not any(self.open.get(t) for t in tags):
+        for tag in tags:
+            if self.open.get(tag):
+                break
+        else:
             return -1
         for depth in range(len(self.stack) - 1, -1, -1):
             tag = self.rows[self.stack[depth] - 1][1]
@@ -211,6 +215,9 @@ class PageTree:
                    (self_closing and tag in ("svg", "math")))
 
     def _end(self, tag: str) -> None:
+        if self.stack and self.rows[self.stack[-1] - 1][1] == tag and tag not in ("html", "head", "body"):
+            self._close_to(len(self.stack) - 1)  # the usual case
+            return
         if tag in ("html", "head", "body"):
             return
         if tag == "br" or (tag == "p" and self._find_open(("p",), BUTTON_SCOPE) < 0):
@@ -235,18 +242,15 @@ class PageTree:
             html = html.replace("\r\n", "\n").replace("\r", "\n")
         pos, end = 0, len(html)
         while pos < end:
-            lt = html.find("<", pos)
-            while 0 <= lt < end - 1 and not (html[lt + 1].isascii() and (html[lt + 1].isalpha() or html[lt + 1] in "/!?")):
-                lt = html.find("<", lt + 1)
-            if lt < 0 or lt == end - 1:
-                lt = end
+            m = _MARKUP.search(html, pos)
+            lt = m.start() if m else end
             if lt > pos:
                 chunk = html[pos:lt]
                 self._add_text(unescape(chunk) if "&" in chunk else chunk)
             if lt == end:
                 return
             after = html[lt + 1]
-            if html.startswith("<!--", lt):
+            if after == "!" and html.startswith("<!--", lt):
                 if html.startswith(("<!-->", "<!--->"), lt):
                     pos = html.index(">", lt) + 1
                     continue

@@ -41,8 +41,8 @@ def _dom_batch(html: pa.Array) -> pa.Array:
     texts, counts = [], []
     index, last, parent, tags, start, stop = [], [], [], [], [], []
     attr_offsets, keys, values = [0], [], []
-    for page in html:
-        tree = PageTree(page.as_py() or "")
+    for page in html.cast(pa.binary()).to_pylist():
+        tree = PageTree(page.decode("utf-8", "replace") if page else "")
         texts.append(b"".join(tree.text))
         counts.append(len(tree.rows))
         index.extend(range(1, len(tree.rows) + 1))

@@ -94,14 +94,18 @@ def lookup_join(
     how: str = "left",
     max_bytes: int = BROADCAST_BYTES,
     rows_per_key: int = ROWS_PER_KEY,
+    materialized: bool = False,
 ) -> DataFrame:
     """Join ``big`` (any key may be hot) to ``small``.
 
     ``small`` is broadcast when it measures at most ``max_bytes``: no shuffle, so no skew. Beyond that both
     sides are shuffled by key, and keys with more than ``rows_per_key`` rows in ``big`` are split over parts.
-    ``how`` is one of ``inner``, ``left``, ``left_semi``, ``left_anti``.
+    ``how`` is one of ``inner``, ``left``, ``left_semi``, ``left_anti``. ``small`` is computed once, into a
+    checkpoint, unless it is ``materialized`` already; the keys of ``big`` are read twice in the second case.
     """
     on = list(on)
+    if not materialized:
+        small = reliable_checkpoint(small)
     bounded = broadcast_checked(small, max_bytes)
     if bounded is not None:
         return big.join(bounded, on, how)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.extract import extract_links, page_view
 from pagemill.functions.nodes import html_nodes
 from pagemill.functions.urls import hostname_suffixes, resolve_hrefs, url_hostname
-from pagemill.operators.joins import BROADCAST_BYTES, ROWS_PER_KEY, lookup_join
+from pagemill.operators.joins import BROADCAST_BYTES, ROWS_PER_KEY, lookup_join, reliable_checkpoint
 
 
 def page_links(pages: DataFrame, selectors: Sequence[str] = ()) -> DataFrame:
@@ -58,16 +58,17 @@ def not_excluded_domain(
     host = url_hostname(F.col(link))
     if not isinstance(domains, DataFrame):
         return links.filter(~is_excluded(host, domains)) if domains else links
-    listed = domains.select(F.col("domain").alias("_suffix")).distinct()
+    listed = reliable_checkpoint(domains.select(F.col("domain").alias("_suffix")).distinct())
     lengths = sorted(
         r[0] for r in listed.select(F.length("_suffix")).filter(F.length("_suffix") <= 255).distinct().collect()
     )
     if not lengths:
         return links
-    tagged = links.withColumn("_host", host)
+    tagged = reliable_checkpoint(links.withColumn("_host", host))  # read twice below; links may come from parsing
     hosts = tagged.select("_host").distinct()
     endings = hosts.select("_host", F.explode(hostname_suffixes(F.col("_host"), lengths)).alias("_suffix"))
-    hit = lookup_join(endings, listed, ["_suffix"], "left_semi", max_bytes, rows_per_key).select("_host").distinct()
+    hit = lookup_join(endings, listed, ["_suffix"], "left_semi", max_bytes, rows_per_key, materialized=True)
+    hit = hit.select("_host").distinct()
     return lookup_join(tagged, hit, ["_host"], "left_anti", max_bytes, rows_per_key).drop("_host")
 
 

@@ -24,10 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.operators.joins import BROADCAST_BYTES, measured_bytes
+from pagemill.operators.joins import measured_bytes
 
+# Queries to broadcast. Every task answers all of them with up to k rows each, so this also bounds what is
+# shuffled after the scan; it is far below what an executor could hold.
+QUERY_BYTES = 8 << 20
 VECTOR_BLOCK = 200_000
 QUERY_BLOCK = 2_000
+SCORE_CELLS = 4_000_000  # entries of one score matrix inside a task
 
 
 def index_settings(index_type: str = "IVF_FLAT", metric_type: str = "L2") -> tuple[str, str]:
@@ -49,21 +53,22 @@ def _scores(vectors: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
 def _best(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int, metric: str) -> Iterator[tuple]:
     """(query index, ids, scores) of the best k of one batch. A matrix product narrows the candidates; its
     rounding error is far below the slack, and the survivors are scored exactly."""
-    rough = -(vectors @ queries.T)
     vv = (vectors * vectors).sum(axis=1)
     qq = (queries * queries).sum(axis=1)
-    if metric == "L2":
-        rough = vv[:, None] + 2 * rough
-    slack = 1e-9 * (1 + qq + (vv.max() if len(vv) else 0.0))
-    for j in range(len(queries)):
-        column = rough[:, j]
-        if len(column) > k:
-            keep = np.flatnonzero(column <= np.partition(column, k - 1)[k - 1] + slack[j])
-        else:
-            keep = np.arange(len(column))
-        score = _scores(vectors[keep], queries[j], metric)
-        order = np.lexsort((ids[keep], score))[:k]
-        yield j, ids[keep][order], score[order]
+    slack = 1e-9 * (1 + qq + vv.max())
+    step = max(1, SCORE_CELLS // len(vectors))
+    for start in range(0, len(queries), step):
+        rough = -(queries[start : start + step] @ vectors.T)
+        if metric == "L2":
+            rough = vv + 2 * rough
+        for j, row in enumerate(rough, start):
+            if len(row) > k:
+                keep = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + slack[j])
+            else:
+                keep = np.arange(len(row))
+            score = _scores(vectors[keep], queries[j], metric)
+            order = np.lexsort((ids[keep], score))[:k]
+            yield j, ids[keep][order], score[order]
 
 
 class _TopK:
@@ -207,7 +212,7 @@ def knn(
     metric: str = "L2",
     id_col: str = "id",
     vector_col: str = "vector",
-    max_bytes: int = BROADCAST_BYTES,
+    max_bytes: int = QUERY_BYTES,
     vector_block: int = VECTOR_BLOCK,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
@@ -256,7 +261,7 @@ def knn_ivf(
     metric: str = "L2",
     id_col: str = "id",
     vector_col: str = "vector",
-    max_bytes: int = BROADCAST_BYTES,
+    max_bytes: int = QUERY_BYTES,
     vector_block: int = VECTOR_BLOCK,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:

@@ -62,7 +62,7 @@ def crawl_documents(
             own = seeds.select(F.col("url").alias("src_url"), "url", "depth")
             seeds = crawlable_links(own, excluded_domains, ad_patterns).select("url", "depth")
         reached = crawl(seeds, crawlable_links(links, excluded_domains, ad_patterns), max_depth, cap)
-    found = lookup_join(pages, reached, ["url"], "inner")
+    found = lookup_join(pages, reached, ["url"], "inner", materialized=True)
     documents = documents_with_outcome(
         found, content_tags, limits, embed, dimension, drop_empty, extra=["depth"]
     )

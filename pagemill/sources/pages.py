@@ -24,7 +24,7 @@ def read_pages(
         return files.select(
             F.col("path").alias("url"),
             F.lit(200).alias("status"),
-            F.decode("content", "UTF-8").alias("html"),
+            F.col("content").cast("string").alias("html"),
             F.col("modificationTime").alias("fetched_at"),
         )
     reader = spark.read.format(fmt)
