@@ -51,30 +51,37 @@ def crawl(
     """All URLs reached from ``seeds`` (``url, depth``) over ``links`` (``src_url, url``), with their smallest
     depth, depths 0 to ``max_depth``.
 
-    The link table is spread by source once and kept; every round shuffles only the frontier to it. Each round's
-    result is checkpointed, so the lineage stays one round long.
+    The link table is checkpointed and kept spread by source, so every round shuffles only the frontier to it
+    (parts lost with an executor are read back from the checkpoint). Each round's result is checkpointed, so the
+    lineage stays one round long.
     """
     spark = seeds.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = reliable_checkpoint(links.select("src_url", "url"))
     heavy = reliable_checkpoint(heavy_keys(edges, ["src_url"], rows_per_key))
-    edges = reliable_checkpoint(salt_big(edges, heavy, ["src_url"]).repartition(n, "src_url", "_salt"))
+    edges = salt_big(edges, heavy, ["src_url"]).repartition(n, "src_url", "_salt").persist()
+    edges.count()  # the joins below see the partitioning only once the table is there
 
     rounds = [reliable_checkpoint(seeds.groupBy("url").agg(F.min("depth").alias("depth")))]
     for depth in range(max_depth):
-        sources = salt_small(rounds[-1].select(F.col("url").alias("src_url")), heavy, ["src_url"])
-        found = edges.join(sources, ["src_url", "_salt"]).select("url").distinct()
-        seen = reduce(DataFrame.unionByName, rounds).select("url")
-        fresh = found.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth + 1))
+        fresh = _next_round(edges, heavy, rounds).withColumn("depth", F.lit(depth + 1))
         if cap is not None:
             fresh = frontier_limit(fresh, cap)
         fresh = reliable_checkpoint(fresh)
         if fresh.isEmpty():
             break
         rounds.append(fresh)
+    edges.unpersist()
     return reduce(DataFrame.unionByName, rounds)
 
 
+def _next_round(edges: DataFrame, heavy: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    sources = salt_small(rounds[-1].select(F.col("url").alias("src_url")), heavy, ["src_url"])
+    found = edges.join(sources, ["src_url", "_salt"]).select("url").distinct()
+    seen = reduce(DataFrame.unionByName, rounds).select("url")
+    return found.join(seen, "url", "left_anti")
+
+
 def numbered_by_group(df: DataFrame, group: str, order: list[str], rows_per_group: int = ROWS_PER_KEY) -> DataFrame:
     """Exact ``_rn`` = 1, 2, … per group in the given order.
 

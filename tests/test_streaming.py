@@ -1,0 +1,50 @@
+from pyspark.sql import functions as F
+
+from pagemill.plans.documents import to_documents
+from pagemill.schema import PAGE_SCHEMA
+from pagemill.streaming import pages as S
+from tests.test_frontier import site
+
+
+def feed(df, folder):
+    df.select(*[F.col(f.name).cast(f.dataType) for f in PAGE_SCHEMA]).write.mode("append").parquet(folder)
+
+
+def urls(df):
+    return sorted(r["url"] for r in df.collect())
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    feed(site(spark).repartition(3), src)
+    stream = S.stream_documents(S.stream_pages(spark, src, max_files_per_trigger=1), ["article"])
+    S.run_available(stream, out, str(tmp_path / "cp"))
+    want = to_documents(site(spark).filter("status = 200"), ["article"])
+    assert sorted(map(str, spark.read.parquet(out).select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_each_url_passes_once_across_batches_and_restarts(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for delay in (None, "1 day"):
+        out, cp = str(tmp_path / f"out{delay}"), str(tmp_path / f"cp{delay}")
+        for _ in range(2):
+            feed(site(spark).unionByName(site(spark)).repartition(4), src)
+            S.run_available(S.stream_dedup_urls(S.stream_pages(spark, src), delay), out, cp)
+        assert urls(spark.read.parquet(out)) == urls(site(spark))
+
+
+def test_store_is_idempotent_and_keeps_one_document_per_hash(spark, tmp_path):
+    src, root = str(tmp_path / "in"), str(tmp_path / "store")
+    copies = site(spark).withColumn("url", F.concat("url", F.lit("?copy")))
+    feed(site(spark), src)
+    args = dict(content_tags=["article"], limits={"title": 5})
+    documents, rejects = S.stream_store_documents(S.stream_pages(spark, src), root, **args)
+    first = documents.count()
+    assert first == documents.select("hash_id").distinct().count() == 6
+    assert {(r["url"][13:], r["reject_reason"]) for r in rejects.collect()} == {("/gone", "status"), ("/behind", "too_long:title")}
+    # nothing new: nothing changes; the same contents under other URLs: no new documents, but new rejects
+    documents, rejects = S.stream_store_documents(S.stream_pages(spark, src), root, **args)
+    assert (documents.count(), rejects.count()) == (first, 2)
+    feed(copies, src)
+    documents, rejects = S.stream_store_documents(S.stream_pages(spark, src), root, **args)
+    assert (documents.count(), rejects.count()) == (first, 4)
