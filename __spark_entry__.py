@@ -25,7 +25,7 @@ from pagemill.plans.crawl import crawl_documents, outcomes  # noqa: E402
 from pagemill.plans.documents import parsed_pages, to_documents  # noqa: E402
 from pagemill.session import ship_package  # noqa: E402
 from pagemill.sources.documents import write_documents  # noqa: E402
-from pagemill.sources.pages import ok_responses, read_pages, seed_frontier  # noqa: E402
+from pagemill.sources.pages import ok_responses, read_pages, seed_frontier, spread  # noqa: E402
 from pagemill.streaming import pages as S  # noqa: E402
 
 TAGS = ["article"]
@@ -37,8 +37,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The captured pages; a small table comes as one Parquet row group, so it is spread before it is parsed."""
-    return read_pages(spark, f"{sf_dir}/pages.parquet").repartition(spark.sparkContext.defaultParallelism)
+    """The captured pages, spread over the cores where the table is one small file."""
+    return spread(read_pages(spark, f"{sf_dir}/pages.parquet"))
 
 
 def _sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 << 20
-ROWS_PER_KEY = 2_000_000
+ROWS_PER_KEY = 2_000_000  # of narrow rows (URLs, hashes)
+PAGE_ROWS_PER_KEY = 20_000  # of rows that carry a page body
 
 
 def reliable_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:

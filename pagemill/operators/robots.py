@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import url_host, url_path
-from pagemill.operators.joins import BROADCAST_BYTES, ROWS_PER_KEY, lookup_join
+from pagemill.operators.joins import BROADCAST_BYTES, PAGE_ROWS_PER_KEY, lookup_join
 
 
 def _directives(body: Column) -> Column:
@@ -105,7 +105,7 @@ def robots_allowed(
     pages: DataFrame,
     rules: DataFrame,
     max_bytes: int = BROADCAST_BYTES,
-    rows_per_key: int = ROWS_PER_KEY,
+    rows_per_key: int = PAGE_ROWS_PER_KEY,
     url: str = "url",
 ) -> DataFrame:
     """``pages`` with ``allowed``. Only the path is tested, not the query; a host without rules allows all."""

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.operators.joins import measured_bytes
+from pagemill.operators.joins import measured_bytes, reliable_checkpoint
 
 # Queries to broadcast. Every task answers all of them with up to k rows each, so this also bounds what is
 # shuffled after the scan; it is far below what an executor could hold.
@@ -86,8 +86,11 @@ class _TopK:
         self.rows[query] = (ids, scores)
 
     def frame(self, names: list[str]) -> pd.DataFrame:
-        parts = [pd.DataFrame({names[0]: q, names[1]: i, names[2]: s}) for q, (i, s) in self.rows.items()]
-        return pd.concat(parts) if parts else pd.DataFrame({n: [] for n in names})
+        if not self.rows:
+            return pd.DataFrame({n: [] for n in names})
+        ids, scores = zip(*self.rows.values())
+        query = np.repeat(list(self.rows), [len(i) for i in ids])
+        return pd.DataFrame(dict(zip(names, (query, np.concatenate(ids), np.concatenate(scores)))))
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -105,28 +108,34 @@ def _by_cell(cells: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield cell, rows
 
 
-def _search_broadcast(vectors: DataFrame, queries: DataFrame, k: int, metric: str, dim: int, schema) -> DataFrame:
-    local = queries.select("cell", "query_id", "query_vector").toArrow()  # measured by the caller
-    by_cell: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    if local.num_rows:
-        q_ids = local["query_id"].to_numpy()
-        q_matrix = _matrix(local["query_vector"].combine_chunks(), dim)
-        for cell, rows in _by_cell(local["cell"].to_numpy()):
-            by_cell[cell] = (q_ids[rows], q_matrix[rows])
-    shared = vectors.sparkSession.sparkContext.broadcast(by_cell)
+def _search_broadcast(
+    vectors: DataFrame, queries: DataFrame, probes: DataFrame | None, k: int, metric: str, dim: int, schema
+) -> DataFrame:
+    local = queries.toArrow()  # measured by the caller, like the probes
+    q_ids = local["query_id"].to_numpy()
+    q_matrix = _matrix(local["query_vector"].combine_chunks(), dim) if local.num_rows else np.empty((0, dim))
+    if probes is None:
+        rows_of = {0: np.arange(len(q_ids))}
+    else:
+        pairs = probes.toArrow()
+        at = pd.Series(np.arange(len(q_ids)), index=q_ids)
+        rows = at.loc[pairs["query_id"].to_numpy()].to_numpy()
+        rows_of = {cell: rows[which] for cell, which in _by_cell(pairs["cell"].to_numpy())}
+    shared = vectors.sparkSession.sparkContext.broadcast((q_ids, q_matrix, rows_of))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, lists = _TopK(k), shared.value
+        top = _TopK(k)
+        q_ids, q_matrix, rows_of = shared.value
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not len(q_ids):
                 continue
             ids = batch["id"].to_numpy(zero_copy_only=False)
             matrix = _matrix(batch["vector"], dim)
             for cell, rows in _by_cell(batch["cell"].to_numpy(zero_copy_only=False)):
-                if cell in lists:
-                    q, qm = lists[cell]
-                    for j, best, score in _best(ids[rows], matrix[rows], qm, k, metric):
-                        top.add(q[j], best, score)
+                asking = rows_of.get(cell)
+                if asking is not None and len(asking):
+                    for j, best, score in _best(ids[rows], matrix[rows], q_matrix[asking], k, metric):
+                        top.add(q_ids[asking[j]], best, score)
         frame = top.frame([f.name for f in schema])
         yield pa.RecordBatch.from_pandas(frame, schema=_arrow(schema), preserve_index=False)
 
@@ -177,7 +186,14 @@ def _search_blocks(
 
 
 def _search(
-    vectors: DataFrame, queries: DataFrame, k: int, metric: str, max_bytes: int, vector_block: int, query_block: int
+    vectors: DataFrame,
+    queries: DataFrame,
+    probes: DataFrame | None,
+    k: int,
+    metric: str,
+    max_bytes: int,
+    vector_block: int,
+    query_block: int,
 ) -> DataFrame:
     first = queries.select(F.size("query_vector")).first()
     dim = first[0] if first else 1
@@ -189,10 +205,16 @@ def _search(
         ]
     )
     vectors = vectors.filter(F.size("vector") == dim)
-    if measured_bytes(queries) <= max_bytes:
-        partial = _search_broadcast(vectors, queries, k, metric, dim, schema)
+    queries = queries.filter(F.size("query_vector") == dim)
+    size = measured_bytes(queries) + (measured_bytes(probes) if probes is not None else 0)
+    if size <= max_bytes:
+        partial = _search_broadcast(vectors, queries, probes, k, metric, dim, schema)
     else:
-        partial = _search_blocks(vectors, queries, k, metric, dim, schema, vector_block, query_block)
+        if probes is None:
+            asking = queries.select(F.lit(0).alias("cell"), "query_id", "query_vector")
+        else:
+            asking = queries.join(probes, "query_id").select("cell", "query_id", "query_vector")
+        partial = _search_blocks(vectors, asking, k, metric, dim, schema, vector_block, query_block)
     w = Window.partitionBy("query_id").orderBy("score", "id")
     ranked = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     score = F.col("score") if metric == "L2" else -F.col("score")
@@ -218,11 +240,10 @@ def knn(
 ) -> DataFrame:
     """Exact ``k`` nearest vectors of every query: ``query_id, id, score, rank``. Score is the squared distance
     (L2, ascending) or the inner product (IP, descending); ties go to the smaller id. Both tables use
-    ``id_col`` and ``vector_col``."""
-    cell = F.lit(0).alias("cell")
-    v = _prepared(vectors, id_col, vector_col, ("id", "vector")).select(cell, "*")
-    q = _prepared(queries, id_col, vector_col, ("query_id", "query_vector")).select(cell, "*")
-    return _search(v, q, k, metric.upper(), max_bytes, vector_block, query_block)
+    ``id_col`` and ``vector_col``; ids are unique."""
+    v = _prepared(vectors, id_col, vector_col, ("id", "vector")).select(F.lit(0).alias("cell"), "*")
+    q = _prepared(queries, id_col, vector_col, ("query_id", "query_vector"))
+    return _search(v, q, None, k, metric.upper(), max_bytes, vector_block, query_block)
 
 
 def knn_l2(vectors: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
@@ -278,8 +299,28 @@ def knn_ivf(
         vector_block=vector_block,
         query_block=query_block,
     ).select("query_id", F.col("id").alias("cell"))
-    probing = q.join(probes, "query_id").select("cell", "query_id", "query_vector")
+    probes = reliable_checkpoint(probes)  # read by the size check, the grid and the search
     v = assigned.select(
         F.col("list_id").cast("int").alias("cell"), F.col(id_col).alias("id"), F.col(vector_col).alias("vector")
     )
-    return _search(v, probing, k, metric.upper(), max_bytes, vector_block, query_block)
+    return _search(v, q, probes, k, metric.upper(), max_bytes, vector_block, query_block)
+
+
+def search(
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int,
+    index_type: str = "IVF_FLAT",
+    metric_type: str = "L2",
+    nlist: int = 128,
+    nprobe: int = 8,
+    id_col: str = "id",
+    vector_col: str = "vector",
+) -> DataFrame:
+    """Search under the index and metric names of a collection's settings (see `index_settings`)."""
+    index, metric = index_settings(index_type, metric_type)
+    columns = {"id_col": id_col, "vector_col": vector_col}
+    if index == "HNSW":
+        return knn(vectors, queries, k, metric, **columns)
+    model = ivf_train(vectors, nlist, vector_col=vector_col)
+    return knn_ivf(ivf_assign(vectors, model, vector_col), queries, model, k, nprobe, metric, **columns)

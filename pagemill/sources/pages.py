@@ -38,6 +38,13 @@ def read_pages(
     return reader.options(**options).load(path)
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """Spread a table that comes in fewer splits than there are cores (a small file is one split) before it is
+    parsed. A table with enough splits is left alone: nothing is shuffled."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores)
+
+
 def ok_responses(pages: DataFrame) -> DataFrame:
     """Responses with status 200; the filter reaches the scan."""
     return pages.filter(F.col("status") == 200)
