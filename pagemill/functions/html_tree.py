@@ -54,6 +54,9 @@ OPTIONAL_END = {
     "tfoot": (frozenset(["tbody", "thead", "tfoot", "caption", "colgroup"]), TABLE_SCOPE),
 }
 SPACE = "\t\n\f\r "
+# Open elements at most, as browsers limit it. Deeper ones are listed but do not nest; their text stays with the
+# element they are in. It also bounds the work per tag on hostile pages.
+MAX_OPEN = 512
 # ------------------------------------------------------------------------------------------------------
 
 _MARKUP = re.compile(r"<[a-zA-Z/!?]")
@@ -99,6 +102,7 @@ class PageTree:
         self.head = False
         self.body = 0  # row number, 0 while there is none
         self.foreign = 0
+        self.too_deep: dict[str, int] = {}
         self._read(html)
         self._close_to(0)
 
@@ -106,7 +110,11 @@ class PageTree:
     def _push(self, tag: str, attrs: dict, leaf: bool = False) -> None:
         rows, n = self.rows, len(self.rows) + 1
         rows.append([self.stack[-1] if self.stack else 0, tag, attrs, self.size, self.size, n])
-        if not leaf:
+        if leaf:
+            return
+        if len(self.stack) >= MAX_OPEN:
+            self.too_deep[tag] = self.too_deep.get(tag, 0) + 1
+        else:
             self.stack.append(n)
             self.open[tag] = self.open.get(tag, 0) + 1
             self.foreign += tag == "svg" or tag == "math"
@@ -119,6 +127,15 @@ class PageTree:
             self.open[row[1]] -= 1
             self.foreign -= row[1] == "svg" or row[1] == "math"
 
+    def _close_last(self) -> None:
+        """Close the element just added."""
+        if self.stack[-1] == len(self.rows):
+            self._close_to(len(self.stack) - 1)
+        else:
+            row = self.rows[-1]
+            row[4] = self.size
+            self.too_deep[row[1]] -= 1
+
     def _find_open(self, tags, stop) -> int:
         """Depth of the innermost open element in ``tags``, not looking past ``stop``; -1 if none."""
         for tag in tags:
@@ -215,6 +232,9 @@ class PageTree:
                    (self_closing and tag in ("svg", "math")))
 
     def _end(self, tag: str) -> None:
+        if self.too_deep.get(tag):
+            self.too_deep[tag] -= 1
+            return
         if self.stack and self.rows[self.stack[-1] - 1][1] == tag and tag not in ("html", "head", "body"):
             self._close_to(len(self.stack) - 1)  # the usual case
             return
@@ -223,7 +243,7 @@ class PageTree:
         if tag == "br" or (tag == "p" and self._find_open(("p",), BUTTON_SCOPE) < 0):
             self._start(tag, {}, False)
             if tag == "p":
-                self._close_to(len(self.stack) - 1)
+                self._close_last()
         elif tag == "p":
             self._close(("p",), BUTTON_SCOPE)
         elif tag in HEADINGS:
@@ -298,7 +318,7 @@ class PageTree:
                 stop = m.start() if m else end
                 chunk = html[pos:stop]
                 self._append(unescape(chunk) if tag in RCDATA and "&" in chunk else chunk)
-                self._close_to(len(self.stack) - 1)
+                self._close_last()
                 if m is None:
                     return
                 gt = html.find(">", m.end())

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,32 @@ def test_implied_structure():
     assert rows == [("html", 0, 6), ("head", 1, 2), ("body", 1, 6), ("div", 3, 5), ("p", 4, 5), ("p", 3, 6)]
 
 
+def test_deep_nesting_is_bounded_and_balanced():
+    html = "<div>" * 1000 + "deep<script>x</script><p>q</p>" + "</div>" * 1000 + "<article>after</article>"
+    t = PageTree(html)
+    article = next(r for r in t.rows if r[1] == "article")
+    assert b"".join(t.text) == b"deepxqafter"
+    assert article[0] == 3 and text_of(html, "article") == ["after"]
+
+
+def test_random_markup_keeps_ranges_nested():
+    rnd = random.Random(5)
+    tokens = (
+        "<p> </p> <div> </div> <b> </b> <li> <ul> </ul> <table> <tr> <td> </table> <article> </article> <h1> </h2> "
+        "<script> </script> <title> <!-- --> <a/href=x> </a> <br> </br> <svg> <path/> </svg> <body> <html/lang=x> "
+        "</body> <head> </head> text &amp; & < > <option> <select> <template> <textarea> <button> <plaintext> é <td </"
+    ).split()
+    for _ in range(2000):
+        html = "".join(rnd.choice(tokens) for _ in range(rnd.randrange(30)))
+        t = PageTree(html)
+        assert not t.stack and len(b"".join(t.text)) == t.size
+        for i, (up, _, _, start, stop, last) in enumerate(t.rows, 1):
+            assert up < i <= last <= len(t.rows) and 0 <= start <= stop <= t.size, html
+            if up:
+                _, _, _, s, e, to = t.rows[up - 1]
+                assert last <= to and s <= start and stop <= e, html
+
+
 def test_invalid_utf8_page_is_still_parsed(spark, tmp_path):
     from pagemill.sources.pages import read_pages
 
