@@ -31,12 +31,13 @@ AUGMENTED = f"""select page_id, url, {STATUS} as status,
 HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 
-# one robots file per host, its kind by the length of the host name; kind 0 has none
+# one robots file per host, its kind by the length of the host name; kind 0 has no rule
 ROBOTS = f"""select host, case length(host) % 4
+    when 0 then concat('User-agent: *', chr(10), 'Disallow:')
     when 1 then concat('User-agent: *', chr(10), 'Disallow: /fr/')
     when 2 then concat('User-agent: *', chr(10), 'Disallow: /', chr(10), 'Allow: /en/')
     else concat('User-agent: otherbot', chr(10), 'Disallow: /', chr(10), chr(10), 'User-agent: *', chr(10), 'Disallow: /*.html$')
-  end as body from (select distinct {HOST} as host from pages) h where length(host) % 4 <> 0"""
+  end as body from (select distinct {HOST} as host from pages) h"""
 
 # link graph over the page ids: N // 4 -> N, N -> N // 2 and back links to page 0
 GRAPH = """select page_id, cast(floor(page_id / 4) as bigint) as parent, cast(floor(page_id / 2) as bigint) as half, url from pages"""

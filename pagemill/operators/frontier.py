@@ -56,8 +56,9 @@ def crawl(
     lineage stays one round long.
     """
     spark = seeds.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = reliable_checkpoint(links.select("src_url", "url"))
+    # at most rows_per_key rows per part, whatever the session's default is
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // rows_per_key))
     heavy = reliable_checkpoint(heavy_keys(edges, ["src_url"], rows_per_key))
     edges = salt_big(edges, heavy, ["src_url"]).repartition(n, "src_url", "_salt").persist()
     edges.count()  # the joins below see the partitioning only once the table is there

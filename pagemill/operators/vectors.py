@@ -29,7 +29,7 @@ from pagemill.operators.joins import measured_bytes, reliable_checkpoint
 # Queries to broadcast. Every task answers all of them with up to k rows each, so this also bounds what is
 # shuffled after the scan; it is far below what an executor could hold.
 QUERY_BYTES = 8 << 20
-VECTOR_BLOCK = 200_000
+BLOCK_BYTES = 64 << 20  # vectors of one block, in double precision
 QUERY_BLOCK = 2_000
 SCORE_CELLS = 4_000_000  # entries of one score matrix inside a task
 
@@ -192,7 +192,7 @@ def _search(
     k: int,
     metric: str,
     max_bytes: int,
-    vector_block: int,
+    vector_block: int | None,
     query_block: int,
 ) -> DataFrame:
     first = queries.select(F.size("query_vector")).first()
@@ -214,7 +214,8 @@ def _search(
             asking = queries.select(F.lit(0).alias("cell"), "query_id", "query_vector")
         else:
             asking = queries.join(probes, "query_id").select("cell", "query_id", "query_vector")
-        partial = _search_blocks(vectors, asking, k, metric, dim, schema, vector_block, query_block)
+        block = vector_block or max(1, BLOCK_BYTES // (8 * max(dim, 1)))
+        partial = _search_blocks(vectors, asking, k, metric, dim, schema, block, query_block)
     w = Window.partitionBy("query_id").orderBy("score", "id")
     ranked = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     score = F.col("score") if metric == "L2" else -F.col("score")
@@ -235,7 +236,7 @@ def knn(
     id_col: str = "id",
     vector_col: str = "vector",
     max_bytes: int = QUERY_BYTES,
-    vector_block: int = VECTOR_BLOCK,
+    vector_block: int | None = None,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Exact ``k`` nearest vectors of every query: ``query_id, id, score, rank``. Score is the squared distance
@@ -283,7 +284,7 @@ def knn_ivf(
     id_col: str = "id",
     vector_col: str = "vector",
     max_bytes: int = QUERY_BYTES,
-    vector_block: int = VECTOR_BLOCK,
+    vector_block: int | None = None,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Nearest vectors within the ``nprobe`` lists nearest to each query, scored exactly. With all lists probed

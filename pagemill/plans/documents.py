@@ -14,9 +14,11 @@ from pagemill.operators.validate import document_reject_reason, page_reject_reas
 from pagemill.schema import DOCUMENT_SCHEMA
 
 
-def parsed_pages(pages: DataFrame, content_tags: Sequence[str] = ()) -> DataFrame:
-    """``pages`` with ``page``: the main content and the elements the metadata and link functions read."""
-    dom = pages.withColumn("dom", html_nodes(F.col("html")))
+def parsed_pages(pages: DataFrame, content_tags: Sequence[str] = (), usable: Column | None = None) -> DataFrame:
+    """``pages`` with ``page``: the main content and the elements the metadata and link functions read. Rows that
+    are not ``usable`` are kept but not parsed."""
+    body = F.col("html") if usable is None else F.when(usable, F.col("html"))
+    dom = pages.withColumn("dom", html_nodes(body))
     return dom.withColumn("page", X.page_view(F.col("dom"), content_tags)).drop("dom")
 
 
@@ -26,6 +28,7 @@ def to_documents(
     embed: Callable[[Column], Column] | None = None,
     dimension: int | None = None,
     extra: Sequence[str] = (),
+    usable: Column | None = None,
 ) -> DataFrame:
     """One 12-column document per page (plus the ``extra`` input columns). Map-only.
 
@@ -36,7 +39,7 @@ def to_documents(
     stamp = F.col("fetched_at") if "fetched_at" in pages.columns else F.current_timestamp()
     page, url = F.col("page"), F.col("url")
     content = page["main_content"]
-    rows = parsed_pages(pages, content_tags).select(
+    rows = parsed_pages(pages, content_tags, usable).select(
         content_hash(content).alias("hash_id"),
         url,
         F.col("html").alias("html_source"),
@@ -65,32 +68,27 @@ def documents_with_outcome(
     drop_empty: bool = False,
     extra: Sequence[str] = (),
 ) -> DataFrame:
-    """Documents of the usable pages with ``reject_reason``, plus one bare row per page dropped before parsing,
-    so that every captured page is accounted for. ``pages`` may have ``status`` and ``allowed``."""
+    """One row per captured page: the document, or NULLs where the page is dropped before parsing, and
+    ``reject_reason`` (NULL for a document to store). ``pages`` may have ``status`` and ``allowed``.
+
+    One pass over the pages: a dropped page stays in its row and only its body is kept from the parser.
+    """
     have = pages.columns
-    reason = page_reject_reason(
+    early = page_reject_reason(
         F.col("url"),
         F.col("allowed") if "allowed" in have else None,
         F.col("status") if "status" in have else None,
     )
-    tagged = pages.withColumn("reject_reason", reason)
-    good = to_documents(
-        tagged.filter(F.col("reject_reason").isNull()), content_tags, embed, dimension, extra
+    tagged = pages.withColumn("reject_reason", early)
+    docs = to_documents(
+        tagged, content_tags, embed, dimension, [*extra, "reject_reason"], F.col("reject_reason").isNull()
     )
     late = document_reject_reason(limits, dimension)
     if drop_empty:
         late = F.when(F.col("main_content") == "", F.lit("empty_content")).otherwise(late)
-    good = good.withColumn("reject_reason", late)
-    bad = tagged.filter(F.col("reject_reason").isNotNull()).select(
-        F.lit(None).cast("string").alias("hash_id"),
-        "url",
-        F.col("html").alias("html_source"),
-        *[
-            F.lit(None).cast(f.dataType).alias(f.name)
-            for f in DOCUMENT_SCHEMA
-            if f.name not in ("hash_id", "url", "html_source")
-        ],
-        *extra,
-        "reject_reason",
-    )
-    return good.unionByName(bad)
+    kept = ("url", "html_source", "crawled_at")
+    columns = [
+        F.col(c) if c in kept else F.when(F.col("reject_reason").isNull(), F.col(c)).alias(c)
+        for c in DOCUMENT_SCHEMA.names
+    ]
+    return docs.select(*columns, *extra, F.coalesce(F.col("reject_reason"), late).alias("reject_reason"))

@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
-from pagemill.plans.documents import to_documents
+from pagemill.plans.documents import documents_with_outcome, to_documents
 from pagemill.schema import PAGE_SCHEMA
 from pagemill.streaming import pages as S
+from tests.conftest import plan_of
 from tests.test_frontier import site
 
 
@@ -23,6 +24,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, spark.read.parquet(out).select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_rejects_ride_along_in_one_pass(spark, tmp_path):
+    feed(site(spark), str(tmp_path / "in"))
+    pages = spark.read.schema(PAGE_SCHEMA).parquet(str(tmp_path / "in"))
+    routed = documents_with_outcome(pages, ["article"], {"title": 3})
+    plan = plan_of(routed)
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+    gone = routed.filter("reject_reason = 'status'").first()
+    assert gone["hash_id"] is None and gone["title"] is None and gone["url"].endswith("/gone")
+    assert routed.count() == 8
+
+
 def test_each_url_passes_once_across_batches_and_restarts(spark, tmp_path):
     src = str(tmp_path / "in")
     for delay in (None, "1 day"):
