@@ -45,6 +45,7 @@ def crawl_documents(
     reads url and html only and keeps nothing but URLs; the document pass reads the pages reached. So pages are
     parsed in two narrow jobs and no copy of the bodies is kept in between.
     """
+    captured = pages.select("url")
     if robots is not None:
         pages = robots_allowed(pages, robots_rules(robots, agent))
     have = pages.columns
@@ -66,7 +67,7 @@ def crawl_documents(
     documents = documents_with_outcome(
         found, content_tags, limits, embed, dimension, drop_empty, extra=["depth"]
     )
-    missing = reached.join(pages.select("url"), "url", "left_anti")
+    missing = reached.join(captured, "url", "left_anti")
     return CrawlResult(reached, documents, missing)
 
 
