@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import checks as C  # noqa: E402
-from oracle import oracle_sql  # noqa: E402, F401
+import oracle  # noqa: E402
 from pagemill.functions import embed as E  # noqa: E402
 from pagemill.functions import extract as X  # noqa: E402
 from pagemill.functions.models import count_model  # noqa: E402
@@ -21,6 +21,7 @@ from pagemill.functions.nodes import first_node, html_nodes, select_nodes  # noq
 from pagemill.functions.text import clean_text, content_hash  # noqa: E402
 from pagemill.functions.urls import url_parts  # noqa: E402
 from pagemill.operators import dedup, frontier, links, robots, validate, vectors  # noqa: E402
+from pagemill.operators.joins import shared_folder  # noqa: E402
 from pagemill.plans.crawl import crawl_documents, outcomes  # noqa: E402
 from pagemill.plans.documents import parsed_pages, to_documents  # noqa: E402
 from pagemill.session import ship_package  # noqa: E402
@@ -28,6 +29,12 @@ from pagemill.sources.documents import write_documents  # noqa: E402
 from pagemill.sources.pages import ok_responses, read_pages, seed_frontier, spread  # noqa: E402
 from pagemill.streaming import pages as S  # noqa: E402
 
+try:  # the training-data operators and their pipeline are an optional part
+    import corpus_pipeline  # noqa: E402
+    from pagemill.llm import queries as llm_queries  # noqa: E402
+except ImportError:
+    corpus_pipeline = llm_queries = None
+
 TAGS = ["article"]
 
 
@@ -54,12 +61,7 @@ def _aug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """New folder for written results, next to the checkpoints the cluster shares."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-
-        return f"{base}/out-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="pagemill-out-")
+    return f"{shared_folder(spark)}/out-{uuid.uuid4().hex}"
 
 
 def _doc_columns(docs: DataFrame) -> DataFrame:
@@ -483,7 +485,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def shipped(query: Callable) -> Callable:
         return lambda spark, sf_dir: query(ship_package(spark), sf_dir)
 
-    return {name: shipped(query) for name, query in _QUERIES.items()}
+    every = dict(_QUERIES)
+    if llm_queries is not None:
+        every |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    return {name: shipped(query) for name, query in every.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    """The SQL of every query that SQL can express."""
+    every = dict(oracle.oracle_sql())
+    if llm_queries is not None:
+        every |= llm_queries.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL is not None:
+            every["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return every
 
 
 def entry(spark: SparkSession) -> DataFrame:

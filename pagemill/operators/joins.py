@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,17 +14,29 @@ ROWS_PER_KEY = 2_000_000  # of narrow rows (URLs, hashes)
 PAGE_ROWS_PER_KEY = 20_000  # of rows that carry a page body
 
 
-def reliable_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder the cluster names in ``spark.checkpoint.dir``; a lost
-    executor does not lose it. Only where no folder is set (tests) a private one is made."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one in ``spark.checkpoint.dir``, or the checkpoint folder already set.
 
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
+    A private folder is made only for a ``local`` master, where driver and executors are one process; on a cluster
+    without the setting this fails, because executors could not read each other's files.
+    """
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def reliable_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder; a lost executor does not lose it. The files go when
+    the frame is collected as garbage and ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 
