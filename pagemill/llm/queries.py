@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import packing
+from pagemill.llm import language, licences, mixing, ngram_join, packing, pii
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -27,8 +27,63 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language.held_out(F.col("doc_id"))
+    model = language.fit(docs.filter(~held_out))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = mixing.document_sizes(table(spark, sf_dir, "documents"))
+    return mixing.mix(sizes).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(table(spark, sf_dir, "documents"))
+    share = F.aggregate("spans", F.lit(0.0), lambda best, s: F.greatest(best, s["share"]))
+    n_base = F.size("base_starts").cast("long")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_base.alias("n_base"),
+        F.array_min("base_starts").alias("first_word"),
+        F.array_max("base_starts").alias("last_word"),
+        joined("base_labels").alias("base_labels"),
+        joined(F.concat("base_labels", F.transform("spans", lambda s: s["label"]))).alias("labels"),
+        F.when(n_base > 0, F.lit(1.0)).otherwise(share).alias("score"),
+    )
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal_data(docs, pii.learn_patterns(docs))
+    listed = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS[: pii.BASE]],
+        F.sha2(listed("base"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_language_id": op2_language_id,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op6_source_mixing": op6_source_mixing,
+    "op8_license_scan": op8_license_scan,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {}
