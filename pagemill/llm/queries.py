@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import language, licences, mixing, ngram_join, packing, pii
+from pagemill.llm import ann, chat, language, licences, mixing, ngram_join, packing, pii, topk, url_rules
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -40,11 +40,26 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.usable(table(spark, sf_dir, "embeddings"))
+    return ann.nearest(rows, rows.filter("vec_id % 20 = 0"), 20)
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.usable(table(spark, sf_dir, "embeddings"))
+    rows = rows.select("vec_id", topk.scaled_floor(F.col("vector")).alias("vector"))
+    return topk.exact_top_k(rows.filter("vec_id % 50 = 0"), rows, 5)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.document_sizes(table(spark, sf_dir, "documents"))
     return mixing.mix(sizes).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan_licences(table(spark, sf_dir, "documents"))
     share = F.aggregate("spans", F.lit(0.0), lambda best, s: F.greatest(best, s["share"]))
@@ -62,6 +77,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find_personal_data(docs, pii.learn_patterns(docs))
@@ -81,8 +100,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_source_mixing": op6_source_mixing,
+    "op7_url_filter": op7_url_filter,
     "op8_license_scan": op8_license_scan,
+    "op9_chat_format": op9_chat_format,
     "op10_personal_data": op10_personal_data,
 }
 
