@@ -121,7 +121,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", sample_chars: int = SAMPLE_
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", id_col)
     sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()  # one row per language
     if not sizes:
-        return Model([], [], [])
+        return Model([], [{} for _ in range(LONGEST + 1)], [[] for _ in range(LONGEST + 1)])
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_chars / max(r["n"], 1))))])
     draw = F.pmod(F.xxhash64(id_col, "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.filter(draw < share[F.col("lang")]).select("text", "lang")

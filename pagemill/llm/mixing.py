@@ -97,14 +97,11 @@ def mix(
 
 def mix_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mixture of whole documents: every row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    if "size" in docs.columns:
-        sized = sized.withColumnRenamed("size", "_size")
-    mixed = mix(sized.withColumnRenamed("_words", "size"), **settings).filter("copies > 0")
-    if "size" in docs.columns:
-        mixed = mixed.drop("size").withColumnRenamed("_size", "size")
-    repeated = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_doc")
+    rows = docs.select(whole, "doc_id", "source", word_count(F.col("text")).alias("size"))
+    taken = mix(rows, **settings).filter("copies > 0")
+    repeated = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*[F.col(f"_doc.`{n}`").alias(n) for n in docs.columns])
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:

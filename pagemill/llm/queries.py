@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.llm.sql import ORACLE_SQL  # noqa: F401
 from pagemill.llm import ann, chat, language, licences, mixing, ngram_join, packing, pii, topk, url_rules
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -108,5 +109,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_personal_data": op10_personal_data,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,124 @@
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from pagemill.llm import packing as P
+from pagemill.llm.queries import tokenizer_path
+from pagemill.llm.tokens import PieceEncoder
+
+np = pytest.importorskip("numpy")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.encode_special_tokens = True
+    return t
+
+
+def test_ids_are_those_of_the_tokenizer(tokenizer):
+    draw = random.Random(1)
+    parts = [" ", "\n", "a", "'s", "é", "1", "!", "\t", "B", "\u3000", "中", "\x1c", "the", "<|endoftext|>", "ß", "٣", "²", "🙂", "\r\n"]
+    texts = ["", " ", "\n\n", "it's 's", " " * 200_000 + "x"] + ["".join(draw.choices(parts, k=draw.randint(1, 40))) for _ in range(3000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert PieceEncoder(tokenizer_path()).encode(texts) == want
+
+
+def first_fit(counts, capacity):
+    """Bins of first fit with falling lengths."""
+    room: list = []
+    for length in sorted(counts.elements(), reverse=True):
+        for k, left in enumerate(room):
+            if left >= length:
+                room[k] -= length
+                break
+        else:
+            room.append(capacity - length)
+    return len(room)
+
+
+def test_bins_of_a_plan():
+    draw = random.Random(4)
+    for capacity in (10, 64, 1024):
+        for _ in range(15):
+            counts = Counter(draw.randint(1, capacity) for _ in range(draw.randint(1, 600)))
+            plan = P.plan_bins(counts, capacity)
+            used = Counter()
+            for chosen, times in plan:
+                assert sum(length * n for length, n in chosen.items()) <= capacity
+                for length, n in chosen.items():
+                    used[length] += n * times
+            assert used == counts
+            bins = sum(times for _, times in plan)
+            assert bins <= 1.01 * first_fit(counts, capacity) + 1
+
+
+def test_fullest_is_the_best_sum():
+    draw = random.Random(9)
+    for _ in range(200):
+        counts = Counter(draw.randint(1, 30) for _ in range(draw.randint(1, 9)))
+        chosen = P.fullest(counts, 30)
+        largest = max(counts)
+        rest = list((counts - Counter({largest: 1})).elements())
+        sums = {0}
+        for x in rest:
+            sums |= {s + x for s in sums if s + x <= 30 - largest}
+        assert chosen[largest] >= 1 and all(chosen[k] <= counts[k] for k in chosen)
+        assert sum(k * n for k, n in chosen.items()) == largest + max(sums)
+
+
+def whole(rows, capacity=1024):
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(bins)
+
+
+def test_pack_documents(spark, tokenizer):
+    import zlib
+
+    draw = random.Random(8)
+    rows = [(i, " ".join(draw.choices(["the", "of", "lorem", "x1"], k=draw.randint(0, 900))), "s", i) for i in range(60)]
+    rows += [(100, "word " * 5000, None, 1), (101, None, "s", None), (102, "", "s", 0), (102, "", "s", 0), (None, "a b", None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, offset string, length int")
+    got = P.pack_documents(docs, tokenizer_path()).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    for doc_id, text, *_ in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        pieces = sorted(by[doc_id], key=lambda r: (r["piece"], r["sequence_id"]))
+        if doc_id == 102:
+            assert len(pieces) == 2
+            pieces = pieces[:1]
+        assert [p["piece"] for p in pieces] == list(range(len(pieces)))
+        assert sum(p["length"] for p in pieces) == len(ids) and all(p["length"] == 1024 for p in pieces[1:])
+        for p in pieces:
+            part = ids[p["start"] : p["start"] + p["length"]]
+            assert p["length"] == len(part) <= 1024 and p["ids_crc32"] == zlib.crc32(part.tobytes())
+    bins = whole(got)
+    assert bins <= -(-sum(r["length"] for r in got) // 1024) + 1
+
+
+def test_hot_length_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(P, "ROWS_PER_PART", 7)
+    lengths = [300] * 500 + [424] * 250 + [1024] * 9 + [5] * 40
+    rows = spark.createDataFrame([(i, n, "x") for i, n in enumerate(lengths)], "id long, length long, sequence_id string")
+    got = P.pack(rows).collect()
+    assert sorted(r["id"] for r in got) == list(range(len(lengths)))
+    assert whole(got) == 250 + 9 + 1
+
+
+def test_empty_and_wrong(spark):
+    assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+    with pytest.raises(ValueError):
+        P.pack(spark.createDataFrame([(1, 2000)], "id long, length long"))

@@ -1,0 +1,94 @@
+import random
+
+import pytest
+
+from pagemill.llm import ann, topk
+from pyspark.sql import functions as F
+
+np = pytest.importorskip("numpy")
+NAN, INF = float("nan"), float("inf")
+ODD = [(9001, None), (9002, [1.0, None, 2.0, 0.0]), (9003, [NAN, 0.0, 0.0, 0.0]), (9004, [INF, 1.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0, 1.0])]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
+
+
+def vectors(seed, n, d=4):
+    draw = random.Random(seed)
+    rows = [(i, [float(np.float32(draw.gauss(0, 1))) for _ in range(d)]) for i in range(n)]
+    return rows + [(n + i, rows[i % 3][1]) for i in range(40)]  # copies
+
+
+def brute(rows, step, k, score):
+    out = {}
+    for q, v in rows:
+        if q % step == 0:
+            scored = sorted(((-score(v, w), i) for i, w in rows if i != q and len(w) == len(v)))
+            out[q] = [(i, -s) for s, i in scored[:k]]
+    return out
+
+
+def lists(df):
+    got: dict = {}
+    for r in df.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    return {q: [(i, s) for _, i, s in sorted(x)] for q, x in got.items()}
+
+
+def whole(v):
+    return [int(np.floor(256.0 * x)) for x in v]
+
+
+def test_exact_top_k(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TILE_VALUES", 64)
+    monkeypatch.setattr(topk, "LEAST_ROWS", 1)
+    monkeypatch.setattr(topk, "FAN_IN", 3)
+    rows = vectors(1, 200)
+    used = topk.usable(frame(spark, rows + ODD + rows[:5]))
+    used = used.select("vec_id", topk.scaled_floor(F.col("vector")).alias("vector"))
+    got = lists(topk.exact_top_k(used.filter("vec_id % 50 = 0"), used, 5))
+    assert got == brute(rows, 50, 5, lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b), strict=True)))
+
+
+def test_large_components_stay_exact(spark):
+    rows = [(0, [3.0e9, 1.0]), (1, [3.0e9, 0.00390625]), (2, [3.0e9, 0.0]), (3, [1.0])]
+    used = spark.createDataFrame([(i, [int(x * 256) for x in v]) for i, v in rows[:3]], "vec_id long, vector array<bigint>")
+    got = lists(topk.exact_top_k(used.filter("vec_id = 0").selectExpr("vec_id", "transform(vector, x -> x div 1000000) as vector"), used, 2))
+    v = [[int(x * 256) for x in r[1]] for r in rows[:3]]
+    q = [x // 1000000 for x in v[0]]
+    assert got == {0: [(i, sum(a * b for a, b in zip(q, v[i], strict=True))) for i in (1, 2)]}
+
+
+def test_few_candidates(spark):
+    used = topk.usable(frame(spark, [(0, [1.0]), (1, [2.0]), (2, [2.0]), (3, [1.0, 1.0])]))
+    used = used.select("vec_id", topk.scaled_floor(F.col("vector")).alias("vector"))
+    assert lists(topk.exact_top_k(used.filter("vec_id = 0"), used, 5)) == {0: [(1, 131072), (2, 131072)]}
+    empty = used.limit(0)
+    assert topk.exact_top_k(empty, empty, 5).count() == 0
+
+
+def test_neighbours_of_small_and_odd_tables(spark):
+    rows = vectors(2, 15) + [(500, [0.0] * 4), (600, [1.0, 2.0])]
+    used = topk.usable(frame(spark, rows + ODD + rows[:3]))
+    got = lists(ann.nearest(used, used.filter("vec_id % 5 = 0"), 20))
+    want = brute([r for r in rows if any(r[1])], 5, 20, lambda a, b: float(np.sum(np.array(a) * np.array(b))))
+    want = {q: v for q, v in want.items() if v}
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert all(abs(a - b) < 1e-12 for q in got for (_, a), (_, b) in zip(got[q], want[q], strict=True))
+    assert ann.nearest(used.limit(0), used.limit(0), 3).count() == 0
+
+
+def test_buckets_and_queries_are_cut(spark, monkeypatch):
+    rows = vectors(3, 600)
+    used = topk.usable(frame(spark, rows))
+    one = lists(ann.nearest(used, used.filter("vec_id % 5 = 0"), 10))
+    monkeypatch.setattr(ann, "GROUP_ROWS", 37)
+    monkeypatch.setattr(ann, "GROUP_QUERIES", 11)
+    assert lists(ann.nearest(used, used.filter("vec_id % 5 = 0"), 10)) == one
+
+
+def test_probes_come_in_order_of_distance():
+    inside = np.array([[0.1, 0.45]])
+    found = ann.probes(np.zeros((1, 2), np.int64), inside, 2, 4)[0].tolist()
+    assert found == [[0, 0], [-1, 0], [0, -1], [-1, -1]]
