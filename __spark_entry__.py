@@ -222,9 +222,9 @@ def _graph(spark, sf_dir):
     source = nodes.select(F.col("page_id").alias("id"), F.col("url").alias("other"))
     down = nodes.join(source, F.col("parent") == F.col("id")).select(F.col("other").alias("src_url"), "url")
     up = nodes.join(source, F.col("half") == F.col("id")).select(F.col("url").alias("src_url"), F.col("other").alias("url"))
-    root = nodes.withColumn("zero", F.lit(0).cast("long"))
-    back = root.join(source, F.col("zero") == F.col("id")).select(F.col("url").alias("src_url"), F.col("other").alias("url"))
-    return nodes, down.unionByName(up).unionByName(back)
+    root = source.filter("id = 0").first()  # the one row with this id
+    back = nodes.select(F.col("url").alias("src_url"), F.lit(root["other"] if root else None).cast("string").alias("url"))
+    return nodes, down.unionByName(up).unionByName(back.filter("url IS NOT NULL"))
 
 
 def _round(spark, sf_dir):

@@ -54,9 +54,7 @@ OPTIONAL_END = {
     "tfoot": (frozenset(["tbody", "thead", "tfoot", "caption", "colgroup"]), TABLE_SCOPE),
 }
 SPACE = "\t\n\f\r "
-# Open elements at most, as browsers limit it. Deeper ones are listed but do not nest; their text stays with the
-# element they are in. It also bounds the work per tag on hostile pages.
-MAX_OPEN = 512
+NEAR = 16  # open elements looked at one by one; beyond, the depths kept by tag answer at once
 # ------------------------------------------------------------------------------------------------------
 
 _MARKUP = re.compile(r"<[a-zA-Z/!?]")
@@ -98,11 +96,10 @@ class PageTree:
         self.text: list[bytes] = []
         self.size = 0
         self.stack: list[int] = []
-        self.open: dict[str, int] = {}
+        self.open: dict[str, list[int]] = {}  # depths in the stack, by tag
         self.head = False
         self.body = 0  # row number, 0 while there is none
         self.foreign = 0
-        self.too_deep: dict[str, int] = {}
         self._read(html)
         self._close_to(0)
 
@@ -112,29 +109,21 @@ class PageTree:
         rows.append([self.stack[-1] if self.stack else 0, tag, attrs, self.size, self.size, n])
         if leaf:
             return
-        if len(self.stack) >= MAX_OPEN:
-            self.too_deep[tag] = self.too_deep.get(tag, 0) + 1
-        else:
-            self.stack.append(n)
-            self.open[tag] = self.open.get(tag, 0) + 1
-            self.foreign += tag == "svg" or tag == "math"
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(n)
+        self.foreign += tag == "svg" or tag == "math"
 
     def _close_to(self, depth: int) -> None:
         last = len(self.rows)
         while len(self.stack) > depth:
             row = self.rows[self.stack.pop() - 1]
             row[4], row[5] = self.size, last
-            self.open[row[1]] -= 1
+            self.open[row[1]].pop()
             self.foreign -= row[1] == "svg" or row[1] == "math"
 
     def _close_last(self) -> None:
         """Close the element just added."""
-        if self.stack[-1] == len(self.rows):
-            self._close_to(len(self.stack) - 1)
-        else:
-            row = self.rows[-1]
-            row[4] = self.size
-            self.too_deep[row[1]] -= 1
+        self._close_to(len(self.stack) - 1)
 
     def _find_open(self, tags, stop) -> int:
         """Depth of the innermost open element in ``tags``, not looking past ``stop``; -1 if none."""
@@ -143,13 +132,15 @@ class PageTree:
                 break
         else:
             return -1
-        for depth in range(len(self.stack) - 1, -1, -1):
+        top = len(self.stack) - 1
+        for depth in range(top, max(-1, top - NEAR), -1):  # most end tags close something near
             tag = self.rows[self.stack[depth] - 1][1]
             if tag in tags:
                 return depth
             if tag in stop:
                 return -1
-        return -1
+        found = max(self.open[tag][-1] for tag in tags if self.open.get(tag))
+        return found if all(self.open[tag][-1] <= found for tag in stop if self.open.get(tag)) else -1
 
     def _close(self, tags, stop) -> bool:
         depth = self._find_open(tags, stop)
@@ -232,9 +223,6 @@ class PageTree:
                    (self_closing and tag in ("svg", "math")))
 
     def _end(self, tag: str) -> None:
-        if self.too_deep.get(tag):
-            self.too_deep[tag] -= 1
-            return
         if self.stack and self.rows[self.stack[-1] - 1][1] == tag and tag not in ("html", "head", "body"):
             self._close_to(len(self.stack) - 1)  # the usual case
             return

@@ -7,18 +7,40 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.operators.joins import BROADCAST_BYTES, ROWS_PER_KEY, lookup_join
+from pagemill.operators.joins import BROADCAST_BYTES, PAGE_ROWS_PER_KEY, ROWS_PER_KEY, lookup_join, reliable_checkpoint
 
 
-def dedup_documents(documents: DataFrame, key: str = "hash_id", order: Sequence[str] = ("depth", "url")) -> DataFrame:
-    """One row per key, the first by ``order``.
+def dedup_documents(
+    documents: DataFrame,
+    key: str = "hash_id",
+    order: Sequence[str] = ("depth", "url"),
+    max_bytes: int = BROADCAST_BYTES,
+    rows_per_key: int = PAGE_ROWS_PER_KEY,
+) -> DataFrame:
+    """One row per key, the first by ``order``; rows without key all stay.
 
-    Spark cuts every map task's rows to one per key before the shuffle (WindowGroupLimit), so a key that holds
-    a large share of the rows reaches its reducer as at most one row per map task.
+    The survivor of every key that occurs more than once is found on the narrow columns, with partial aggregation. The
+    documents then lose the other rows by a checked join: while the table of repeated keys is small, no body is
+    shuffled. Only rows that tie in every order column go through a window. ``documents`` is read twice, so pass a
+    written table where it is costly.
     """
-    by = [c for c in order if c in documents.columns] or [key]
-    w = Window.partitionBy(key).orderBy(*by)
-    return documents.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    missing = [c for c in order if c not in documents.columns]
+    if missing or not order:
+        raise ValueError(f"order columns are missing: {missing}")
+    first = F.struct(*[F.col(c) for c in order])
+    counted = documents.filter(F.col(key).isNotNull()).groupBy(key, first.alias("_first")).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = counted.groupBy(key).agg(F.sum("_n").alias("_all"), F.min(F.struct("_first", "_n")).alias("_kept"))
+    repeated = reliable_checkpoint(
+        repeated.filter("_all > 1").select(key, F.col("_kept._first").alias("_first"), F.col("_kept._n").alias("_ties"))
+    )
+    tagged = lookup_join(documents, repeated, [key], "left", max_bytes, rows_per_key, materialized=True)
+    kept = tagged.filter(F.col("_first").isNull() | F.col("_first").eqNullSafe(first))
+    if not repeated.filter("_ties > 1").isEmpty():
+        tie = F.col("_ties") > 1
+        w = Window.partitionBy(key).orderBy(*order)
+        one = kept.filter(tie).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+        kept = kept.filter(tie.isNull() | ~tie).unionByName(one)
+    return kept.select(*documents.columns)
 
 
 def duplicate_groups(documents: DataFrame, key: str = "hash_id", member: str = "url") -> DataFrame:

@@ -115,7 +115,8 @@ def lookup_join(
     ``small`` is broadcast when it measures at most ``max_bytes``: no shuffle, so no skew. Beyond that both
     sides are shuffled by key, and keys with more than ``rows_per_key`` rows in ``big`` are split over parts.
     ``how`` is one of ``inner``, ``left``, ``left_semi``, ``left_anti``. ``small`` is computed once, into a
-    checkpoint, unless it is ``materialized`` already; the keys of ``big`` are read twice in the second case.
+    checkpoint, unless it is ``materialized`` already; the keys of ``big`` are read twice in the second case. On a
+    stream the second case is a plain shuffled join.
     """
     on = list(on)
     if not materialized:
@@ -123,5 +124,7 @@ def lookup_join(
     bounded = broadcast_checked(small, max_bytes)
     if bounded is not None:
         return big.join(bounded, on, how)
+    if big.isStreaming:  # the keys of a stream cannot be counted ahead; a batch of it is small
+        return big.join(small, on, how)
     heavy = reliable_checkpoint(heavy_keys(big, on, rows_per_key))
     return salt_big(big, heavy, on).join(salt_small(small, heavy, on), [*on, "_salt"], how).drop("_salt")

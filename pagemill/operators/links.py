@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +36,18 @@ def same_host(links: DataFrame, base: str = "src_url", link: str = "url") -> Dat
     return links.filter(url_hostname(F.col(link)) == url_hostname(F.col(base)))
 
 
+def any_of(tests: Sequence[Column]) -> Column:
+    """True if one of the tests is; a balanced tree, so that thousands of them stay shallow."""
+    tests = list(tests) or [F.lit(False)]
+    while len(tests) > 1:
+        pairs = [tests[k] | tests[k + 1] for k in range(0, len(tests) - 1, 2)]
+        tests = pairs + tests[len(pairs) * 2 :]
+    return tests[0]
+
+
 def is_excluded(hostname: Column, domains: Sequence[str]) -> Column:
     """Suffix test without a dot boundary; '' excludes everything."""
-    return reduce(lambda a, b: a | b, [hostname.endswith(d) for d in domains], F.lit(False))
+    return any_of([hostname.endswith(d) for d in domains])
 
 
 def not_excluded_domain(
@@ -52,16 +60,13 @@ def not_excluded_domain(
     """Drop links whose host name ends in an excluded domain.
 
     A list becomes one predicate. A table of domains (column ``domain``) is joined by equality: each distinct
-    host name is cut into its endings of the lengths that occur in the table (host names are short, so there
-    are few), and the host names that hit are then taken out of the links.
+    host name is cut into its endings of the lengths that occur in the table, and the host names that hit are then taken out of the links.
     """
     host = url_hostname(F.col(link))
     if not isinstance(domains, DataFrame):
         return links.filter(~is_excluded(host, domains)) if domains else links
     listed = reliable_checkpoint(domains.select(F.col("domain").alias("_suffix")).distinct())
-    lengths = sorted(
-        r[0] for r in listed.select(F.length("_suffix")).filter(F.length("_suffix") <= 255).distinct().collect()
-    )
+    lengths = sorted(r[0] for r in listed.select(F.length("_suffix")).distinct().na.drop().collect())
     if not lengths:
         return links
     tagged = reliable_checkpoint(links.withColumn("_host", host))  # read twice below; links may come from parsing
@@ -72,6 +77,8 @@ def not_excluded_domain(
     return lookup_join(tagged, hit, ["_host"], "left_anti", max_bytes, rows_per_key).drop("_host")
 
 
+PATTERNS_JOINED = 200
+
 # --- ad patterns ---------------------------------------------------------------------------------------------
 # POSIX classes of the pattern dialect and their names in Java
 POSIX_CLASSES = {
@@ -95,13 +102,13 @@ def _posix(m: re.Match) -> str:
 
 
 def compile_patterns(links: DataFrame, patterns: Sequence[str], on_bad_pattern: str = "error") -> list[str]:
-    """Java spelling of every pattern, each tried once before the job starts. ``error`` fails on an invalid
-    pattern, ``ignore`` leaves it out."""
-    spark, good = links.sparkSession, []
+    """Java spelling of every pattern, each compiled once by the JVM before the job starts, without a Spark job.
+    ``error`` fails on an invalid pattern, ``ignore`` leaves it out."""
+    compiler, good = links.sparkSession.sparkContext._jvm.java.util.regex.Pattern, []
     for p in patterns:
         try:
             java = java_pattern(p)
-            spark.sql("SELECT '' RLIKE :pattern", {"pattern": java}).collect()
+            compiler.compile(java)
         except Exception as e:
             if on_bad_pattern == "error":
                 raise ValueError(f"invalid ad pattern {p!r}") from e
@@ -110,9 +117,18 @@ def compile_patterns(links: DataFrame, patterns: Sequence[str], on_bad_pattern:
     return good
 
 
+def joined_patterns(java_patterns: Sequence[str], size: int = PATTERNS_JOINED) -> list[str]:
+    """Patterns joined into alternations of at most ``size``. One with a group number, a quotation or a comment flag
+    would read differently next to others and stays alone."""
+    alone = [p for p in java_patterns if re.search(r"\\[1-9kQ]|\(\?[a-z]*x", p)]
+    free = [p for p in java_patterns if p not in set(alone)]
+    parts = [free[k : k + size] for k in range(0, len(free), size)]
+    return ["|".join(f"(?:{p})" for p in part) for part in parts] + alone
+
+
 def is_ad_link(link: Column, java_patterns: Sequence[str]) -> Column:
-    """Unanchored search of any pattern; an OR chain, so it stops at the first hit."""
-    return reduce(lambda a, b: a | b, [link.rlike(p) for p in java_patterns], F.lit(False))
+    """Unanchored search of any pattern."""
+    return any_of([link.rlike(p) for p in joined_patterns(java_patterns)])
 
 
 def not_ad_link(

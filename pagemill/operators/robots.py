@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.urls import url_host, url_path
+from pagemill.functions.columns import let
+from pagemill.functions.urls import URL_PATTERN, url_host
 from pagemill.operators.joins import BROADCAST_BYTES, PAGE_ROWS_PER_KEY, lookup_join
 
+# Fixed values (RFC 3986): what a path cannot hold unescaped, and what needs no escape
+UNSAFE = r"[^A-Za-z0-9\-._~!$&'()*+,;=:@/%?#\[\]]"
+UNRESERVED = r"^[A-Za-z0-9\-._~]$"
+
 
 def _directives(body: Column) -> Column:
     """``array<struct<key, value>>`` of the user-agent, allow and disallow lines."""
@@ -52,29 +57,65 @@ def _agent_score(group: Column, agent: str) -> Column:
     )
 
 
+def normal_path(value: Column) -> Column:
+    """One spelling for paths and patterns (RFC 9309, section 2.2.2): characters that a URL cannot hold are
+    percent-encoded, escapes of unreserved characters are decoded, all other escapes have capital digits. An escaped
+    ``*``, ``$`` or ``/`` thus stays different from the sign itself."""
+    chars = F.transform(
+        F.split(value, ""),
+        lambda c: F.when(c.rlike(UNSAFE), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c),
+    )
+    encoded = F.when(value.rlike(UNSAFE), F.array_join(chars, "")).otherwise(value)
+
+    def escape(part: Column, k: Column) -> Column:
+        digits = F.upper(F.substring(part, 1, 2))
+        sign = F.chr(F.conv(digits, 16, 10).cast("long"))
+        rest = F.substring(part, F.lit(3), F.length(part))
+        spelled = F.when(sign.rlike(UNRESERVED), F.concat(sign, rest)).otherwise(F.concat(F.lit("%"), digits, rest))
+        return F.when(k == 0, part).when(digits.rlike("^[0-9A-F]{2}$"), spelled).otherwise(F.concat(F.lit("%"), part))
+
+    return let(
+        encoded,
+        lambda e: F.when(e.contains("%"), F.array_join(F.transform(F.split(e, "%"), escape), "")).otherwise(e),
+    )
+
+
 def _rule(d: Column) -> Column:
+    return let(F.struct(d["key"].alias("key"), d["value"].alias("raw"), normal_path(d["value"]).alias("value")), _compiled)
+
+
+def _compiled(d: Column) -> Column:
     pattern = d["value"]
     anchored = pattern.endswith("$")
     core = F.when(anchored, F.substring(pattern, F.lit(1), F.length(pattern) - 1)).otherwise(pattern)
     quoted = F.replace(F.replace(core, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("*"), F.lit("\\E.*\\Q"))
     regex = F.concat(F.lit("(?s)^\\Q"), quoted, F.lit("\\E"), F.when(anchored, F.lit("$")).otherwise(F.lit("")))
     return F.struct(
-        pattern.alias("pattern"),
+        d["raw"].alias("pattern"),
         (d["key"] == "allow").alias("allow"),
         F.regexp_extract(core, r"^[^*]*", 0).alias("prefix"),
         F.when(anchored | pattern.contains("*"), regex).alias("regex"),
+        F.octet_length(pattern).alias("length"),
     )
 
 
 def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
-    """Rules that apply to ``agent``: ``host, rules array<struct<pattern, allow, prefix, regex>>``.
+    """Rules that apply to ``agent``: ``host, rules array<struct<pattern, allow, prefix, regex, length>>``.
 
-    ``robots`` has ``host`` (with port), ``body`` and optionally ``status``. The groups of the most specific
+    ``robots`` has ``host`` (with port), ``body`` and optionally ``status`` and ``fetched_at``. Of several captures of a
+    host the latest counts (of equally late ones the greatest body); without times they must all be the same. The groups of the most specific
     agent token count, merged; else those of '*'. An empty pattern is no rule. A robots file is parsed inside
     its own row, so nothing is shuffled but one row per host.
     """
     usable = robots.filter(F.col("status") == 200) if "status" in robots.columns else robots
-    one_per_host = usable.groupBy("host").agg(F.max("body").alias("body"))
+    if "fetched_at" in usable.columns:
+        one_per_host = usable.groupBy("host").agg(F.max_by("body", F.struct("fetched_at", "body")).alias("body"))
+    else:
+        bodies = usable.groupBy("host").agg(F.min("body").alias("least"), F.max("body").alias("body"))
+        several = F.raise_error(F.concat(F.lit("several robots files without fetched_at: "), F.col("host")))
+        one_per_host = bodies.select(
+            "host", F.when(F.col("least") == F.col("body"), F.col("body")).when(F.col("body").isNotNull(), several).alias("body")
+        )
     lined = one_per_host.select("host", _directives(F.col("body")).alias("lines"))
     grouped = lined.select("host", _groups(F.col("lines")).alias("groups"))
     scored = grouped.select(
@@ -90,14 +131,12 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
 
 
 def is_allowed(path: Column, rules: Column) -> Column:
-    """Longest matching pattern decides, allow wins a tie, no match allows."""
+    """Longest matching pattern decides, allow wins a tie, no match allows. ``path`` is in the form of `normal_path`."""
     hit = F.filter(
         rules,
-        lambda r: F.when(r["regex"].isNull(), path.startswith(r["pattern"])).otherwise(
-            path.startswith(r["prefix"]) & F.rlike(path, r["regex"])
-        ),
+        lambda r: path.startswith(r["prefix"]) & (r["regex"].isNull() | F.rlike(path, r["regex"])),
     )
-    best = F.array_max(F.transform(hit, lambda r: F.struct(F.octet_length(r["pattern"]).alias("n"), r["allow"].alias("allow"))))
+    best = F.array_max(F.transform(hit, lambda r: F.struct(r["length"].alias("n"), r["allow"].alias("allow"))))
     return F.coalesce(best["allow"], F.lit(True))
 
 
@@ -111,6 +150,6 @@ def robots_allowed(
     """``pages`` with ``allowed``. Only the path is tested, not the query; a host without rules allows all."""
     tagged = pages.withColumn("host", url_host(F.col(url)))
     joined = lookup_join(tagged, rules, ["host"], "left", max_bytes, rows_per_key)
-    path = url_path(F.col(url))
-    path = F.when(path == "", "/").otherwise(path)
-    return joined.withColumn("allowed", is_allowed(path, F.col("rules"))).drop("host", "rules")
+    path = F.regexp_extract(F.col(url), URL_PATTERN, 4)
+    path = normal_path(F.when(path == "", "/").otherwise(path))
+    return joined.withColumn("allowed", let(path, lambda p: is_allowed(p, F.col("rules")))).drop("host", "rules")

@@ -195,8 +195,10 @@ def _search(
     vector_block: int | None,
     query_block: int,
 ) -> DataFrame:
-    first = queries.select(F.size("query_vector")).first()
-    dim = first[0] if first else 1
+    sizes = queries.agg(F.min(F.size("query_vector")), F.max(F.size("query_vector"))).first()
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"query vectors differ in size: {sizes[0]} to {sizes[1]}")
+    dim = sizes[0] or 1
     schema = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -204,8 +206,8 @@ def _search(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    vectors = vectors.filter(F.size("vector") == dim)
-    queries = queries.filter(F.size("query_vector") == dim)
+    wrong = F.raise_error(F.concat(F.lit(f"vector size is not {dim}: "), F.size("vector").cast("string")))
+    vectors = vectors.withColumn("vector", F.when(F.size("vector") == dim, F.col("vector")).otherwise(wrong))
     size = measured_bytes(queries) + (measured_bytes(probes) if probes is not None else 0)
     if size <= max_bytes:
         partial = _search_broadcast(vectors, queries, probes, k, metric, dim, schema)
@@ -224,7 +226,7 @@ def _search(
 
 def _prepared(df: DataFrame, id_col: str, vector_col: str, names: tuple[str, str]) -> DataFrame:
     return df.select(F.col(id_col).alias(names[0]), F.col(vector_col).alias(names[1])).filter(
-        F.col(names[1]).isNotNull()
+        F.size(names[1]) > 0
     )
 
 
@@ -241,7 +243,8 @@ def knn(
 ) -> DataFrame:
     """Exact ``k`` nearest vectors of every query: ``query_id, id, score, rank``. Score is the squared distance
     (L2, ascending) or the inner product (IP, descending); ties go to the smaller id. Both tables use
-    ``id_col`` and ``vector_col``; ids are unique."""
+    ``id_col`` and ``vector_col``; ids are unique. A null or empty vector is none: it takes no part on either side. All
+    others must have one size, or the search fails."""
     v = _prepared(vectors, id_col, vector_col, ("id", "vector")).select(F.lit(0).alias("cell"), "*")
     q = _prepared(queries, id_col, vector_col, ("query_id", "query_vector"))
     return _search(v, q, None, k, metric.upper(), max_bytes, vector_block, query_block)
@@ -257,16 +260,19 @@ def knn_ip(vectors: DataFrame, queries: DataFrame, k: int, **options) -> DataFra
 
 # --- inverted lists -------------------------------------------------------------------------------------------
 def ivf_train(vectors: DataFrame, nlist: int, seed: int = 42, vector_col: str = "vector", max_iter: int = 20):
-    """K-means centroids of ``nlist`` lists."""
-    data = vectors.select(array_to_vector(F.col(vector_col)).alias("features"))
+    """K-means centroids of ``nlist`` lists; null and empty vectors take no part."""
+    data = vectors.filter(F.size(vector_col) > 0).select(array_to_vector(F.col(vector_col)).alias("features"))
     return KMeans(k=nlist, seed=seed, maxIter=max_iter).fit(data)
 
 
 def ivf_assign(vectors: DataFrame, model, vector_col: str = "vector") -> DataFrame:
-    """Adds ``list_id``, the list with the nearest centroid. Map-only."""
-    tagged = vectors.withColumn("_features", array_to_vector(F.col(vector_col)))
+    """Adds ``list_id``, the list with the nearest centroid; null for a null or empty vector. Map-only."""
+    there = F.size(vector_col) > 0
+    zero = F.array_repeat(F.lit(0.0), len(model.clusterCenters()[0]))
+    vector = F.when(there, F.col(vector_col).cast("array<double>")).otherwise(zero)
+    tagged = vectors.withColumn("_features", array_to_vector(vector))
     assigned = model.copy().setFeaturesCol("_features").setPredictionCol("list_id").transform(tagged)
-    return assigned.drop("_features")
+    return assigned.withColumn("list_id", F.when(there, F.col("list_id"))).drop("_features")
 
 
 def centroid_table(spark, model) -> DataFrame:
@@ -301,7 +307,7 @@ def knn_ivf(
         query_block=query_block,
     ).select("query_id", F.col("id").alias("cell"))
     probes = reliable_checkpoint(probes)  # read by the size check, the grid and the search
-    v = assigned.select(
+    v = assigned.filter(F.col("list_id").isNotNull()).select(
         F.col("list_id").cast("int").alias("cell"), F.col(id_col).alias("id"), F.col(vector_col).alias("vector")
     )
     return _search(v, q, probes, k, metric.upper(), max_bytes, vector_block, query_block)

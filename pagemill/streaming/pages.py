@@ -46,8 +46,9 @@ def stream_dedup(
 ) -> DataFrame:
     """The first row per ``key``.
 
-    With ``event_time`` and ``delay`` the state is bounded: repeats that come within the delay are dropped.
-    Without, every key ever seen is remembered. Rows are first reduced per (key, input partition modulo
+    With ``event_time`` and ``delay`` the state is bounded: repeats that come within the delay are dropped, and so is
+    every row later than the delay, first of its key or not, because Spark lets none behind the watermark. Leave them
+    out where late keys must pass: then every key ever seen is remembered, in RocksDB (see `run_available`). Rows are first reduced per (key, input partition modulo
     ``spread``), so copies of one hot key are dropped on many tasks and at most ``spread`` of them reach the task
     that decides.
     """
@@ -65,8 +66,22 @@ def stream_dedup_urls(
     return stream_dedup(pages, "url", event_time if delay else None, delay, spread)
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> StreamingQuery:
-    """Append what is there now to the Parquet table at ``path`` and wait; exactly once across restarts."""
+    """Append what is there now to the Parquet table at ``path`` and wait; exactly once across restarts. State is kept
+    in RocksDB, so it may outgrow the memory of an executor."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, ROCKSDB)
+    try:
+        return _run_available(stream, path, checkpoint, partition_by)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
+def _run_available(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str]) -> StreamingQuery:
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -108,7 +108,7 @@ def test_dedup(spark):
     rows = [("h1", "b", 0), ("h1", "a", 1), ("h1", "c", 0), ("h2", "z", 2)]
     df = spark.createDataFrame(rows, "hash_id string, url string, depth int")
     kept = dedup.dedup_documents(df)
-    assert plan_of(kept).count("WindowGroupLimit") == 2  # before and after the shuffle
+    assert "hashpartitioning" not in plan_of(kept)  # the rows stay where they are while repeated keys are few
     assert {(r["hash_id"], r["url"]) for r in kept.collect()} == {("h1", "b"), ("h2", "z")}
     assert [tuple(r) for r in dedup.duplicate_groups(df).collect()] == [("h1", 3, "a", "c")]
     for max_bytes in (0, 1 << 20):

@@ -65,9 +65,11 @@ def test_exact_search(spark, metric, options):
 
 def test_more_neighbours_than_vectors_and_odd_sizes(spark):
     _, df = data(spark, 6)
-    odd = df.unionByName(spark.createDataFrame([(99, [1.0]), (98, None)], "id bigint, vector array<float>"))
-    got = V.knn_l2(odd, df.filter("id < 2"), 50)
-    assert got.count() == 12
+    none = df.unionByName(spark.createDataFrame([(99, []), (98, None)], "id bigint, vector array<float>"))
+    assert V.knn_l2(none, df.filter("id < 2"), 50).count() == 12
+    odd = df.unionByName(spark.createDataFrame([(99, [1.0])], "id bigint, vector array<float>"))
+    with pytest.raises(Exception, match="vector size"):  # an odd size is not left out in silence
+        V.knn_l2(odd, df.filter("id < 2"), 50).count()
     assert V.knn_l2(df, df.filter("id < 0"), 3).count() == 0
 
 
