@@ -127,7 +127,7 @@ def _search_broadcast(
         top = _TopK(k)
         q_ids, q_matrix, rows_of = shared.value
         for batch in batches:
-            if not batch.num_rows or not len(q_ids):
+            if not batch.num_rows or not len(q_ids):  # no queries: vectors may have any size
                 continue
             ids = batch["id"].to_numpy(zero_copy_only=False)
             matrix = _matrix(batch["vector"], dim)
@@ -207,7 +207,8 @@ def _search(
         ]
     )
     wrong = F.raise_error(F.concat(F.lit(f"vector size is not {dim}: "), F.size("vector").cast("string")))
-    vectors = vectors.withColumn("vector", F.when(F.size("vector") == dim, F.col("vector")).otherwise(wrong))
+    fits = F.lit(sizes[0] is None) | (F.size("vector") == dim)  # without queries nothing is compared
+    vectors = vectors.withColumn("vector", F.when(fits, F.col("vector")).otherwise(wrong))
     size = measured_bytes(queries) + (measured_bytes(probes) if probes is not None else 0)
     if size <= max_bytes:
         partial = _search_broadcast(vectors, queries, probes, k, metric, dim, schema)
