@@ -23,7 +23,7 @@ LONGEST = 4  # characters of the longest n-gram
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 CACHED = 200_000  # unseen words whose score is kept
-LEAST_SCORE = 0.5  # under which a document of the pipeline is rejected
+LEAST_SCORE = 0.35  # under which a document of the pipeline is rejected
 EVIDENCE = 20  # words after which more of them make the score no surer
 
 

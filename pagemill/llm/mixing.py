@@ -7,13 +7,14 @@ and a document is taken once for every whole number its interval crosses.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import ordered_rank, saved, with_row
-from pagemill.operators.joins import lookup_join
+from pagemill.operators.joins import lookup_join, shared_folder
 
 WEIGHTS = (1.0, 2.0, 3.0)  # for sources by code point, repeating
 SHARE = 1.0  # of all sizes that the targets share
@@ -96,12 +97,21 @@ def mix(
 
 
 def mix_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The mixture of whole documents: every row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_doc")
-    rows = docs.select(whole, "doc_id", "source", word_count(F.col("text")).alias("size"))
-    taken = mix(rows, **settings).filter("copies > 0")
-    repeated = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*[F.col(f"_doc.`{n}`").alias(n) for n in docs.columns])
+    """The mixture of whole documents: every row of ``docs`` as often as it is taken, with the columns of ``docs``.
+
+    Documents are written once into the shared folder with a number for every row. Only numbers, sources and sizes are
+    ranked; the texts then meet their copies by row number, which spreads long documents evenly.
+    """
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/mixed-{uuid.uuid4().hex}"
+    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), word_count(F.col("text")).alias("size"), whole)
+    numbered.write.parquet(folder)
+    rows = spark.read.schema(numbered.schema).parquet(folder)
+    taken = mix(rows.select("row", "size", F.col("doc.source").alias("source"), F.col("doc.doc_id").alias("doc_id")), **settings)
+    taken = taken.filter("copies > 0").select("row", "copies")
+    repeated = rows.join(taken, "row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*[F.col(f"doc.`{n}`").alias(n) for n in docs.columns])
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
