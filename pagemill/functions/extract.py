@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions.columns import let
-from pagemill.functions.nodes import first_node, select_nodes, text_slice, text_without
+from pagemill.functions.nodes import first_node, outside, select_nodes, strictly_inside, text_slice, text_without
 from pagemill.functions.text import clean_text, trim_text
 from pagemill.functions.urls import resolve_url
 
@@ -33,10 +33,6 @@ def _attribute(dom: Column, selector: str, name: str) -> Column:
     return F.coalesce(first_node(dom, selector)["attrs"][name], F.lit(""))
 
 
-def _inside(node: Column, ranges: Column) -> Column:
-    return F.exists(ranges, lambda r: (r["i"] <= node["i"]) & (node["i"] <= r["last"]))
-
-
 # --- main content -------------------------------------------------------------------------------------------
 def _configured(dom: Column, selectors: Sequence[str]) -> Column:
     """Matches of the configured selectors: selector order, then document order."""
@@ -98,15 +94,12 @@ def page_view(dom: Column, selectors: Sequence[str] = ()) -> Column:
         )
 
     def with_fallback(p: Column) -> Column:
-        removed = F.filter(
-            p["boilerplate"],
-            lambda r: F.exists(p["blocks"], lambda m: (m["i"] < r["i"]) & (r["i"] <= m["last"])),
-        )
+        removed = strictly_inside(p["boilerplate"], p["blocks"])
         return let(
             removed,
             lambda cut: view(
                 _fallback_text(text, p["blocks"], p["boilerplate"]),
-                F.filter(read, lambda n: ~_inside(n, cut)),
+                outside(read, cut),
                 cut,
             ),
         )

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.functions.columns import let
+from pagemill.functions.columns import count_below, let
 from pagemill.functions.html_tree import PageTree
 
 NODE_TYPE = T.StructType(
@@ -203,8 +203,59 @@ def text_without(text: Column, node: Column, cut: Column) -> Column:
             ).otherwise(acc),
             lambda acc: F.concat(acc["out"], text_slice(text, acc["pos"], node["stop"])),
         )
-        return F.when(F.size(inner) == 0, text_slice(text, node["start"], node["stop"])).otherwise(kept)
+        none = inner.isNull() | (F.size(inner) == 0)
+        return F.when(none, text_slice(text, node["start"], node["stop"])).otherwise(kept)
 
     return F.when(F.size(cut) == 0, text_slice(text, node["start"], node["stop"])).otherwise(
-        let(F.filter(cut, lambda r: (r["i"] > node["i"]) & (r["i"] <= node["last"])), joined)
+        let(_inner(node, cut), joined)
     )
+
+
+FEW = 8  # ranges tested one by one; more are found by halving, which gives the same
+
+
+def _inner(node: Column, cut: Column) -> Column:
+    """The elements of ``cut`` strictly inside ``node``: neighbours, because both are in document order."""
+
+    def between(at: Column) -> Column:
+        # element by element, because slice() copies the whole array first; NULL for none
+        found = F.transform(F.sequence(at["first"], at["end"] - 1), lambda k: F.get(cut, k))
+        return F.when(at["first"] < at["end"], found)
+
+    def sliced(starts: Column) -> Column:
+        first, end = count_below(starts, node["i"] + 1), count_below(starts, node["last"] + 1)
+        return let(F.struct(first.alias("first"), end.alias("end")), between)
+
+    few = F.filter(cut, lambda r: (r["i"] > node["i"]) & (r["i"] <= node["last"]))
+    return F.when(F.size(cut) <= FEW, few).otherwise(let(F.transform(cut, lambda r: r["i"]), sliced))
+
+
+def _held(nodes: Column, ranges: Column, keep: bool, own: bool) -> Column:
+    """Ranges nest or are apart, so a node is held if more of them begin before it than end before it."""
+
+    def answer(held: Column) -> Column:
+        return held if keep else ~held
+
+    def one_by_one(n: Column) -> Column:
+        begins = lambda r: r["i"] <= n["i"] if own else r["i"] < n["i"]
+        return answer(F.exists(ranges, lambda r: begins(r) & (n["i"] <= r["last"])))
+
+    def halving(at: Column) -> Column:
+        first = 1 if own else 0
+        return F.filter(
+            nodes, lambda n: answer(count_below(at["starts"], n["i"] + first) > count_below(at["ends"], n["i"]))
+        )
+
+    ends = F.array_sort(F.transform(ranges, lambda r: r["last"]))
+    sides = F.struct(F.transform(ranges, lambda r: r["i"]).alias("starts"), ends.alias("ends"))
+    return F.when(F.size(ranges) <= FEW, F.filter(nodes, one_by_one)).otherwise(let(sides, halving))
+
+
+def outside(nodes: Column, ranges: Column) -> Column:
+    """``nodes`` that are in no range; a range holds its own element too."""
+    return _held(nodes, ranges, keep=False, own=True)
+
+
+def strictly_inside(nodes: Column, ranges: Column) -> Column:
+    """``nodes`` that are inside of another element of ``ranges``."""
+    return _held(nodes, ranges, keep=True, own=False)
