@@ -319,6 +319,21 @@ def q_crawl_documents(spark, sf_dir):
     return validate.crawl_report(outcomes(result))
 
 
+def q_crawl_linked_documents(spark, sf_dir):
+    """Pages that link to one another, crawled to a depth, with the document columns."""
+    _aug(spark, sf_dir).createOrReplaceTempView("aug")
+    spark.sql(C.SAME_HOST).createOrReplaceTempView("same_host")
+    pages = spark.sql(C.CRAWL_PAGES).withColumn("fetched_at", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")))
+    seeds = seed_frontier(spark.sql(C.CRAWL_SEEDS))
+    result = crawl_documents(
+        pages, seeds, C.MAX_DEPTH, robots=_sql(spark, sf_dir, C.ROBOTS), agent="testbot", content_tags=TAGS
+    )
+    return result.documents.select(
+        "url", "depth", "reject_reason", "hash_id", "title", "meta_description", "canonical_url", "language",
+        "publication_timestamp", "crawled_at",
+    )
+
+
 # --- vectors -----------------------------------------------------------------------------------------------
 def q_embed_dummy(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
@@ -464,6 +479,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fill_zero_vector": q_fill_zero_vector,
     "crawl_report": q_crawl_report,
     "crawl_documents": q_crawl_documents,
+    "crawl_linked_documents": q_crawl_linked_documents,
     "embed_dummy": q_embed_dummy,
     "embed_with": q_embed_with,
     "knn_l2": _knn("L2"),

@@ -52,3 +52,14 @@ KNN_K = 5
 MAX_DEPTH = 3
 CAP = 40
 DELAY_MS = 1000
+
+# the augmented pages with links to pages N // 4 and N // 2 of their own host (the page before them there, by id)
+CRAWL_PAGES = f"""select a.page_id, a.url, a.status, replace(a.html, '</article>', concat(
+    case when p.url is null then '' else concat('<a href="', p.url, '">up</a>') end,
+    case when h.url is null then '' else concat('<a href="', h.url, '">next</a>') end, '</article>')) as html
+  from aug a
+  left join pages p on p.page_id = cast(floor(a.page_id / 4) as bigint)
+  left join same_host h on h.page_id = a.page_id"""
+# for every page the next page of its host
+SAME_HOST = f"""select page_id, lead(url) over (partition by {HOST} order by page_id) as url from pages"""
+CRAWL_SEEDS = f"select url from (select url, row_number() over (partition by {HOST} order by page_id) as rn from pages) s where rn = 1"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
@@ -9,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators.frontier import crawl
-from pagemill.operators.joins import lookup_join, reliable_checkpoint
-from pagemill.operators.links import crawlable_links, page_links
+from pagemill.operators.joins import lookup_join, reliable_checkpoint, shared_folder
+from pagemill.operators.links import crawlable_links
 from pagemill.operators.robots import robots_allowed, robots_rules
-from pagemill.operators.validate import page_reject_reason
 from pagemill.plans.documents import documents_with_outcome
+from pagemill.schema import DOCUMENT_SCHEMA
 
 
 class CrawlResult(NamedTuple):
@@ -41,36 +42,52 @@ def crawl_documents(
     """Walk the link graph of ``pages`` (``url, status, html, fetched_at``, one row per URL) from ``seeds`` and turn
     the pages reached into documents.
 
-    A page that is disallowed or not usable ends its branch; one whose document is refused does not. The link pass
-    reads url and html only and keeps nothing but URLs; the document pass reads the pages reached. So pages are
-    parsed in two narrow jobs and no copy of the bodies is kept in between.
+    A page that is disallowed or not usable ends its branch; one whose document is refused does not. Every usable page is
+    parsed once, into a table in the shared folder that holds its document and its links. Robots are decided on URLs
+    alone. The walk reads the links of that table, and one join by URL takes out the documents reached.
     """
-    captured = pages.select("url")
+    spark = pages.sparkSession
+    parsed = documents_with_outcome(pages, content_tags, limits, embed, dimension, drop_empty, links=True)
+    folder = f"{shared_folder(spark)}/crawled-{uuid.uuid4().hex}"
+    parsed.write.parquet(folder)
+    table = spark.read.schema(parsed.schema).parquet(folder)
+
+    links = table.select(F.col("url").alias("src_url"), F.inline("links"))
+    barred = None
     if robots is not None:
-        pages = robots_allowed(pages, robots_rules(robots, agent))
-    have = pages.columns
-    reason = page_reject_reason(
-        F.col("url"),
-        F.col("allowed") if "allowed" in have else None,
-        F.col("status") if "status" in have else None,
-    )
-    usable = pages.filter(reason.isNull())
-    links = page_links(usable, content_tags) if max_depth > 0 else None
-    if links is None:
+        gate = robots_allowed(table.filter("NOT reject_reason <=> 'bad_url'").select("url"), robots_rules(robots, agent))
+        barred = reliable_checkpoint(gate.filter("NOT allowed").select("url"))
+        links = lookup_join(links, barred.withColumnRenamed("url", "src_url"), ["src_url"], "left_anti", materialized=True)
+    if max_depth <= 0:
         reached = reliable_checkpoint(seeds.groupBy("url").agg(F.min("depth").alias("depth")))
     else:
         if filter_seeds:
             own = seeds.select(F.col("url").alias("src_url"), "url", "depth")
             seeds = crawlable_links(own, excluded_domains, ad_patterns).select("url", "depth")
         reached = crawl(seeds, crawlable_links(links, excluded_domains, ad_patterns), max_depth, cap)
-    found = lookup_join(pages, reached, ["url"], "inner", materialized=True)
-    documents = documents_with_outcome(
-        found, content_tags, limits, embed, dimension, drop_empty, extra=["depth"]
-    )
-    missing = reached.join(captured, "url", "left_anti")
+    missing = reached.join(table.select("url"), "url", "left_anti")
+
+    wanted = reached
+    if barred is not None:
+        wanted = wanted.join(barred.withColumn("_barred", F.lit(True)), "url", "left")
+    wanted = reliable_checkpoint(wanted)
+    found = lookup_join(table.drop("links"), wanted, ["url"], "inner", materialized=True)
+    if barred is not None:
+        found = _without_barred(found)
+    documents = found.select(*DOCUMENT_SCHEMA.names, "depth", "reject_reason")
     return CrawlResult(reached, documents, missing)
 
 
+def _without_barred(found: DataFrame) -> DataFrame:
+    """Robots come after a bad URL and before every other reason; nothing is kept from the parser."""
+    kept = ("url", "html_source", "crawled_at")
+    columns = [
+        F.col(c) if c in kept else F.when(F.col("_barred").isNull(), F.col(c)).alias(c) for c in DOCUMENT_SCHEMA.names
+    ]
+    reason = F.when(F.col("_barred"), F.lit("robots")).otherwise(F.col("reject_reason"))
+    return found.select(*columns, "depth", reason.alias("reject_reason"))
+
+
 def outcomes(result: CrawlResult) -> DataFrame:
     """``depth, outcome`` of every URL reached, for `crawl_report`: stored, empty_content, not_captured or the
     reject reason."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import extract as X
 from pagemill.functions.nodes import html_nodes
 from pagemill.functions.text import content_hash
+from pagemill.functions.urls import resolve_hrefs
 from pagemill.operators.validate import document_reject_reason, page_reject_reason, zero_filled
 from pagemill.schema import DOCUMENT_SCHEMA
 
@@ -29,8 +30,10 @@ def to_documents(
     dimension: int | None = None,
     extra: Sequence[str] = (),
     usable: Column | None = None,
+    links: bool = False,
 ) -> DataFrame:
-    """One 12-column document per page (plus the ``extra`` input columns). Map-only.
+    """One 12-column document per page (plus the ``extra`` input columns). Map-only. With ``links`` the resolved links
+    of the page are a last column, from the same parse.
 
     ``crawled_at`` is Unix seconds of ``fetched_at`` where the input has it, else of now. A missing date is 0.
     ``content_vector`` is empty unless ``embed`` is given, which then gets the main content; with ``dimension``
@@ -52,11 +55,14 @@ def to_documents(
         X.extract_headings(page).alias("headings_text"),
         F.unix_seconds(stamp).alias("crawled_at"),
         *extra,
+        *([resolve_hrefs(url, X.extract_links(page)).alias("links")] if links else []),
     )
     vector = embed(F.col("main_content")) if embed else F.array().cast("array<float>")
     if dimension is not None:
         vector = zero_filled(vector, dimension)
-    return rows.select(*DOCUMENT_SCHEMA.names[:-1], vector.alias("content_vector"), *extra)
+    return rows.select(
+        *DOCUMENT_SCHEMA.names[:-1], vector.alias("content_vector"), *extra, *(["links"] if links else [])
+    )
 
 
 def documents_with_outcome(
@@ -67,11 +73,13 @@ def documents_with_outcome(
     dimension: int | None = None,
     drop_empty: bool = False,
     extra: Sequence[str] = (),
+    links: bool = False,
 ) -> DataFrame:
     """One row per captured page: the document, or NULLs where the page is dropped before parsing, and
     ``reject_reason`` (NULL for a document to store). ``pages`` may have ``status`` and ``allowed``.
 
-    One pass over the pages: a dropped page stays in its row and only its body is kept from the parser.
+    One pass over the pages: a dropped page stays in its row and only its body is kept from the parser. With ``links``
+    the links of the pages not dropped before parsing are a last column.
     """
     have = pages.columns
     early = page_reject_reason(
@@ -81,7 +89,7 @@ def documents_with_outcome(
     )
     tagged = pages.withColumn("reject_reason", early)
     docs = to_documents(
-        tagged, content_tags, embed, dimension, [*extra, "reject_reason"], F.col("reject_reason").isNull()
+        tagged, content_tags, embed, dimension, [*extra, "reject_reason"], F.col("reject_reason").isNull(), links
     )
     late = document_reject_reason(limits, dimension)
     if drop_empty:
@@ -91,4 +99,5 @@ def documents_with_outcome(
         F.col(c) if c in kept else F.when(F.col("reject_reason").isNull(), F.col(c)).alias(c)
         for c in DOCUMENT_SCHEMA.names
     ]
-    return docs.select(*columns, *extra, F.coalesce(F.col("reject_reason"), late).alias("reject_reason"))
+    found = [F.when(F.col("reject_reason").isNull(), F.col("links")).alias("links")] if links else []
+    return docs.select(*columns, *extra, F.coalesce(F.col("reject_reason"), late).alias("reject_reason"), *found)

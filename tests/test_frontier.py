@@ -194,6 +194,7 @@ def test_whole_crawl(spark, tmp_path):
         ad_patterns=["/ad[0-9]"],
         limits={"title": 3},
     )
+    assert "Python" not in plan_of(result.documents)  # pages were parsed once, into the table that is joined
     at = "http://s.test"
     assert depths(result.reached) == {f"{at}/": 0, f"{at}/a": 1, f"{at}/robo": 1, f"{at}/gone": 1, f"{at}/none": 1, f"{at}/b": 2}
     reasons = {r["url"][len(at) :]: r["reject_reason"] for r in result.documents.collect()}
