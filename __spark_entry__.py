@@ -101,6 +101,15 @@ def q_write_documents(spark, sf_dir):
     return _doc_columns(write_documents(to_documents(_aug(spark, sf_dir), TAGS), _scratch(spark) + "/documents"))
 
 
+def q_write_document_vectors(spark, sf_dir):
+    """Vectors of stored documents, zeros where a document has none."""
+    embed = lambda text: F.when(F.octet_length(F.col("url")) % 2 == 0, E.embed_dummy(text, C.VECTOR_DIM))
+    docs = to_documents(_aug(spark, sf_dir), TAGS, embed=embed)
+    stored = write_documents(docs, _scratch(spark) + "/documents", dimension=C.VECTOR_DIM)
+    rows = stored.select("url", F.posexplode("content_vector").alias("i", "v"))
+    return rows.select("url", "i", F.round(F.col("v").cast("double"), 5).alias("v"))
+
+
 # --- extraction --------------------------------------------------------------------------------------------
 def q_html_nodes(spark, sf_dir):
     dom = _pages(spark, sf_dir).select("page_id", html_nodes(F.col("html")).alias("dom"))
@@ -153,6 +162,14 @@ def q_clean_text(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", clean_text(F.col("text")).alias("clean"))
 
 
+def q_main_content_deep(spark, sf_dir):
+    """Articles behind more open elements than browsers nest."""
+    html = F.replace(F.col("html"), F.lit("<article>"), F.lit("<font>" * C.OPEN_ELEMENTS + "<article>"))
+    dom = _pages(spark, sf_dir).select("page_id", html_nodes(html).alias("dom"))
+    content = dom.select("page_id", X.extract_main_content(F.col("dom"), TAGS).alias("main_content"))
+    return content.withColumn("hash_id", content_hash(F.col("main_content")))
+
+
 def q_content_hash(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("hash_id"))
 
@@ -207,6 +224,12 @@ def q_dedup_documents(spark, sf_dir):
     return kept.select("hash_id", "doc_id", F.octet_length("text").cast("long").alias("bytes"))
 
 
+def q_dedup_page_documents(spark, sf_dir):
+    """One document per content hash of the written page documents."""
+    written = write_documents(to_documents(_aug(spark, sf_dir), TAGS), _scratch(spark) + "/documents")
+    return _doc_columns(dedup.dedup_documents(written, order=["url"]))
+
+
 def q_duplicate_groups(spark, sf_dir):
     return dedup.duplicate_groups(_hashed_texts(spark, sf_dir), member="doc_id")
 
@@ -370,6 +393,14 @@ def _knn(metric: str, **options) -> Callable:
     return query
 
 
+def q_knn_missing_vectors(spark, sf_dir):
+    """Some vectors are null or empty, the first row's among them."""
+    kind = F.col("vec_id") % 5
+    some = F.when(kind > 1, F.col("embedding")).when(kind == 0, F.slice("embedding", 1, 0))
+    v = _embeddings(spark, sf_dir).withColumn("embedding", some)
+    return vectors.knn_l2(v, v, C.KNN_K, **COLUMNS).withColumn("score", F.round("score", 6))
+
+
 def _ivf(spark, sf_dir, nlist=16):
     v = _embeddings(spark, sf_dir)
     model = vectors.ivf_train(v, nlist, vector_col="embedding")
@@ -444,6 +475,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ok_responses": q_ok_responses,
     "seed_frontier": q_seed_frontier,
     "write_documents": q_write_documents,
+    "write_document_vectors": q_write_document_vectors,
     "html_nodes": q_html_nodes,
     "select_nodes": q_select_nodes,
     "extract_title": _extracted("title", X.extract_title),
@@ -454,6 +486,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extract_headings": _extracted("headings_text", X.extract_headings),
     "main_content_tags": _content(TAGS),
     "main_content_fallback": _content([]),
+    "main_content_deep": q_main_content_deep,
     "clean_text": q_clean_text,
     "content_hash": q_content_hash,
     "to_documents": q_to_documents,
@@ -465,6 +498,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "not_excluded_domain_table": q_not_excluded_domain_table,
     "not_ad_link": q_not_ad_link,
     "dedup_documents": q_dedup_documents,
+    "dedup_page_documents": q_dedup_page_documents,
     "duplicate_groups": q_duplicate_groups,
     "duplicate_members": q_duplicate_members,
     "expand_frontier": _round,
@@ -485,6 +519,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_l2": _knn("L2"),
     "knn_ip": _knn("IP"),
     "knn_l2_blocks": _knn("L2", max_bytes=0, vector_block=500, query_block=200),
+    "knn_missing_vectors": q_knn_missing_vectors,
     "ivf_assign": q_ivf_assign,
     "knn_ivf": q_knn_ivf,
     "stream_documents": q_stream_documents,

@@ -48,6 +48,8 @@ AD_PATTERNS = [r"/(?P<word>[Tt]he)", "q=1", "%C3%BC", "/[[:upper:]][[:lower:]]$"
 AD_PATTERNS_SQL = [r"/([Tt]he)", "q=1", "%C3%BC", "/[[:upper:]][[:lower:]]$"]
 LIMITS = {"url": 60, "html_source": 20_000, "main_content": 8_000, "title": 70, "language": 0}
 EMBED_DIM = 64
+VECTOR_DIM = 8
+OPEN_ELEMENTS = 600
 KNN_K = 5
 MAX_DEPTH = 3
 CAP = 40
