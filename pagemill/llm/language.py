@@ -2,7 +2,8 @@
 by the longest character n-grams that are known.
 
 The classifier is fitted on a bounded sample of labelled rows (``SAMPLE_CHARS`` characters of whole texts a language,
-documented here); everything else covers all rows. The model is bounded by ``WORDS`` and ``GRAMS`` entries a language.
+documented here); everything else covers all rows. The model is bounded by ``WORDS`` and ``GRAMS`` entries a language, and
+by ``CELLS`` scores in each of its tables where there are many languages.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pagemill.llm.common import saved, slices
 SAMPLE_CHARS = 4_000_000  # expected characters of the fitted sample, per language
 WORDS = 20_000  # most frequent words kept per language
 GRAMS = 20_000  # most frequent n-grams kept per language and length
+CELLS = 8_000_000  # scores of all languages in one table
 LONGEST = 4  # characters of the longest n-gram
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -68,7 +70,8 @@ class Model:
         import numpy as np
 
         self.known = {w: k for k, w in enumerate(self.tables[0])}
-        self.vectors = np.zeros((len(self.known) + CACHED, len(self.langs)), np.float64)
+        cached = min(CACHED, CELLS // max(1, len(self.langs)))
+        self.vectors = np.zeros((len(self.known) + cached, len(self.langs)), np.float64)
         if self.known:
             self.vectors[: len(self.known)] = list(self.tables[0].values())
         self.index = dict(self.known)
@@ -129,13 +132,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", sample_chars: int = SAMPLE_
     counts = saved(counts.groupBy("lang", "n", "item").agg(F.sum("times").alias("times")))
     totals = {(r["lang"], r["n"]): r["t"] for r in counts.groupBy("lang", "n").agg(F.sum("times").alias("t")).collect()}
     by = Window.partitionBy("lang", "n").orderBy(F.col("times").desc(), "item")
-    kept = F.when(F.col("n") == 0, F.lit(WORDS)).otherwise(F.lit(GRAMS))
+    most = max(100, CELLS // len(sizes) ** 2)
+    kept = F.when(F.col("n") == 0, F.lit(min(WORDS, most))).otherwise(F.lit(min(GRAMS, most)))
     frequent = counts.withColumn("_k", F.row_number().over(by)).filter(F.col("_k") <= kept).drop("_k")
     langs = sorted({r["lang"] for r in sizes})
     column = {lang: k for k, lang in enumerate(langs)}
     absent = [[math.log(0.5 / (totals.get((lang, n), 0) + 1)) for lang in langs] for n in range(LONGEST + 1)]
     tables: list[dict[str, list[float]]] = [{} for _ in range(LONGEST + 1)]
-    for r in frequent.collect():  # at most WORDS + LONGEST * GRAMS rows per language
+    for r in frequent.collect():  # at most WORDS + LONGEST * GRAMS rows per language, and fewer for many
         row = tables[r["n"]].setdefault(r["item"], list(absent[r["n"]]))
         row[column[r["lang"]]] = math.log(r["times"] / (totals[r["lang"], r["n"]] + 1))
     return Model(langs, tables, absent)
