@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions.columns import let
-from pagemill.functions.nodes import first_node, outside, select_nodes, strictly_inside, text_slice, text_without
+from pagemill.functions.nodes import first_node, outside, select_nodes, starts_of, strictly_inside, text_slice, text_without
 from pagemill.functions.text import clean_text, trim_text
 from pagemill.functions.urls import resolve_url
 
@@ -47,7 +47,10 @@ def _configured_text(text: Column, found: Column) -> Column:
 
 
 def _fallback_text(text: Column, blocks: Column, boilerplate: Column) -> Column:
-    texts = F.transform(blocks, lambda n: trim_text(text_without(text, n, boilerplate)))
+    texts = let(
+        starts_of(boilerplate),
+        lambda starts: F.transform(blocks, lambda n: trim_text(text_without(text, n, boilerplate, starts))),
+    )
     long_texts = F.filter(texts, lambda b: F.octet_length(b) > MIN_BLOCK_BYTES)
     return clean_text(F.array_join(F.transform(long_texts, lambda b: F.concat(b, F.lit("\n\n"))), ""))
 

@@ -187,8 +187,14 @@ def text_slice(text: Column, start: Column, stop: Column) -> Column:
     return F.substring(text, start + 1, stop - start).cast("string")
 
 
-def text_without(text: Column, node: Column, cut: Column) -> Column:
-    """Text of ``node`` without the elements of ``cut`` that lie strictly inside it (``cut`` in document order)."""
+def starts_of(ranges: Column) -> Column:
+    """Numbers of the elements of ``ranges``, to be bound once for many calls of `text_without`."""
+    return F.transform(ranges, lambda r: r["i"])
+
+
+def text_without(text: Column, node: Column, cut: Column, starts: Column | None = None) -> Column:
+    """Text of ``node`` without the elements of ``cut`` that lie strictly inside it (``cut`` in document order).
+    ``starts`` is `starts_of` ``cut``; give it where this is used for many nodes of a page."""
 
     def joined(inner: Column) -> Column:
         kept = F.aggregate(
@@ -207,14 +213,14 @@ def text_without(text: Column, node: Column, cut: Column) -> Column:
         return F.when(none, text_slice(text, node["start"], node["stop"])).otherwise(kept)
 
     return F.when(F.size(cut) == 0, text_slice(text, node["start"], node["stop"])).otherwise(
-        let(_inner(node, cut), joined)
+        let(_inner(node, cut, starts), joined)
     )
 
 
 FEW = 8  # ranges tested one by one; more are found by halving, which gives the same
 
 
-def _inner(node: Column, cut: Column) -> Column:
+def _inner(node: Column, cut: Column, starts: Column | None) -> Column:
     """The elements of ``cut`` strictly inside ``node``: neighbours, because both are in document order."""
 
     def between(at: Column) -> Column:
@@ -227,7 +233,7 @@ def _inner(node: Column, cut: Column) -> Column:
         return let(F.struct(first.alias("first"), end.alias("end")), between)
 
     few = F.filter(cut, lambda r: (r["i"] > node["i"]) & (r["i"] <= node["last"]))
-    return F.when(F.size(cut) <= FEW, few).otherwise(let(F.transform(cut, lambda r: r["i"]), sliced))
+    return F.when(F.size(cut) <= FEW, few).otherwise(let(starts_of(cut), sliced) if starts is None else sliced(starts))
 
 
 def _held(nodes: Column, ranges: Column, keep: bool, own: bool) -> Column:

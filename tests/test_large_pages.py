@@ -55,4 +55,4 @@ def test_sixteen_thousand_blocks(spark):
         text = content.first()["c"]
         took.append(time.time() - start)
         assert f"Paragraph {blocks - 1} " in text and "menu" not in text
-    assert took[1] < 20 and took[1] < 10 * max(took[0], 0.5)
+    assert took[1] < 10 * max(took[0], 0.5)
