@@ -4,6 +4,9 @@ Seeds (e-mail and IP addresses, card and phone numbers, long hexadecimal secrets
 and every other token that looks like an identifier stands in a lexical pattern, the items to its left. Spark scores the
 graph of patterns and instances in rounds: patterns by the share of trusted instances among all they take, instances
 by the patterns that take them. Patterns of high confidence then mark identifiers of unseen form.
+
+The accepted patterns are a saved table. Tasks get all of them while they are few; beyond that the candidates of the
+texts are joined to the table, with the same result.
 """
 
 from __future__ import annotations
@@ -15,13 +18,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import saved, slices
+from pagemill.llm.common import saved, slices, with_row
+from pagemill.operators.joins import lookup_join
 
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
 BASE = 4  # the first kinds are the base ones
 ROUNDS = 4
 SUPPORT = 5  # trusted instances a pattern needs
-RELATIVE_SUPPORT = 1e-5  # and as a share of all trusted pairs: so at most 1 / this many patterns are ever accepted
+SHARED = 100_000  # accepted patterns that tasks hold in memory; more are joined
 CONFIDENCE = 0.6  # trusted share of a pattern's instances
 TRUST = 0.8  # score from which an instance counts as trusted
 CONTEXT = 2  # items of a pattern
@@ -158,37 +162,41 @@ def pattern_graph(docs: DataFrame) -> DataFrame:
     return edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
 
 
-def learn_patterns(docs: DataFrame, rounds: int = ROUNDS) -> list[int]:
-    """Hashes of the patterns accepted after ``rounds`` rounds over the pattern-instance graph of all texts.
+def accepted_patterns(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Saved table ``(pattern, confidence)`` of the patterns accepted after ``rounds`` rounds over the pattern-instance
+    graph of all texts.
 
     A pattern's confidence is the trusted share of its distinct instances. It is accepted with ``SUPPORT`` trusted
-    instances and at least ``RELATIVE_SUPPORT`` of all trusted pairs; every pair has one pattern, so at most
-    1 / ``RELATIVE_SUPPORT`` patterns pass at any size of the corpus, which is why they may reach the driver. An instance
-    is trusted if it is a seed, or if the accepted patterns that take it leave at most 1 - ``TRUST`` doubt together.
+    instances, however many others there are. An instance is trusted if it is a seed, or if the accepted patterns that
+    take it leave at most 1 - ``TRUST`` doubt together. Nothing but two sums per round reaches the driver.
     """
     edges = saved(pattern_graph(docs).withColumn("trusted", F.col("seed")))
-    accepted: list[int] = []
+    mark = None
     for _ in range(rounds):
         trusted = F.sum(F.col("trusted").cast("long"))
         scored = edges.groupBy("pattern").agg(trusted.alias("f"), F.count(F.lit(1)).alias("n"))
-        pairs = edges.filter("trusted").count()
-        least = max(SUPPORT, RELATIVE_SUPPORT * pairs)
-        good = scored.filter((F.col("f") >= least) & (F.col("f") >= CONFIDENCE * F.col("n")))
-        good = good.select("pattern", (F.col("f") / F.col("n")).alias("confidence"))
-        rows = good.collect()
-        now = sorted(r["pattern"] for r in rows)
-        if now == accepted:
+        good = scored.filter((F.col("f") >= SUPPORT) & (F.col("f") >= CONFIDENCE * F.col("n")))
+        good = saved(good.select("pattern", (F.col("f") / F.col("n")).alias("confidence")))
+        hashes = F.sum(F.xxhash64("pattern").cast("decimal(38,0)"))
+        now = tuple(good.agg(F.count(F.lit(1)), hashes).first())
+        if now == mark:
             break
-        accepted = now
+        mark = now
         doubt = F.log(F.lit(1.0) - F.least(F.col("confidence"), F.lit(0.999)))
-        taken = edges.join(F.broadcast(good), "pattern").groupBy("instance").agg(F.sum(doubt).alias("_doubt"))
+        taken = lookup_join(edges, good, ["pattern"], "inner", materialized=True)
+        taken = taken.groupBy("instance").agg(F.sum(doubt).alias("_doubt"))
         sure = taken.filter(F.exp("_doubt") <= 1 - TRUST).select("instance", F.lit(True).alias("_sure"))
         edges = saved(
             edges.join(sure, "instance", "left")
             .withColumn("trusted", F.col("seed") | F.coalesce("_sure", F.lit(False)))
             .drop("_sure")
         )
-    return accepted
+    return good
+
+
+def learn_patterns(docs: DataFrame, rounds: int = ROUNDS) -> list[int]:
+    """Hashes of the accepted patterns in order, on the driver: for tables with few of them."""
+    return sorted(r["pattern"] for r in accepted_patterns(docs, rounds).select("pattern").collect())
 
 
 def all_spans(text: str, accepted: frozenset[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -198,12 +206,51 @@ def all_spans(text: str, accepted: frozenset[int]) -> tuple[list[tuple[int, int,
     return base, sorted(base + more)
 
 
-def find_personal_data(docs: DataFrame, accepted: list[int]) -> DataFrame:
-    """``doc_id`` with ``base`` and ``spans``, arrays of (start, kind, end) in code points; map-only.
+def _with_hits(docs: DataFrame, accepted: list[int] | DataFrame) -> tuple[DataFrame, list[int]]:
+    """``docs`` with ``_hits``, the accepted patterns its text has where they are joined (else null), and the patterns
+    that go to all tasks.
+
+    A table of more than ``SHARED`` patterns is joined with the distinct patterns of every row's candidates; the hits
+    come back by row number. Both ways give the same spans.
+    """
+    if isinstance(accepted, DataFrame):
+        few = accepted.select("pattern").limit(SHARED + 1).collect()
+        if len(few) > SHARED:
+            return _joined_hits(docs, accepted.select("pattern").distinct()), []
+        accepted = [r["pattern"] for r in few]
+    return docs.withColumn("_hits", F.lit(None).cast("array<long>")), accepted
+
+
+def _joined_hits(docs: DataFrame, accepted: DataFrame) -> DataFrame:
+    rows = with_row(docs)
+
+    def candidates(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            numbers, patterns = [], []
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = {o.pattern for o in occurrences(text or "")[1] if o.kind >= BASE}
+                numbers += [number] * len(own)
+                patterns += own
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(numbers, pa.int64()), pa.array(patterns, pa.int64())], names=["_row", "pattern"]
+            )
 
-    A null text is empty. Every row gives one row, repeated ones too; other columns are not read.
+    found = saved(rows.select("_row", "text").mapInArrow(candidates, "_row long, pattern long"))
+    hits = lookup_join(found, accepted, ["pattern"], "left_semi")
+    hits = hits.groupBy("_row").agg(F.collect_list("pattern").alias("_hits"))  # of one text
+    return lookup_join(rows, hits, ["_row"]).drop("_row")
+
+
+def find_personal_data(docs: DataFrame, accepted: list[int] | DataFrame) -> DataFrame:
+    """``doc_id`` with ``base`` and ``spans``, arrays of (start, kind, end) in code points.
+
+    ``accepted`` is a list of patterns or a table of them; up to ``SHARED`` of them this is map-only. A null text is
+    empty. Every row gives one row, repeated ones too; other columns are not read.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    docs, accepted = _with_hits(docs.select("doc_id", "text"), accepted)
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(accepted))
     span = "array<struct<start: long, kind: string, end: long>>"
 
@@ -212,14 +259,17 @@ def find_personal_data(docs: DataFrame, accepted: list[int]) -> DataFrame:
 
         kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
         for batch in slices(batches):
-            found = [all_spans(text or "", shared.value) for text in batch.column(1).to_pylist()]
+            found = [
+                all_spans(text or "", shared.value if hits is None else frozenset(hits))
+                for text, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            ]
             columns = [
                 pa.array([[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in f[which]] for f in found], kind)
                 for which in (0, 1)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "base", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {id_type}, base {span}, spans {span}")
+    return docs.select("doc_id", "text", "_hits").mapInArrow(find, f"doc_id {id_type}, base {span}, spans {span}")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -232,24 +282,29 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*parts, text[done:]])
 
 
-def redact_documents(docs: DataFrame, accepted: list[int]) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced and ``n_chars``, where there is one, counted anew; map-only.
+def redact_documents(docs: DataFrame, accepted: list[int] | DataFrame) -> DataFrame:
+    """``docs`` with personal data in ``text`` replaced and ``n_chars``, where there is one, counted anew.
 
-    All other columns and all rows stay as they are; a null text stays null.
+    ``accepted`` is a list of patterns or a table of them; up to ``SHARED`` of them this is map-only. All other columns
+    and all rows stay as they are; a null text stays null.
     """
+    schema, at = docs.schema, docs.columns.index("text")
+    given, accepted = _with_hits(docs, accepted)
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(accepted))
-    at = docs.columns.index("text")
 
     def clean(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         for batch in slices(batches):
-            texts = [x and redact(x, all_spans(x, shared.value)[1]) for x in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
+            texts = [
+                x and redact(x, all_spans(x, shared.value if hits is None else frozenset(hits))[1])
+                for x, hits in zip(batch.column(at).to_pylist(), batch.column(len(schema)).to_pylist(), strict=True)
+            ]
+            columns = list(batch.columns)[:-1]
             columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    cleaned = docs.mapInArrow(clean, docs.schema)
+    cleaned = given.select(*docs.columns, "_hits").mapInArrow(clean, schema)
     if "n_chars" in docs.columns:
         count = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
         cleaned = cleaned.withColumn("n_chars", count)

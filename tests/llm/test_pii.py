@@ -84,3 +84,21 @@ def test_empty_table(spark):
     docs = corpus(spark).limit(0)
     assert pii.learn_patterns(docs) == []
     assert pii.find_personal_data(docs, []).count() == 0
+
+
+def test_rare_patterns_are_accepted_beside_any_number_of_others(spark, monkeypatch):
+    many = spark.range(600_000).selectExpr("1L pattern", "id + 100 instance", "true seed")
+    rare = spark.createDataFrame([(0, i, i < 5) for i in range(6)], "pattern long, instance long, seed boolean")
+    monkeypatch.setattr(pii, "pattern_graph", lambda docs: many.unionByName(rare))
+    assert pii.learn_patterns(None) == [0, 1]
+
+
+def test_joined_patterns_give_the_same(spark, monkeypatch):
+    docs = corpus(spark)
+    accepted = pii.accepted_patterns(docs)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["text"] if "text" in r else r["spans"])
+    found = [sorted(f(docs, accepted).collect(), key=key) for f in (pii.find_personal_data, pii.redact_documents)]
+    monkeypatch.setattr(pii, "SHARED", 0)
+    joined = [sorted(f(docs, accepted).collect(), key=key) for f in (pii.find_personal_data, pii.redact_documents)]
+    assert joined == found
+    assert any(s["kind"] == "id" for r in joined[0] for s in r["spans"])
