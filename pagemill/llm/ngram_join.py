@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.llm.common import connected_components, saved, slices
 
@@ -236,6 +237,26 @@ def near_duplicates(
     (null, empty) has no n-gram and no links, and is a class of its own. A row without doc_id cannot be named: it is
     returned with null class and no links and takes no part. Equal texts are known by a 64-bit hash of their words.
     """
+    signed, texts, linked = _linked_texts(docs, similarity, n, recall, permutations)
+    every = texts.select("key", "copies", "first_doc").join(linked, "key", "left")
+    every = every.select(
+        "key",
+        F.coalesce("class_id", "first_doc").alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    )
+    named = F.col("doc_id").isNotNull()
+    compared = signed.filter(named & F.col("bands").isNotNull()).select("doc_id", "key").join(every, "key")
+    alone = signed.filter(~(named & F.col("bands").isNotNull())).select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")
+    )
+    return compared.select("doc_id", "class_id", "n_links").unionByName(alone)
+
+
+def _linked_texts(
+    docs: DataFrame, similarity: float, n: int, recall: float, permutations: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, distinct texts, and of the texts with a link ``key, links, class_id, root``: ``root``
+    is the least key of the class, which tells classes apart where their texts share doc_ids."""
     bands, rows = choose_bands(similarity, recall, permutations)
     signed, texts = distinct_texts(docs, bands, rows, n)
     texts = saved(texts)
@@ -286,19 +307,7 @@ def near_duplicates(
     linked = links.join(parts.withColumnRenamed("node", "key"), "key")
     firsts = texts.select("key", "first_doc").join(linked, "key")
     classes = firsts.groupBy("root").agg(F.min("first_doc").alias("class_id"))
-    linked = linked.join(classes, "root").select("key", "links", "class_id")
-    every = texts.select("key", "copies", "first_doc").join(linked, "key", "left")
-    every = every.select(
-        "key",
-        F.coalesce("class_id", "first_doc").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-    )
-    named = F.col("doc_id").isNotNull()
-    compared = signed.filter(named & F.col("bands").isNotNull()).select("doc_id", "key").join(every, "key")
-    alone = signed.filter(~(named & F.col("bands").isNotNull())).select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")
-    )
-    return compared.select("doc_id", "class_id", "n_links").unionByName(alone)
+    return signed, texts, linked.join(classes, "root").select("key", "links", "class_id", "root")
 
 
 def _blocks(count, chars):
@@ -306,13 +315,37 @@ def _blocks(count, chars):
     return F.greatest(F.ceil(count / TILE_ROWS), F.ceil(chars / TILE_CHARS)).cast("long")
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` without near duplicates: of every class the document with the smallest doc_id stays, once.
+def _keys(batches: Iterable) -> Iterator:
+    """Arrow function: the row with the key of its text, null without words."""
+    import pyarrow as pa
+
+    for batch in slices(batches):
+        found = [words(text or "") for text in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        keys = pa.array([text_key(f) if f else None for f in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "_key"])
+
+
+def keep_one(
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    n: int = SHINGLE,
+    recall: float = RECALL,
+    permutations: int = PERMUTATIONS,
+) -> DataFrame:
+    """``docs`` without near duplicates: of every class one row stays, that with the smallest doc_id.
 
-    Rows without doc_id stay. ``doc_id`` names a document: of several rows with one id, one stays.
+    ``doc_id`` need not be unique: texts with one id that do not hang together are classes of their own, and of several
+    texts of a class with its smallest id that with the smallest key stays; of rows with this id and these words one
+    stays, by a hash of the text. Rows without doc_id and rows without words stay.
     """
-    kept = near_duplicates(docs, **settings).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = named.withColumn("_row", F.row_number().over(once)).filter("_row = 1").drop("_row")
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    _, texts, linked = _linked_texts(docs, similarity, n, recall, permutations)
+    classes = texts.select("key", "first_doc").join(linked.select("key", "root"), "key", "left")
+    first = classes.groupBy(F.coalesce("root", "key").alias("_class")).agg(F.min(F.struct("first_doc", "key")).alias("_m"))
+    kept = first.select(F.col("_m.first_doc").alias("_id"), F.col("_m.key").alias("_key"))
+    schema = T.StructType([*docs.schema, T.StructField("_key", T.LongType())])
+    keyed = docs.mapInArrow(_keys, schema).withColumn("_id", F.col("doc_id").cast("long"))
+    plain = F.col("_id").isNull() | F.col("_key").isNull()
+    once = Window.partitionBy("_id", "_key").orderBy(F.xxhash64("text"))  # cut to one row before the exchange as well
+    named = keyed.filter(~plain).withColumn("_row", F.row_number().over(once)).filter("_row = 1")
+    named = named.join(kept, ["_id", "_key"], "left_semi")
+    return named.select(*docs.columns).unionByName(keyed.filter(plain).select(*docs.columns))

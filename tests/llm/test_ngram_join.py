@@ -87,3 +87,23 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(docs).count() == 0
     assert N.keep_one(docs).count() == 0
+
+
+def test_one_id_with_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    near, c, d = b + " end", " ".join(f"c{i}" for i in range(40)), " ".join(f"d{i}" for i in range(40))
+    rows = [(5, a), (5, b), (3, near), (7, c), (7, d), (7, d), (8, d), (9, ""), (9, None), (9, c + " end"), (None, c)]
+    for part in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, 0) for i, t in part], "doc_id int, text string, _n int")
+        got = [(r["doc_id"], r["text"]) for r in N.keep_one(docs).collect()]
+        want = [(5, a), (3, near), (7, c), (7, d), (9, ""), (9, None), (None, c)]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_repeats_of_one_row_are_cut_before_the_exchange(spark):
+    from conftest import plan_of
+
+    docs = spark.createDataFrame([(1, "a b c")] * 50, "doc_id long, text string")
+    kept = N.keep_one(docs)
+    assert kept.count() == 1
+    assert "Partial" in "".join(x for x in plan_of(kept).splitlines() if "WindowGroupLimit" in x)
