@@ -145,8 +145,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Token pieces of every whole text: ``doc_id, piece, start, length, ids_crc32``; map-only.
 
-    ``tokenizer`` is the path of a byte-level BPE file, the same on all machines. A null text is an empty one and
-    gives the end id alone. Documents over ``capacity`` ids are cut; the first piece takes the remainder.
+    ``tokenizer`` is the path of a byte-level BPE file, the same on all machines; its added tokens are known
+    in the texts. A null text is an empty one and gives the end id alone. Documents over ``capacity`` ids are cut; the first piece takes the remainder.
     """
 
     def cut(batches: Iterable) -> Iterator:
@@ -155,7 +155,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         import numpy as np
         import pyarrow as pa
 
-        encoder = PieceEncoder(tokenizer)
+        encoder = PieceEncoder(tokenizer, added_tokens=True)
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]

@@ -122,3 +122,21 @@ def test_empty_and_wrong(spark):
     assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
     with pytest.raises(ValueError):
         P.pack(spark.createDataFrame([(1, 2000)], "id long, length long"))
+
+
+def test_added_tokens_are_those_of_the_unmodified_tokenizer(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    draw = random.Random(2)
+    parts = [" ", "\n", "a", "'s", "é", "1", "!", "the", "<|endoftext|>", "<|endoftext", "|>", "中", "🙂"]
+    texts = ["<|endoftext|>", "a <|endoftext|> b", " " * 1_500_000 + "x <|endoftext|>"]
+    texts += ["".join(draw.choices(parts, k=draw.randint(1, 30))) for _ in range(2000)]
+    want = [np.array(e.ids, "<u4") for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert 50256 in want[1] and 50256 in want[2]
+    assert PieceEncoder(tokenizer_path(), added_tokens=True).encode(texts) == [w.tobytes() for w in want]
+    got = P.pack_documents(spark.createDataFrame([(1, texts[1])], "doc_id long, text string"), tokenizer_path()).first()
+    ids = np.array([*want[1], 2], "<u4")
+    assert (got["length"], got["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
