@@ -1,19 +1,22 @@
 """Licence scan: a generalised suffix automaton of licence templates gives the matching statistics of every text, and
 long matches are chained into covered spans of a template.
 
-The automaton is built on the driver from the templates, a few hundred words, and goes to the tasks with the function.
+Templates are whole licences, the clauses of short ones and usual notices, about 20,000 words; every task builds
+its automata from them.
 Texts are streamed through it word by word; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
 from pagemill.llm.common import slices
+from pagemill.llm.licence_texts import SHORT, clause_texts, whole_texts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -28,7 +31,7 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Public licence texts or notices, by label.
+# Usual notices and openings of licences, by label.
 TEMPLATES = {
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -69,9 +72,24 @@ TEMPLATES = {
         "licensed under a Creative Commons Attribution 4.0 International License",
         "licensed under CC BY 4.0",
     ),
+    "lgpl-3": ("licensed under the GNU Lesser General Public License, version 3",),
+    "lgpl-2.1": ("licensed under the GNU Lesser General Public License, version 2.1",),
+    "agpl-3": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "licensed under the GNU Affero General Public License, version 3",
+    ),
+    "epl-2": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "2.0 which is available at",
+        "licensed under the Eclipse Public License, version 2.0",
+    ),
+    "cc0": ("dedicated to the public domain under CC0 1.0 Universal",),
     "all-rights-reserved": ("All rights reserved. No part of this publication may be reproduced",),
 }
 
+CLAUSES, WHOLE = clause_texts(), whole_texts()
+
 
 def words(text: str) -> list[str]:
     """Words of a text with A to Z lower-cased: digits, letters and everything outside of ASCII."""
@@ -156,50 +174,54 @@ class Automaton:
             yield at, state, matched
 
 
-class Scanner:
-    """Base places and covered template spans of a text."""
+class Layer:
+    """Templates that are matched together, so that a longer match hides no other template that holds the shorter one.
+    Notices, clauses and whole licences are layers of their own: a clause is found inside of its licence too."""
 
-    def __init__(self, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, tuple[str, ...]] = TEMPLATES):
-        self.phrases = [(words(p), label) for p, label in phrases.items()]
+    def __init__(self, templates: Mapping[str, tuple[str, ...]], phrases: list[tuple[list[str], str]] = ()):
         self.templates = [(words(t), label) for label, texts in templates.items() for t in texts]
-        self.automaton = Automaton([w for w, _ in [*self.phrases, *self.templates]])
-        n = len(self.phrases)
-        self.base = [[(k, size) for k, size in whole if k < n] for whole in self.automaton.whole]
+        self.sizes = [self._whole(sequence, label) for sequence, label in self.templates]
+        self.automaton = Automaton([w for w, _ in [*phrases, *self.templates]])
         self.where = self._occurrences()
 
+    def _whole(self, sequence: list[str], label: str) -> int:
+        """Words of the longest short licence of the label that the sequence is part of, else its own."""
+        part = f" {' '.join(sequence)} "
+        licences = [words(text) for text in SHORT.get(label, ())]
+        return max([len(sequence), *(len(x) for x in licences if part in f" {' '.join(x)} ")])
+
     def _occurrences(self) -> list[list[tuple[int, int]]]:
-        """For every state, each template and end where its words stand."""
+        """For every state that can be chained, each template and end where its words stand."""
         out: list[list[tuple[int, int]]] = [[] for _ in self.automaton.step]
         for number, (sequence, _) in enumerate(self.templates):
             state = 0
             for at, word in enumerate(sequence):
                 state = self.automaton.step[state][word]
                 up = state
-                while up > 0:
+                while up > 0 and self.automaton.length[up] >= LEAST_MATCH:
                     out[up].append((number, at))
                     up = self.automaton.link[up]
         return out
 
-    def scan(self, text: str) -> dict:
-        """Words, base places (start, label), and covered spans (label, first word, end word, share of the template)."""
-        found = words(text)
-        base: list[tuple[int, str]] = []
-        ends: list[tuple[int, int, int]] = []  # matches that no longer one contains
+    def matches(self, found: list[str], base: list) -> list[tuple[int, int, int]]:
+        """Matches that no longer one contains: place of the last word, state and words. Every state on the way
+        where a sequence ends goes to ``base``."""
+        ends: list[tuple[int, int, int]] = []
         before = None
+        whole = self.automaton.whole
         for at, state, matched in self.automaton.statistics(found):
-            for number, size in self.base[state]:
-                if size <= matched:
-                    base.append((at - size + 1, self.phrases[number][1]))
+            if whole[state]:
+                base.append((at, state, matched))
             if before and not (before[0] == at - 1 and matched == before[2] + 1) and before[2] >= LEAST_MATCH:
                 ends.append(before)
             before = (at, state, matched)
         if before and before[2] >= LEAST_MATCH:
             ends.append(before)
-        return {"n_words": len(found), "base": sorted(base), "spans": self._chain(ends)}
+        return ends
 
-    def _chain(self, ends: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chains of matches that go forward in text and template with small gaps. Of chains that share words of the
-        text the one that covers most of them stays, ties by share, then label."""
+    def chains(self, ends: list[tuple[int, int, int]]) -> list[tuple[int, float, str, int, int]]:
+        """Chains of matches that go forward in text and template with small gaps, for templates covered enough:
+        minus words covered, minus share, label, first word, end word."""
         open_: dict[int, list[int]] = {}  # template: first word, end word, next place in the template, words covered
         closed: list[tuple[int, float, str, int, int]] = []
 
@@ -207,7 +229,7 @@ class Scanner:
             start, stop, _, covered = open_.pop(number)
             sequence, label = self.templates[number]
             if covered >= COVERED * len(sequence):
-                closed.append((-covered, -covered / len(sequence), label, start, stop))
+                closed.append((-covered, -covered / self.sizes[number], label, start, stop))
 
         for at, state, matched in ends:
             start = at - matched + 1
@@ -225,11 +247,46 @@ class Scanner:
                 open_[number] = [start, at + 1, min(found) + matched, matched]
         for number in list(open_):
             close(number)
-        spans: list[tuple[str, int, int, float]] = []
+        return closed
+
+
+class Scanner:
+    """Base places and covered template spans of a text."""
+
+    def __init__(
+        self,
+        phrases: Mapping[str, str] = PHRASES,
+        templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
+        licences: tuple[Mapping[str, tuple[str, ...]], ...] = (CLAUSES, WHOLE),
+    ):
+        self.phrases = [(words(p), label) for p, label in phrases.items()]
+        self.layers = [Layer(templates, self.phrases), *map(Layer, licences)]
+        n = len(self.phrases)
+        self.base = [[(k, size) for k, size in whole if k < n] for whole in self.layers[0].automaton.whole]
+
+    def scan(self, text: str) -> dict:
+        """Words, base places (start, label), and covered spans (label, first word, end word, share of the template,
+        or of the whole licence where the template is part of a short one)."""
+        found = words(text)
+        closed: list[tuple[int, float, str, int, int]] = []
+        base: list[tuple[int, str]] = []
+        for number, layer in enumerate(self.layers):
+            reached: list[tuple[int, int, int]] = []
+            closed += layer.chains(layer.matches(found, reached))
+            if number == 0:
+                for at, state, matched in reached:
+                    base += [(at - size + 1, self.phrases[k][1]) for k, size in self.base[state] if size <= matched]
+        return {"n_words": len(found), "base": sorted(base), "spans": self._spans(closed)}
+
+    @staticmethod
+    def _spans(closed: list[tuple[int, float, str, int, int]]) -> list[tuple[str, int, int, float]]:
+        """Of chains that share words of the text the one that covers most of them stays, ties by share, then label."""
+        spans: list[tuple[int, int, str, float]] = []  # by first word, none overlapping
         for _, share, label, start, stop in sorted(closed):
-            if all(stop <= s or e <= start for _, s, e, _ in spans):
-                spans.append((label, start, stop, -share))
-        return sorted(spans, key=lambda span: span[1])
+            at = bisect_left(spans, (start,))
+            if (not at or spans[at - 1][1] <= start) and (at == len(spans) or stop <= spans[at][0]):
+                spans.insert(at, (start, stop, label, -share))
+        return [(label, start, stop, share) for start, stop, label, share in spans]
 
 
 SCANNED = (
@@ -244,7 +301,8 @@ def scan_licences(
     templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
 ) -> DataFrame:
     """``doc_id`` and what stands in every whole ``text``: ``n_words``, places of the phrases (``base_labels`` and
-    ``base_starts``, by start) and covered ``spans`` (label, first word, word after the last, share of the template).
+    ``base_starts``, by start) and covered ``spans`` (label, first word, word after the last, share of the template, for
+    part of a short licence share of the whole).
 
     A null text is empty: no words, no places. Every row gives one row, repeated ones too; other columns are not read.
     """

@@ -66,3 +66,24 @@ def test_odd_rows(spark):
         (None, 3, 1),
     ]
     assert L.scan_licences(docs.limit(0)).count() == 0
+
+
+def test_whole_licences_and_later_parts():
+    from pagemill.llm import licence_texts as T
+
+    scanner = L.Scanner()
+    for label, texts in L.WHOLE.items():
+        found = scanner.scan("Copyright x y z. " + texts[0])
+        best = max(found["spans"], key=lambda s: s[2] - s[1])
+        assert best[0] == label and best[2] == found["n_words"] and best[3] > 0.99, (label, found["spans"])
+    warranty = T.clauses(T.MIT)[-1]
+    spans = scanner.scan("foo " + warranty)["spans"]
+    assert [s[0] for s in spans] == ["mit"] and spans[0][1:3] == (1, 1 + len(L.words(warranty))) and 0.3 < spans[0][3] < 0.6
+    conditions = " ".join(T.clauses(T.BSD_3)[1:4])
+    assert {s[0] for s in scanner.scan(conditions)["spans"]} == {"bsd"}
+    opening = scanner.scan(L.TEMPLATES["mit"][0])["spans"]
+    assert [s[0] for s in opening] == ["mit"] and opening[0][3] < 0.3
+    for label in ("lgpl-3", "lgpl-2.1", "agpl-3", "epl-2", "cc0"):
+        assert [s[0] for s in scanner.scan("x " + L.TEMPLATES[label][0])["spans"]] == [label]
+    notice = L.TEMPLATES["gpl-3"][0] + ", or (at your option) any later version."
+    assert [(s[0], s[3]) for s in scanner.scan("x " + notice)["spans"]] == [("gpl-3", 1.0)]
