@@ -32,7 +32,9 @@ from pagemill.streaming import pages as S  # noqa: E402
 try:  # the training-data operators and their pipeline are an optional part
     import corpus_pipeline  # noqa: E402
     from pagemill.llm import queries as llm_queries  # noqa: E402
-except ImportError:
+except ModuleNotFoundError as missing:  # a broken module of the part is an error, only its absence is none
+    if missing.name not in ("corpus_pipeline", "pagemill.llm"):
+        raise
     corpus_pipeline = llm_queries = None
 
 TAGS = ["article"]
