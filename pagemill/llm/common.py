@@ -20,6 +20,22 @@ def slices(batches: Iterable, rows: int = SLICE_ROWS) -> Iterator:
             yield batch.slice(start, rows)
 
 
+SLICE_BYTES = 8 << 20
+
+
+def sized_slices(batches: Iterable, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator:
+    """Pieces of at most ``rows`` rows and about ``size`` bytes; a longer row is a piece by itself."""
+    for part in slices(batches, rows):
+        todo = [part]
+        while todo:
+            piece = todo.pop()
+            if piece.num_rows > 1 and piece.nbytes > size:
+                half = piece.num_rows // 2
+                todo += [piece.slice(half), piece.slice(0, half)]
+            else:
+                yield piece
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder; a lost executor does not lose it."""
     return reliable_checkpoint(df)

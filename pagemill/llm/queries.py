@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.sql import ORACLE_SQL  # noqa: F401
-from pagemill.llm import ann, chat, language, licences, mixing, ngram_join, packing, pii, topk, url_rules
+from pagemill.llm import ann, chat, language, licences, mixing, ngram_join, packing, pii, runs, topk, url_rules
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -97,6 +98,22 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_end(doc_id: int | None, words: list[str]) -> list[str]:
+    """The words of a document; in one of ten ids they repeat from some word on, as the contract of the query says."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    g = h // 10
+    start = g % len(words)
+    period = 1 + (len(words) - start) // (3 + g % 8)
+    unit = words[start : start + period]
+    return words[:start] + (unit * (len(words) // period + 1))[: len(words) - start]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.find_runs(table(spark, sf_dir, "documents"), prepare=repeated_end, whole=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
@@ -108,4 +125,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
     "op10_personal_data": op10_personal_data,
+    "op13_periodic_runs": op13_periodic_runs,
 }
