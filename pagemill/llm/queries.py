@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.sql import ORACLE_SQL  # noqa: F401
-from pagemill.llm import ann, chat, language, licences, mixing, ngram_join, packing, pii, runs, topk, url_rules
+from pagemill.llm import ann, chat, fingerprints, language, licences, mixing, ngram_join, packing, pii, runs, topk, url_rules
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -98,6 +98,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def repeated_end(doc_id: int | None, words: list[str]) -> list[str]:
     """The words of a document; in one of ten ids they repeat from some word on, as the contract of the query says."""
     h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
@@ -125,5 +129,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
     "op10_personal_data": op10_personal_data,
+    "op12_document_fingerprints": op12_document_fingerprints,
     "op13_periodic_runs": op13_periodic_runs,
 }
