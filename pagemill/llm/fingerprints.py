@@ -24,8 +24,7 @@ from pagemill.operators.joins import shared_folder
 BITS = 31
 PRIME = (1 << BITS) - 1
 BASES = (1_000_003_133, 1_580_030_173)
-BLOCK_BITS = 14  # code points hashed at once
-BLOCK = 1 << BLOCK_BITS
+BLOCK = 1 << 14  # code points hashed at once
 WINDOW = 32  # code points of a span
 KEPT = 64  # span hashes of a fingerprint
 
@@ -54,20 +53,6 @@ def _tables(base: int):
     return powers(base, 1, BLOCK + 1), powers(inverse, inverse, BLOCK)
 
 
-def power(base: int, exponents):
-    """Powers of a base: from the block's table and one power for every block."""
-    import numpy as np
-
-    exponents = np.asarray(exponents, np.int64)
-    low = _tables(base)[0][exponents & (BLOCK - 1)]
-    if not exponents.size or int(exponents.max()) < BLOCK:
-        return low
-    high = exponents >> BLOCK_BITS
-    blocks, of = np.unique(high, return_inverse=True)
-    giant = np.array([pow(base, int(b) << BLOCK_BITS, PRIME) for b in blocks], np.uint64)
-    return _reduced(low * giant[of].reshape(low.shape))
-
-
 def code_points(text: str):
     import numpy as np
 
@@ -97,37 +82,35 @@ class Prefix:
                 out[shared + start + 1 : shared + start + 1 + len(part)] = _reduced(sums * powers[1 : len(part) + 1])
             self.arrays.append(out)
 
-    def spans(self, starts, lengths):
-        """Hashes of spans, 62 bits each."""
+    def spans(self, start: int, stop: int, length: int):
+        """Hashes of the spans of one length that start from ``start`` to before ``stop``, 62 bits each."""
         import numpy as np
 
-        starts, lengths = np.asarray(starts, np.int64), np.asarray(lengths, np.int64)
         both = []
         for base, array in zip(BASES, self.arrays, strict=True):
-            low = _reduced(array[starts].astype(np.uint64) * power(base, lengths))
-            both.append(_reduced(array[starts + lengths].astype(np.uint64) + np.uint64(PRIME) - low))
+            low = _reduced(array[start:stop].astype(np.uint64) * np.uint64(pow(base, length, PRIME)))
+            both.append(_reduced(array[start + length : stop + length].astype(np.uint64) + np.uint64(PRIME) - low))
         return (both[0] << np.uint64(BITS)) | both[1]
 
     def whole(self) -> int:
         return int(self.arrays[0][-1]) << BITS | int(self.arrays[1][-1])
 
 
-def equal_spans(a: Prefix, starts_a, b: Prefix, starts_b, lengths):
-    """Whether spans of two texts are equal, by their hashes."""
-    return a.spans(starts_a, lengths) == b.spans(starts_b, lengths)
+def equal_spans(a: Prefix, i: int, b: Prefix, j: int, length: int) -> bool:
+    """Whether spans of two texts that start at ``i`` and ``j`` are equal, by their hashes."""
+    for base, x, y in zip(BASES, a.arrays, b.arrays, strict=True):
+        ends, starts = int(x[i + length]) - int(y[j + length]), int(x[i]) - int(y[j])
+        if (ends - starts * pow(base, length, PRIME) if starts else ends) % PRIME:
+            return False
+    return True
 
 
-def common_extensions(a: Prefix, starts_a, b: Prefix, starts_b):
-    """Lengths of the longest equal spans that start at the given places of two texts: binary search on span hashes."""
-    import numpy as np
-
-    starts_a, starts_b = np.asarray(starts_a, np.int64), np.asarray(starts_b, np.int64)
-    low = np.zeros(starts_a.shape, np.int64)
-    high = np.minimum(a.size - starts_a, b.size - starts_b)
-    while (low < high).any():
+def common_extension(a: Prefix, i: int, b: Prefix, j: int) -> int:
+    """Length of the longest equal spans that start at ``i`` and ``j``: binary search on span hashes."""
+    low, high = 0, min(a.size - i, b.size - j)
+    while low < high:
         middle = (low + high + 1) // 2
-        same = equal_spans(a, starts_a, b, starts_b, middle)
-        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+        low, high = (middle, high) if equal_spans(a, i, b, j, middle) else (low, middle - 1)
     return low
 
 
@@ -164,11 +147,7 @@ def sketch(prefix: Prefix):
     found = np.zeros(0, np.uint64)
     for start in range(0, prefix.size - window + 1, BLOCK):  # so that a long text needs no long temporary arrays
         stop = min(start + BLOCK, prefix.size - window + 1)
-        both = []
-        for base, array in zip(BASES, prefix.arrays, strict=True):
-            low = _reduced(array[start:stop].astype(np.uint64) * np.uint64(pow(base, window, PRIME)))
-            both.append(_reduced(array[start + window : stop + window].astype(np.uint64) + np.uint64(PRIME) - low))
-        part = smallest(_mixed((both[0] << np.uint64(BITS)) | both[1]), KEPT)
+        part = smallest(_mixed(prefix.spans(start, stop, window)), KEPT)
         found = smallest(np.concatenate([found, part]), KEPT) if len(found) else part
     return found
 
@@ -206,7 +185,7 @@ class _Document:
         edited = Prefix(code_points(moved), self.prefix, kept)
         edited_print = fingerprint(edited)
         digest = hashlib.sha256((self.text[:kept] + moved).encode("utf-8", "surrogatepass")).hexdigest()
-        common = lambda b: int(common_extensions(self.prefix, [0], b, [0])[0])
+        common = lambda b: common_extension(self.prefix, 0, b, 0)
         return (
             self.key, size, digest, self.print, edited_print, likeness(self.print, edited_print),
             likeness(self.print, other.print), common(edited), common(other.prefix),
@@ -319,8 +298,8 @@ def compare_spans(pairs: DataFrame) -> DataFrame:
             return False, 0
         left, right = Prefix(code_points(a)), Prefix(code_points(b))
         inside = length >= 0 and i + length <= left.size and j + length <= right.size
-        same = inside and bool(equal_spans(left, [i], right, [j], [length])[0])
-        return same, int(common_extensions(left, [i], right, [j])[0])
+        same = inside and equal_spans(left, i, right, j, length)
+        return same, common_extension(left, i, right, j)
 
     def add(batches: Iterable) -> Iterator:
         import pyarrow as pa

@@ -36,7 +36,7 @@ def test_spans_equal_the_plain_polynomial(monkeypatch):
         for _ in range(4):
             i = draw.randrange(size + 1)
             m = draw.randrange(size - i + 1)
-            assert int(p.spans([i], [m])[0]) == plain_hash(text[i : i + m])
+            assert int(p.spans(i, i + 1, m)[0]) == plain_hash(text[i : i + m])
 
 
 def test_shared_start():
@@ -61,7 +61,7 @@ def test_common_extensions():
         while i + m < len(base) and j + m < len(other) and base[i + m] == other[j + m]:
             m += 1
         want.append(m)
-    assert P.common_extensions(a, starts_a, b, starts_b).tolist() == want
+    assert [P.common_extension(a, i, b, j) for i, j in zip(starts_a, starts_b, strict=True)] == want
 
 
 def spans(text):
@@ -88,7 +88,7 @@ def test_likeness():
 
 def test_long_text_in_blocks(monkeypatch):
     text = random_text(random.Random(5), 3 * P.BLOCK)
-    mixed = P._mixed(prefix(text).spans(np.arange(len(text) - P.WINDOW + 1), np.full(len(text) - P.WINDOW + 1, P.WINDOW)))
+    mixed = P._mixed(prefix(text).spans(0, len(text) - P.WINDOW + 1, P.WINDOW))
     assert P.sketch(prefix(text)).tolist() == sorted(set(mixed.tolist()))[: P.KEPT]
 
 
