@@ -269,7 +269,7 @@ def edited_fingerprints(
     done_names, all_names = [id_col, *NAMES], [id_col, *NAMES, "_kind", "_part", "_text"]
     schema = f"`{id_col}` {kind}, {FIGURES}"
     walked = dealt.mapInArrow(_walk(all_names), f"{schema}, _kind int, _part int, _text string")
-    walked.write.partitionBy("_kind").parquet(folder)
+    walked.write.option("compression", "zstd").partitionBy("_kind").parquet(folder)
     table = spark.read.schema(walked.schema).parquet(folder)
 
     firsts, lasts = table.filter(F.col("_kind") == FIRST), table.filter(F.col("_kind") == LAST)
