@@ -5,11 +5,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.sql import ORACLE_SQL  # noqa: F401
-from pagemill.llm import ann, chat, fingerprints, language, licences, mixing, ngram_join, packing, pii, runs, topk, url_rules
+from pagemill.llm import ann, chat, fingerprints, hard_negatives, language, licences, mixing, ngram_join, packing, pii, runs, topk, url_rules
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -98,6 +98,19 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fits_long(vector: Column) -> Column:
+    """Whether 256 times every component lies well inside the whole numbers of 64 bits; floor would cut others off."""
+    return F.forall(vector, lambda x: F.abs(x.cast("double")) * 256 < F.lit(2.0**63))
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.filter(topk.finite(F.col("embedding")) & fits_long(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), topk.scaled_floor(F.col("embedding")).alias("vector"))
+    return hard_negatives.mine_hard_negatives(rows, "vec_id % 50 = 0")
+
+
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -129,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
     "op10_personal_data": op10_personal_data,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_document_fingerprints": op12_document_fingerprints,
     "op13_periodic_runs": op13_periodic_runs,
 }

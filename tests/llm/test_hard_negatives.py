@@ -1,0 +1,117 @@
+import random
+
+import duckdb
+import numpy as np
+import pytest
+
+from pagemill.llm import hard_negatives as H
+from pagemill.llm import queries, sql
+
+NAN, INF = float("nan"), float("inf")
+SCHEMA = "vec_id long, embedding array<float>, label int, vector string, number int, score int"
+
+
+def table(seed, n, d=5, labels=4, spread=1.0):
+    draw = random.Random(seed)
+    centres = [[draw.gauss(0, 1) for _ in range(d)] for _ in range(6)]
+    rows = [(i * 5, [float(np.float32(c + draw.gauss(0, spread))) for c in draw.choice(centres)], draw.randrange(labels)) for i in range(n)]
+    rows += [(10_000 + i, rows[i % 4][1], i % labels) for i in range(30)]  # copies, with ties
+    return rows
+
+
+ODD = [
+    (50, None, 1), (100, [1.0, None, 2.0, 0.0, 1.0], 1), (150, [NAN] * 5, 1), (200, [INF, 1.0, 0.0, 0.0, 1.0], 2), (None, [1.0] * 5, 1),
+    (250, [1.0] * 5, None), (300, [0.0] * 5, 1), (350, [1.0, 2.0], 1), (401, [3.0, 1.0], 1), (402, [1.5, 1.0], 2), (450, [], 1),
+]
+
+
+def plain(rows, positives=5, negatives=3):
+    """All pairs, in Python's integers."""
+    kept = []
+    for i, v, label in rows:
+        if i is None or v is None or label is None or any(x is None or not np.isfinite(x) for x in v):
+            continue
+        whole = [int(np.floor(256.0 * float(x))) for x in v]
+        if any(not -H.LONG <= x < H.LONG for x in whole):
+            continue
+        kept.append((i, whole, (label + 1) % 10 if i % 7 == 0 else label))
+    out = []
+    for at, (i, v, label) in enumerate(kept):
+        if i % 50:
+            continue
+        scored = [(-sum(a * b for a, b in zip(v, w, strict=True)), j, m == label) for k, (j, w, m) in enumerate(kept) if k != at and len(w) == len(v)]
+        scored = sorted(x for x in scored if -H.LONG <= -x[0] < H.LONG)
+        for s, j, _ in [x for x in scored if x[2]][:positives]:
+            fits = [(t, m) for t, m, same in scored if not same and 50 * -s <= 100 * -t <= 95 * -s][:negatives]
+            out += [(i, j, rank + 1, m, -s, -t) for rank, (t, m) in enumerate(fits)]
+    return sorted(out)
+
+
+def run(spark, tmp_path, rows, parts=3):
+    path = f"{tmp_path}/{random.random()}"
+    data = spark.createDataFrame([(i, v, label, "x", 1, 2) for i, v, label in rows], SCHEMA)
+    data.repartition(parts).write.parquet(f"{path}/embeddings.parquet")
+    return queries.QUERIES["op11_hard_negatives"](spark, path), path
+
+
+@pytest.mark.parametrize("spread", [1.0, 0.02])
+def test_query_equals_all_pairs(spark, tmp_path, monkeypatch, spread):
+    for name, value in (("TILE_VALUES", 300), ("LEAST_ROWS", 1), ("TREE", 7), ("CHUNK", 16), ("FAN_IN", 2)):
+        monkeypatch.setattr(H, name, value)
+    rows = table(1, 300, spread=spread) + ODD
+    rows += rows[10:12] + [(50, rows[3][1], 2), (50, rows[4][1], 1)]  # repeated rows and ids
+    got, path = run(spark, tmp_path, rows)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    want = plain(rows)
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 100
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{path}/embeddings.parquet/*.parquet' where len(embedding) = 5 and vec_id is not null")
+    assert sorted(con.sql(sql.ORACLE_SQL["op11_hard_negatives"]).fetchall()) == plain([r for r in rows if r[1] and len(r[1]) == 5])
+
+
+def test_large_components(spark, tmp_path):
+    draw = random.Random(4)
+    big = [(i * 10, [float(np.float32(draw.gauss(0, 1) * 10.0 ** draw.choice((0, 3, 6, 7)))) for _ in range(3)], i % 2) for i in range(80)]
+    big += [(5000, [1e30, 1.0, 1.0], 1), (5001, [1e16, 1.0, 1.0], 1), (5002, [-1e16, 1.0, 0.0], 0)]
+    got, _ = run(spark, tmp_path, big)
+    assert sorted(tuple(r) for r in got.collect()) == plain(big)
+
+
+@pytest.mark.parametrize("rows", [[], [(50, [1.0, 2.0], 1)], [(50, [1.0, 2.0], 1), (51, [1.0, 2.0], 1)], [(1, [1.0], 1), (2, [1.0], 2)]])
+def test_few_rows(spark, tmp_path, rows):
+    assert run(spark, tmp_path, rows)[0].collect() == []
+
+
+def test_spanning_tree():
+    points = np.random.default_rng(3).standard_normal((40, 3))
+    tree = H.spanning_tree(points)
+    assert sorted(n for n, _, _ in tree) == list(range(40)) and tree[0][1] == -1
+    seen, total = set(), 0.0
+    for node, up, edge in tree:
+        assert up < 0 or up in seen
+        seen.add(node)
+        total += edge
+    # Kruskal
+    pairs = sorted((float(np.linalg.norm(points[a] - points[b])), a, b) for a in range(40) for b in range(a))
+    part = list(range(40))
+    least = 0.0
+    for length, a, b in pairs:
+        if part[a] != part[b]:
+            least += length
+            part = [part[a] if x == part[b] else x for x in part]
+    assert total == pytest.approx(least)
+
+
+def test_bounds_spare_scores():
+    """Near anchors: few candidates of the children are scored; the lists are those of a full scan."""
+    draw = np.random.default_rng(5)
+    rows = (draw.standard_normal((6000, 16)) * 256).astype(np.int64)
+    anchors = (draw.standard_normal((1, 16)) * 256 + draw.standard_normal((50, 16)) * 2).astype(np.int64)
+    exact = H._Exact(anchors, rows)
+    norms = np.linalg.norm(rows.astype(float), axis=1) * (1 + 1e-9)
+    lists = [[H._List(5)] for _ in range(50)]
+    ids = np.arange(6000)
+    computed = H.scan(exact, list(range(50)), H.spanning_tree(anchors.astype(float)), ids, norms, ids, ids, np.full(50, -1), lists)
+    want = [H.best(rows @ a, ids, 5) for a in anchors]
+    assert [x[0].found for x in lists] == want
+    assert computed < 0.25 * 50 * 6000
