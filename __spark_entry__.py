@@ -25,9 +25,11 @@ from pagemill.operators.joins import shared_folder  # noqa: E402
 from pagemill.plans.crawl import crawl_documents, outcomes  # noqa: E402
 from pagemill.plans.documents import parsed_pages, to_documents  # noqa: E402
 from pagemill.session import ship_package  # noqa: E402
-from pagemill.sources.documents import write_documents  # noqa: E402
+from pagemill.sources.documents import write_documents, write_documents_once  # noqa: E402
 from pagemill.sources.pages import ok_responses, read_pages, seed_frontier, spread  # noqa: E402
 from pagemill.streaming import pages as S  # noqa: E402
+from pagemill.streaming.crawl import stream_crawl  # noqa: E402
+from pagemill.streaming.store import stream_store_documents  # noqa: E402
 
 try:  # the training-data operators and their pipeline are an optional part
     import corpus_pipeline  # noqa: E402
@@ -61,6 +63,11 @@ def _aug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, C.AUGMENTED).withColumn("fetched_at", stamp)
 
 
+def _stamped(spark, query: str) -> DataFrame:
+    pages = spark.sql(query)
+    return pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")))
+
+
 def _scratch(spark: SparkSession) -> str:
     """New folder for written results, next to the checkpoints the cluster shares."""
     return f"{shared_folder(spark)}/out-{uuid.uuid4().hex}"
@@ -103,6 +110,15 @@ def q_write_documents(spark, sf_dir):
     return _doc_columns(write_documents(to_documents(_aug(spark, sf_dir), TAGS), _scratch(spark) + "/documents"))
 
 
+def q_write_documents_once(spark, sf_dir):
+    """Two batches; the first is written again, as after a crash."""
+    docs, path = to_documents(_aug(spark, sf_dir), TAGS), _scratch(spark) + "/documents"
+    even = F.octet_length("url") % 2 == 0
+    for part, batch in ((docs.filter(even), 0), (docs.filter(even), 0), (docs.filter(~even), 1)):
+        table = write_documents_once(part, path, batch)
+    return _doc_columns(table)
+
+
 def q_write_document_vectors(spark, sf_dir):
     """Vectors of stored documents, zeros where a document has none."""
     embed = lambda text: F.when(F.octet_length(F.col("url")) % 2 == 0, E.embed_dummy(text, C.VECTOR_DIM))
@@ -344,15 +360,21 @@ def q_crawl_documents(spark, sf_dir):
     return validate.crawl_report(outcomes(result))
 
 
-def q_crawl_linked_documents(spark, sf_dir):
-    """Pages that link to one another, crawled to a depth, with the document columns."""
+def _linked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Pages that link to one another, and seeds."""
     _aug(spark, sf_dir).createOrReplaceTempView("aug")
     spark.sql(C.SAME_HOST).createOrReplaceTempView("same_host")
-    pages = spark.sql(C.CRAWL_PAGES).withColumn("fetched_at", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")))
-    seeds = seed_frontier(spark.sql(C.CRAWL_SEEDS))
-    result = crawl_documents(
-        pages, seeds, C.MAX_DEPTH, robots=_sql(spark, sf_dir, C.ROBOTS), agent="testbot", content_tags=TAGS
-    )
+    return _stamped(spark, C.CRAWL_PAGES), seed_frontier(spark.sql(C.CRAWL_SEEDS))
+
+
+def q_crawl_linked_documents(spark, sf_dir):
+    """Pages that link to one another, crawled to a depth, with the document columns."""
+    pages, seeds = _linked(spark, sf_dir)
+    robots_files = _sql(spark, sf_dir, C.ROBOTS)
+    return _crawled(crawl_documents(pages, seeds, C.MAX_DEPTH, robots=robots_files, agent="testbot", content_tags=TAGS))
+
+
+def _crawled(result) -> DataFrame:
     return result.documents.select(
         "url", "depth", "reject_reason", "hash_id", "title", "meta_description", "canonical_url", "language",
         "publication_timestamp", "crawled_at",
@@ -457,26 +479,64 @@ def _stream_urls(delay: str | None) -> Callable:
     return query
 
 
+def _arrivals(spark, parts: list[DataFrame]) -> DataFrame:
+    """A stream that brings the parts one after the other, a batch each."""
+    folder = _scratch(spark) + "/captured"
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return S.stream_pages(spark, folder, parts[0].schema, max_files_per_trigger=1)
+
+
 def _stored(spark, sf_dir):
-    stream = _stream(spark, sf_dir)
-    return S.stream_store_documents(stream, _scratch(spark), TAGS, limits=C.LIMITS)
+    """Half of the pages, then all again under other URLs, then the other half."""
+    first = _aug(spark, sf_dir)
+    again = _stamped(spark, C.AUGMENTED.replace("from pages", f"from ({C.RECAPTURED}) r"))
+    stream = _arrivals(spark, [first.filter("page_id % 3 = 0"), again, first.filter("page_id % 3 > 0")])
+    return stream_store_documents(stream, _scratch(spark), TAGS, limits=C.LIMITS)
 
 
 def q_stream_store_documents(spark, sf_dir):
-    documents, _ = _stored(spark, sf_dir)
-    return documents.groupBy("hash_id").agg(F.count(F.lit(1)).alias("n"))
+    return _doc_columns(_stored(spark, sf_dir)[0])
 
 
 def q_stream_rejects(spark, sf_dir):
     return _stored(spark, sf_dir)[1]
 
 
+def q_stream_store_gated(spark, sf_dir):
+    """Behind robots rules and the visited test: pages captured again with other content do not count."""
+    first = _aug(spark, sf_dir)
+    again = _stamped(spark, C.AUGMENTED.replace("from pages", f"from ({C.CHANGED}) r"))
+    stream = _arrivals(spark, [first.filter("page_id % 2 = 0"), again.filter("page_id % 2 = 0"), first.filter("page_id % 2 > 0")])
+    documents, _ = stream_store_documents(stream, _scratch(spark), TAGS, robots=_rules(spark, sf_dir), visited=True)
+    return _doc_columns(documents)
+
+
+def q_stream_late_urls(spark, sf_dir):
+    """Two thirds of the pages, then the other third with repeats, then all again: what passes the bounded visited
+    test, and what first came too late for it."""
+    pages = _aug(spark, sf_dir)
+    stream = _arrivals(spark, [pages.filter("page_id % 3 > 0"), pages.filter("page_id % 3 < 2"), pages])
+    passed, late = S.stream_late_urls(stream, _scratch(spark), f"{C.DELAY_S} seconds")
+    outcome = lambda rows, name: rows.select("url", F.lit(name).alias("outcome"))
+    return outcome(passed, "passed").unionByName(outcome(late, "late"))
+
+
+def q_stream_crawl(spark, sf_dir):
+    """Linked pages that arrive in three batches, crawled to a depth as they come."""
+    pages, seeds = _linked(spark, sf_dir)
+    stream = _arrivals(spark, [pages.filter(f"page_id % 3 = {k}") for k in (2, 0, 1)])
+    result = stream_crawl(stream, seeds, _scratch(spark), C.MAX_DEPTH, robots=_rules(spark, sf_dir), content_tags=TAGS)
+    return _crawled(result)
+
+
 # --- contract ----------------------------------------------------------------------------------------------
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_pages": q_read_pages,
     "ok_responses": q_ok_responses,
     "seed_frontier": q_seed_frontier,
     "write_documents": q_write_documents,
+    "write_documents_once": q_write_documents_once,
     "write_document_vectors": q_write_document_vectors,
     "html_nodes": q_html_nodes,
     "select_nodes": q_select_nodes,
@@ -529,6 +589,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_dedup_urls_watermark": _stream_urls("1 hour"),
     "stream_store_documents": q_stream_store_documents,
     "stream_rejects": q_stream_rejects,
+    "stream_store_gated": q_stream_store_gated,
+    "stream_late_urls": q_stream_late_urls,
+    "stream_crawl": q_stream_crawl,
 }
 
 

@@ -28,6 +28,11 @@ AUGMENTED = f"""select page_id, url, {STATUS} as status,
   replace(replace(html, '<meta charset="utf-8">', {HEAD_TAGS}), '</article>', {ARTICLE_TAGS}) as html
   from pages"""
 
+# pages captured under a second URL with the same content: before the first in order for even ids, behind it else
+RECAPTURED = "select page_id, concat(case page_id % 2 when 0 then 'a' else 'z' end, url) as url, html from pages"
+# pages captured again under their URL with other content
+CHANGED = "select page_id, url, replace(html, '</article>', ' again</article>') as html from pages"
+
 HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 
@@ -54,6 +59,7 @@ KNN_K = 5
 MAX_DEPTH = 3
 CAP = 40
 DELAY_MS = 1000
+DELAY_S = 30
 
 # the augmented pages with links to pages N // 4 and N // 2 of their own host (the page before them there, by id)
 CRAWL_PAGES = f"""select a.page_id, a.url, a.status, replace(a.html, '</article>', concat(

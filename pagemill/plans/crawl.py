@@ -73,12 +73,12 @@ def crawl_documents(
     wanted = reliable_checkpoint(wanted)
     found = lookup_join(table.drop("links"), wanted, ["url"], "inner", materialized=True)
     if barred is not None:
-        found = _without_barred(found)
+        found = without_barred(found)
     documents = found.select(*DOCUMENT_SCHEMA.names, "depth", "reject_reason")
     return CrawlResult(reached, documents, missing)
 
 
-def _without_barred(found: DataFrame) -> DataFrame:
+def without_barred(found: DataFrame) -> DataFrame:
     """Robots come after a bad URL and before every other reason; nothing is kept from the parser."""
     kept = ("url", "html_source", "crawled_at")
     columns = [

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from pagemill.operators.validate import document_reject_reason, vector_fits, zero_filled
 from pagemill.schema import DOCUMENT_SCHEMA
+from pagemill.sources.batches import BatchTable
 
 ROUTED_SCHEMA = T.StructType([*DOCUMENT_SCHEMA, T.StructField("reject_reason", T.StringType())])
 
@@ -66,5 +67,14 @@ def write_routed(
     return accepted, stored.filter("NOT accepted").drop("accepted")
 
 
+def write_documents_once(documents: DataFrame, path: str, batch: int) -> DataFrame:
+    """Add ``documents`` to the batch table at ``path`` under a number and return the table. A write that was killed, or is
+    run again, leaves each row once: a batch that is there is not written again."""
+    assert_document_schema(documents)
+    table = BatchTable(documents.sparkSession, path, DOCUMENT_SCHEMA)
+    table.write(documents, batch)
+    return table.read().select(*DOCUMENT_SCHEMA.names)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCUMENT_SCHEMA).parquet(path)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from pagemill.plans.documents import documents_with_outcome, to_documents
-from pagemill.schema import DOCUMENT_SCHEMA, PAGE_SCHEMA
+from pagemill.operators.dedup import dedup_documents
+from pagemill.operators.joins import lookup_join, reliable_checkpoint
+from pagemill.plans.documents import to_documents
+from pagemill.schema import PAGE_SCHEMA
+from pagemill.sources.batches import BatchTable
+from pagemill.streaming.state import run_batches, with_rocksdb
 
 
 def stream_pages(
@@ -47,10 +51,10 @@ def stream_dedup(
     """The first row per ``key``.
 
     With ``event_time`` and ``delay`` the state is bounded: repeats that come within the delay are dropped, and so is
-    every row later than the delay, first of its key or not, because Spark lets none behind the watermark. Leave them
-    out where late keys must pass: then every key ever seen is remembered, in RocksDB (see `run_available`). Rows are first reduced per (key, input partition modulo
-    ``spread``), so copies of one hot key are dropped on many tasks and at most ``spread`` of them reach the task
-    that decides.
+    every row later than the delay, first of its key or not, because Spark lets none behind the watermark
+    (`stream_dedup_late` keeps those). Without them every key ever seen is remembered, in RocksDB (see `run_available`).
+    Rows are first reduced per (key, input partition modulo ``spread``), so copies of one hot key are dropped on many
+    tasks and at most ``spread`` of them reach the task that decides.
     """
     salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(spread)))
     if event_time is None:
@@ -66,19 +70,11 @@ def stream_dedup_urls(
     return stream_dedup(pages, "url", event_time if delay else None, delay, spread)
 
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def run_available(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> StreamingQuery:
     """Append what is there now to the Parquet table at ``path`` and wait; exactly once across restarts. State is kept
     in RocksDB, so it may outgrow the memory of an executor."""
-    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name, None)
-    conf.set(name, ROCKSDB)
-    try:
+    with with_rocksdb(stream.sparkSession):
         return _run_available(stream, path, checkpoint, partition_by)
-    finally:
-        conf.unset(name) if before is None else conf.set(name, before)
 
 
 def _run_available(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str]) -> StreamingQuery:
@@ -90,36 +86,42 @@ def _run_available(stream: DataFrame, path: str, checkpoint: str, partition_by:
     return query
 
 
-LANDING_SCHEMA = T.StructType(
-    [*DOCUMENT_SCHEMA, T.StructField("reject_reason", T.StringType()), T.StructField("accepted", T.BooleanType())]
-)
-
-
-def stream_store_documents(
-    pages: DataFrame,
-    root: str,
-    content_tags: Sequence[str] = (),
-    limits: Mapping[str, int] | None = None,
-    embed: Callable[[Column], Column] | None = None,
-    dimension: int | None = None,
-    max_files_per_trigger: int | None = None,
+def stream_dedup_late(
+    rows: DataFrame, root: str, key: str, event_time: str, delay: str, spread: int = 16
 ) -> tuple[DataFrame, DataFrame]:
-    """Store a page stream: (documents, rejects), both tables under ``root``.
+    """`stream_dedup` with bounded state that loses no key: (passed, late), read from tables under ``root``.
 
-    Two queries. The first is map-only and lands every page once, valid documents and rejects in two partitions
-    of one table; a failing page is routed, never retried. The second reads the valid part and keeps one document
-    per ``hash_id``, with the keys in the state store, so a batch costs what it holds and not what is stored
-    already. Both sinks commit exactly once: a replayed batch changes nothing.
+    Rows land first, each marked late or not: late is what lies more than ``delay`` behind the newest event time of all
+    earlier batches, or has none. The others pass through the bounded dedup; its watermark is never ahead of that mark,
+    so it drops none of them. Late rows are the side table. A late row whose key has passed is a repeat; of the
+    others the first per key, by event time, is returned. What has passed is shuffled only where the late keys are too
+    many to broadcast. Only what there is in ``rows`` is written, so pass narrow columns.
     """
-    spark = pages.sparkSession
-    landing, store = f"{root}/landing", f"{root}/documents"
-    routed = documents_with_outcome(pages, content_tags, limits, embed, dimension)
-    routed = routed.withColumn("accepted", F.col("reject_reason").isNull())
-    run_available(routed, landing, f"{root}/_progress/landing", ["accepted"])
-
-    valid = stream_pages(spark, landing, LANDING_SCHEMA, max_files_per_trigger=max_files_per_trigger)
-    valid = valid.filter(F.col("accepted")).select(*DOCUMENT_SCHEMA.names)
-    run_available(stream_dedup(valid, "hash_id"), store, f"{root}/_progress/documents")
-
-    rejects = spark.read.schema(LANDING_SCHEMA).parquet(landing).filter(~F.col("accepted"))
-    return spark.read.schema(DOCUMENT_SCHEMA).parquet(store), rejects.select("url", "reject_reason")
+    spark = rows.sparkSession
+    arrived = BatchTable(spark, f"{root}/arrived", T.StructType([*rows.schema, T.StructField("_late", T.BooleanType())]))
+    clock = BatchTable(spark, f"{root}/clock", T.StructType([T.StructField("newest", rows.schema[event_time].dataType)]))
+
+    def land(batch: DataFrame, number: int) -> None:
+        before = clock.read([number - 1]).first()
+        newest = F.lit(before["newest"] if before else None).cast(rows.schema[event_time].dataType)
+        behind = F.col(event_time) <= newest - F.expr(f"INTERVAL {delay}")
+        late = F.col(event_time).isNull() | F.coalesce(behind, F.lit(False))
+        stored = arrived.write(batch.withColumn("_late", late), number)
+        clock.write(stored.agg(F.greatest(F.max(event_time), newest).alias("newest")), number)
+
+    run_batches(rows, land, f"{root}/_progress/arrived")
+    if not arrived.committed():
+        return spark.createDataFrame([], rows.schema), spark.createDataFrame([], rows.schema)
+    on_time = arrived.stream().filter("NOT _late").select(*rows.columns)
+    run_available(stream_dedup(on_time, key, event_time, delay, spread), f"{root}/passed", f"{root}/_progress/passed")
+    passed = spark.read.schema(rows.schema).parquet(f"{root}/passed")
+
+    firsts = dedup_documents(arrived.read().filter("_late").select(*rows.columns), key, [event_time])
+    firsts = reliable_checkpoint(firsts)
+    known = lookup_join(passed.select(key), firsts.select(key).distinct(), [key], "left_semi").distinct()
+    return passed, lookup_join(firsts, known, [key], "left_anti")
+
+
+def stream_late_urls(pages: DataFrame, root: str, delay: str, event_time: str = "fetched_at") -> tuple[DataFrame, DataFrame]:
+    """Visited test on a stream with bounded state: (URLs that passed, late URLs that had not passed before)."""
+    return stream_dedup_late(pages.select("url", event_time), root, "url", event_time, delay)

@@ -1,12 +1,25 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.plans.documents import documents_with_outcome, to_documents
 from pagemill.schema import PAGE_SCHEMA
+from pagemill.sources.batches import BatchTable
+from pagemill.operators.dedup import dedup_documents
+from pagemill.operators.robots import robots_rules
 from pagemill.streaming import pages as S
+from pagemill.streaming.store import stream_store_documents
 from tests.conftest import plan_of
 from tests.test_frontier import site
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Every partition with state starts a Python worker in every batch."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def feed(df, folder):
     df.select(*[F.col(f.name).cast(f.dataType) for f in PAGE_SCHEMA]).write.mode("append").parquet(folder)
 
@@ -45,18 +58,97 @@ def test_each_url_passes_once_across_batches_and_restarts(spark, tmp_path):
         assert urls(spark.read.parquet(out)) == urls(site(spark))
 
 
-def test_store_is_idempotent_and_keeps_one_document_per_hash(spark, tmp_path):
+def renamed(spark, prefix):
+    return site(spark).withColumn("url", F.concat(F.lit(prefix), "url"))
+
+
+def test_store_keeps_what_dedup_documents_keeps(spark, tmp_path):
+    """Whatever the order of arrival; run twice nothing changes; replaced documents are gone, with all columns."""
     src, root = str(tmp_path / "in"), str(tmp_path / "store")
-    copies = site(spark).withColumn("url", F.concat("url", F.lit("?copy")))
-    feed(site(spark), src)
     args = dict(content_tags=["article"], limits={"title": 5})
-    documents, rejects = S.stream_store_documents(S.stream_pages(spark, src), root, **args)
-    first = documents.count()
-    assert first == documents.select("hash_id").distinct().count() == 6
-    assert {(r["url"][13:], r["reject_reason"]) for r in rejects.collect()} == {("/gone", "status"), ("/behind", "too_long:title")}
-    # nothing new: nothing changes; the same contents under other URLs: no new documents, but new rejects
-    documents, rejects = S.stream_store_documents(S.stream_pages(spark, src), root, **args)
-    assert (documents.count(), rejects.count()) == (first, 2)
-    feed(copies, src)
-    documents, rejects = S.stream_store_documents(S.stream_pages(spark, src), root, **args)
-    assert (documents.count(), rejects.count()) == (first, 4)
+    stored = lambda: stream_store_documents(S.stream_pages(spark, src, max_files_per_trigger=1), root, **args)
+    seen = None
+    for prefix in ("m", "z", "a", ""):
+        part = renamed(spark, prefix).coalesce(1)
+        feed(part, src)
+        if prefix == "z":  # two batches at once
+            continue
+        seen = spark.read.schema(PAGE_SCHEMA).parquet(src)
+        want = dedup_documents(documents_with_outcome(seen, **args).filter("reject_reason IS NULL").drop("reject_reason"), order=["url"])
+        for _ in range(2):
+            documents, rejects = stored()
+            assert sorted(map(str, documents.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+            assert rejects.count() == 2 * seen.count() // 8
+    # every body is attached once: six documents of m, six of a that replace them
+    assert spark.read.parquet(f"{root}/documents/data").count() == 12
+    for narrow in ("candidates", "changes"):
+        names = spark.read.parquet(f"{root}/{narrow}/data").columns
+        assert "html_source" not in names and "main_content" not in names
+
+
+def test_store_survives_a_crash_in_any_step(spark, tmp_path, monkeypatch):
+    src, root = str(tmp_path / "in"), str(tmp_path / "store")
+    feed(renamed(spark, "m"), src)
+    stream_store_documents(S.stream_pages(spark, src), root, ["article"])
+    feed(renamed(spark, "a"), src)
+    write, calls = BatchTable.write, []
+
+    def failing(self, rows, batch, again=False):
+        if len(calls) < 4:
+            calls.append(self.path)
+            if len(calls) % 2:  # killed with files written, but no entry in the manifest
+                rows.write.parquet(f"{self.path}/data/batch={batch}/attempt=killed{len(calls)}")
+                raise OSError("killed")
+        return write(self, rows, batch, again)
+
+    monkeypatch.setattr(BatchTable, "write", failing)
+    for _ in range(3):
+        try:
+            documents, _ = stream_store_documents(S.stream_pages(spark, src), root, ["article"])
+            break
+        except Exception as e:  # noqa: BLE001
+            assert "killed" in str(e)
+    assert len(calls) == 4
+    assert urls(documents) == sorted("a" + u for u in urls(site(spark).filter("status = 200")))
+    assert urls(documents) == urls(stream_store_documents(S.stream_pages(spark, src), root, ["article"])[0])
+
+
+def test_store_behind_robots_and_visited(spark, tmp_path):
+    src, root = str(tmp_path / "in"), str(tmp_path / "store")
+    rules = robots_rules(spark.createDataFrame([("s.test", "User-agent: *\nDisallow: /robo")], "host string, body string"), "bot")
+    feed(site(spark), src)
+    args = dict(content_tags=["article"], robots=rules, visited=True)
+    stream_store_documents(S.stream_pages(spark, src), root, **args)
+    feed(site(spark).withColumn("html", F.concat(F.lit("<article>new</article>"), "html")), src)  # the same URLs again
+    later = F.timestamp_seconds(F.lit(1700000009))
+    fresh = spark.createDataFrame([("http://s.test/new", 200, "<article>early</article>")], "url string, status int, html string")
+    fresh = fresh.withColumn("fetched_at", F.timestamp_seconds(F.lit(1700000001)))
+    feed(fresh.unionByName(fresh.withColumn("html", F.lit("<article>late</article>")).withColumn("fetched_at", later)), src)
+    documents, rejects = stream_store_documents(S.stream_pages(spark, src), root, **args)
+    texts = {r["url"][13:]: r["main_content"] for r in documents.collect()}
+    assert texts == {"/": "text root", "/a": "text a", "/b": "text b", "/c": "text c", "/behind": "text behind", "/ad1": "text ad1", "/new": "early"}
+    assert {(r["url"][13:], r["reject_reason"]) for r in rejects.collect()} == {("/gone", "status"), ("/robo", "robots")}
+
+
+def test_store_of_nothing(spark, tmp_path):
+    src = str(tmp_path / "in")
+    feed(site(spark).limit(0), src)
+    documents, rejects = stream_store_documents(S.stream_pages(spark, src), str(tmp_path / "s"), ["article"])
+    assert documents.count() == rejects.count() == 0
+    feed(site(spark).filter("status = 404"), src)
+    documents, rejects = stream_store_documents(S.stream_pages(spark, src), str(tmp_path / "s"), ["article"])
+    assert (documents.count(), rejects.count()) == (0, 1)
+
+
+def test_batches_are_there_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "n int, s string")
+    table = BatchTable(spark, str(tmp_path / "t"), rows.schema)
+    assert table.read().count() == 0 and table.next_batch() == 0
+    rows.write.parquet(str(tmp_path / "t/data/batch=7/attempt=half"))  # of a writer that was killed
+    assert table.read().count() == 0
+    for _ in range(2):
+        assert table.write(rows, 7).count() == 2
+    table.write(rows.filter("n = 1"), 8)
+    assert sorted((r["n"], r["batch"]) for r in table.read().collect()) == [(1, 7), (1, 8), (2, 7)]
+    assert table.write(rows.filter("n = 2"), 8, again=True).first()["n"] == 2
+    assert table.read().count() == 3 and table.next_batch() == 9 and table.read([8]).count() == 1
