@@ -285,6 +285,14 @@ def q_frontier_limit(spark, sf_dir):
     return frontier.frontier_limit(_round(spark, sf_dir), C.CAP)
 
 
+def q_crawl_backlog(spark, sf_dir):
+    """The same walk with few URLs a round; what overflows waits."""
+    nodes, edges = _graph(spark, sf_dir)
+    seeds = seed_frontier(nodes.filter(F.col("page_id") == 0))
+    size = max(C.CAP, nodes.count() // 8)
+    return frontier.crawl(seeds, edges, C.MAX_DEPTH, cap=size, overflow="keep")
+
+
 def q_fetch_plan(spark, sf_dir):
     return frontier.fetch_plan(_crawl(spark, sf_dir), C.DELAY_MS)
 
@@ -565,6 +573,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_members": q_duplicate_members,
     "expand_frontier": _round,
     "crawl": _crawl,
+    "crawl_backlog": q_crawl_backlog,
     "frontier_limit": q_frontier_limit,
     "fetch_plan": q_fetch_plan,
     "robots_rules": q_robots_rules,

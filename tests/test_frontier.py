@@ -59,18 +59,58 @@ def test_round(spark, max_bytes):
     assert depths(got) == dict(c=1, d=2)
 
 
-def test_link_table_is_not_shuffled_again(spark):
+def test_links_and_visited_urls_are_not_shuffled_again(spark):
     keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     table = joins.reliable_checkpoint(edges(spark))
     heavy = joins.reliable_checkpoint(joins.heavy_keys(table, ["src_url"], 1))
     table = joins.salt_big(table, heavy, ["src_url"]).repartition(8, "src_url", "_salt").persist()
     table.count()
-    plan = plan_of(frontier._next_round(table, heavy, [seed_frontier(["a"], spark)]))
+    seen = frontier._Seen(8)
+    seen.add(seed_frontier(["a"], spark))
+    seen.add(seed_frontier(["b"], spark))
+    fresh = frontier._next_round(table, heavy, seen, seed_frontier(["b"], spark))
+    lines = plan_of(fresh).splitlines()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert depths(fresh.withColumn("depth", F.lit(0))) == dict(d=0)
     table.unpersist()
-    before = plan[: plan.index("InMemoryTableScan")]
-    assert "hashpartitioning(src_url" not in before  # nothing between the kept links and the join
+    seen.close()
+    # exchanges: the sources to the links, what is found to the visited URLs; none over a kept table
+    depth_of = lambda line: len(line) - len(line.lstrip(" :|+-"))
+    kept = [k for k, line in enumerate(lines) if "InMemoryTableScan" in line]
+    assert len(kept) == 3
+    outer = [line for line in lines if "Exchange hashpartitioning(url" in line and "InMemoryRelation" not in line]
+    for k in kept:
+        above = [line for line in lines[:k] if depth_of(line) < depth_of(lines[k])]
+        assert not any("Exchange hashpartitioning(src_url" in line for line in above)
+    assert outer
+
+
+@pytest.mark.parametrize("cap", [1, 3, 7, 1000])
+def test_backlog_reaches_what_no_cap_reaches(spark, cap):
+    rnd = random.Random(5)
+    pairs = [(f"n{rnd.randrange(14)}", f"n{rnd.randrange(14)}") for _ in range(24)]
+    seeds = seed_frontier(["n0", "n7"], spark)
+    got = frontier.crawl(seeds, edges(spark, pairs), 4, cap=cap, overflow="keep", rows_per_key=3)
+    assert depths(got) == bfs(pairs, ["n0", "n7"], 4) and got.count() == len(depths(got))
+
+
+def test_backlog_after_some_rounds(spark):
+    seeds = seed_frontier(["a"], spark)
+    first = frontier.crawl(seeds, edges(spark), 9, cap=1, overflow="keep", max_rounds=3)
+    assert depths(first) == dict(a=0, b=1, c=1)  # in the order of depth and URL
+    with pytest.raises(ValueError):
+        frontier.crawl(seeds, edges(spark), 1, cap=1, overflow="wait")
+
+
+@pytest.mark.parametrize("rows_per_group", [2, 10**6])
+def test_frontier_split(spark, rows_per_group):
+    rows = [(f"u{k:02d}", k % 4) for k in range(23)]
+    now = spark.createDataFrame(rows, "url string, depth int")
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    for cap in (0, 1, 6, 8, 23, 99):
+        got = frontier.frontier_split(now, cap, rows_per_group).collect()
+        assert len(got) == 23 and {r["url"] for r in got if r["now"]} == {u for u, _ in ordered[:cap]}
 
 
 @pytest.mark.parametrize("rows_per_group", [7, 10**6])
