@@ -456,6 +456,33 @@ def q_knn_ivf(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+def _given_centroids(spark, sf_dir) -> tuple[DataFrame, list]:
+    """Vectors, and the first of them as centroids of lists."""
+    v = _embeddings(spark, sf_dir)
+    first = v.filter(F.col("vec_id") < C.LISTS).orderBy("vec_id").collect()  # one row per list
+    return v, [r["embedding"] for r in first]
+
+
+def q_ivf_assign_given(spark, sf_dir):
+    v, given = _given_centroids(spark, sf_dir)
+    return vectors.ivf_assign(v, given, "embedding").select("vec_id", "list_id")
+
+
+def q_ivf_list_table(spark, sf_dir):
+    v, given = _given_centroids(spark, sf_dir)
+    lists = vectors.list_table(vectors.ivf_assign(v, given, "embedding"), given, "embedding")
+    return lists.select("list_id", F.round("radius", 6).alias("radius"), "n")
+
+
+def _probing(metric: str, search: Callable, **options) -> Callable:
+    def query(spark, sf_dir):
+        v, given = _given_centroids(spark, sf_dir)
+        found = search(vectors.ivf_assign(v, given, "embedding"), v, given, C.KNN_K, 2, metric, **COLUMNS, **options)
+        return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+    return query
+
+
 # --- streaming ---------------------------------------------------------------------------------------------
 def _captured(spark, sf_dir, copies: int = 1) -> tuple[str, object]:
     """The augmented pages written ``copies`` times as files for a stream to pick up."""
@@ -593,6 +620,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_missing_vectors": q_knn_missing_vectors,
     "ivf_assign": q_ivf_assign,
     "knn_ivf": q_knn_ivf,
+    "ivf_assign_given": q_ivf_assign_given,
+    "ivf_list_table": q_ivf_list_table,
+    "knn_ivf_probe2": _probing("L2", vectors.knn_ivf),
+    "knn_ivf_bounded": _probing("L2", vectors.knn_ivf_bounded),
+    "knn_ivf_bounded_ip": _probing("IP", vectors.knn_ivf_bounded),
     "stream_documents": q_stream_documents,
     "stream_dedup_urls": _stream_urls(None),
     "stream_dedup_urls_watermark": _stream_urls("1 hour"),

@@ -56,6 +56,7 @@ EMBED_DIM = 64
 VECTOR_DIM = 8
 OPEN_ELEMENTS = 600
 KNN_K = 5
+LISTS = 16
 MAX_DEPTH = 3
 CAP = 40
 DELAY_MS = 1000

@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.operators.joins import measured_bytes, reliable_checkpoint
+from pagemill.operators.joins import broadcast_checked, measured_bytes, reliable_checkpoint
 
 # Queries to broadcast. Every task answers all of them with up to k rows each, so this also bounds what is
 # shuffled after the scan; it is far below what an executor could hold.
 QUERY_BYTES = 8 << 20
 BLOCK_BYTES = 64 << 20  # vectors of one block, in double precision
 QUERY_BLOCK = 2_000
+SLACK = 1e-9  # of bounds in double precision
 SCORE_CELLS = 4_000_000  # entries of one score matrix inside a task
 
 
@@ -266,9 +267,18 @@ def ivf_train(vectors: DataFrame, nlist: int, seed: int = 42, vector_col: str =
     return KMeans(k=nlist, seed=seed, maxIter=max_iter).fit(data)
 
 
+def centres(model) -> list:
+    """Centroids of a model of `ivf_train`, or those given as a list of vectors."""
+    return list(model.clusterCenters() if hasattr(model, "clusterCenters") else model)
+
+
 def ivf_assign(vectors: DataFrame, model, vector_col: str = "vector") -> DataFrame:
-    """Adds ``list_id``, the list with the nearest centroid; null for a null or empty vector. Map-only."""
+    """Adds ``list_id``, the list with the nearest centroid (ties: the first); null for a null or empty vector. Map-only.
+    ``model`` comes from `ivf_train`, or is a list of centroids, of which list ``n`` has the n-th."""
     there = F.size(vector_col) > 0
+    if not hasattr(model, "clusterCenters"):
+        nearest = _nearest_of(np.array(model, np.float64))
+        return vectors.withColumn("list_id", F.when(there, nearest(F.col(vector_col).cast("array<double>"))))
     zero = F.array_repeat(F.lit(0.0), len(model.clusterCenters()[0]))
     vector = F.when(there, F.col(vector_col).cast("array<double>")).otherwise(zero)
     tagged = vectors.withColumn("_features", array_to_vector(vector))
@@ -276,11 +286,45 @@ def ivf_assign(vectors: DataFrame, model, vector_col: str = "vector") -> DataFra
     return assigned.withColumn("list_id", F.when(there, F.col("list_id"))).drop("_features")
 
 
+def _nearest_of(centroids: np.ndarray):
+    """Arrow function: place of the nearest centroid; vectors of another size fail."""
+
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        out = np.full(len(vectors), -1, np.int32)
+        there = np.flatnonzero(vectors.notna() & (vectors.str.len() > 0))
+        step = max(1, SCORE_CELLS // len(centroids))
+        for start in range(0, len(there), step):
+            part = there[start : start + step]
+            matrix = np.stack(vectors.iloc[part].to_list())
+            if matrix.shape[1] != centroids.shape[1]:
+                raise ValueError(f"vector size is not {centroids.shape[1]}: {matrix.shape[1]}")
+            rough = (centroids * centroids).sum(axis=1) - 2 * (matrix @ centroids.T)
+            slack = 1e-9 * (1 + (matrix * matrix).sum(axis=1) + (centroids * centroids).sum(axis=1).max())
+            for row, at in enumerate(part):
+                near = np.flatnonzero(rough[row] <= rough[row].min() + slack[row])
+                out[at] = near[np.argmin(_scores(centroids[near], matrix[row], "L2"))]
+        return pd.Series(out)
+
+    return nearest
+
+
 def centroid_table(spark, model) -> DataFrame:
-    rows = [(n, [float(x) for x in c]) for n, c in enumerate(model.clusterCenters())]
+    rows = [(n, [float(x) for x in c]) for n, c in enumerate(centres(model))]
     return spark.createDataFrame(rows, "id int, vector array<double>")
 
 
+def list_table(assigned: DataFrame, model, vector_col: str = "vector") -> DataFrame:
+    """``list_id, radius, n``: the largest distance of a member from its centroid, and the number of members. Empty lists
+    have no row. Partial aggregation over the vectors; the centroids are as many as there are lists."""
+    centroids = centroid_table(assigned.sparkSession, model).select(F.col("id").alias("list_id"), F.col("vector").alias("_c"))
+    apart = F.zip_with(F.col(vector_col), "_c", lambda x, c: (x - c) * (x - c))
+    distance = F.sqrt(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x))
+    members = assigned.filter(F.col("list_id").isNotNull()).select(F.col("list_id").cast("int"), vector_col)
+    joined = members.join(broadcast_checked(centroids) or centroids, "list_id")
+    return joined.groupBy("list_id").agg(F.max(distance).alias("radius"), F.count(F.lit(1)).alias("n"))
+
+
 def knn_ivf(
     assigned: DataFrame,
     queries: DataFrame,
@@ -314,6 +358,65 @@ def knn_ivf(
     return _search(v, q, probes, k, metric.upper(), max_bytes, vector_block, query_block)
 
 
+def knn_ivf_bounded(
+    assigned: DataFrame,
+    queries: DataFrame,
+    model,
+    k: int,
+    nprobe: int = 1,
+    metric: str = "L2",
+    id_col: str = "id",
+    vector_col: str = "vector",
+    lists: DataFrame | None = None,
+    max_bytes: int = QUERY_BYTES,
+    vector_block: int | None = None,
+    query_block: int = QUERY_BLOCK,
+) -> DataFrame:
+    """Exact nearest vectors from as few lists as bounds allow: the columns of `knn` and ``lists_probed``.
+
+    The ``nprobe`` lists nearest to a query are searched first. No member of a list is nearer than the centroid's distance
+    less the list's radius (nor has a larger inner product than the centroid's plus query norm times radius), so the
+    other lists are searched only where that bound does not rule them out against the k-th result so far. ``lists`` is
+    the table of `list_table`, computed when it is not given.
+    """
+    spark, metric = assigned.sparkSession, metric.upper()
+    options = {"max_bytes": max_bytes, "vector_block": vector_block, "query_block": query_block}
+    q = _prepared(queries, id_col, vector_col, ("query_id", "query_vector"))
+    v = assigned.filter(F.col("list_id").isNotNull()).select(
+        F.col("list_id").cast("int").alias("cell"), F.col(id_col).alias("id"), F.col(vector_col).alias("vector")
+    )
+    lists = reliable_checkpoint(list_table(assigned, model, vector_col) if lists is None else lists)
+    names = q.select(F.col("query_id").alias("id"), F.col("query_vector").alias("vector"))
+    apart = knn(centroid_table(spark, model), names, len(centres(model)), metric, **options)
+    apart = apart.withColumnsRenamed({"id": "cell", "score": "_apart"}).drop("rank")
+    apart = apart.join(lists.select(F.col("list_id").alias("cell"), "radius"), "cell")  # one row per query and list
+    nearest = F.col("_apart") if metric == "L2" else -F.col("_apart")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(nearest, "cell"))
+    apart = reliable_checkpoint(apart.withColumn("_place", place))
+
+    first = apart.filter(F.col("_place") <= nprobe).select("query_id", "cell")
+    found = reliable_checkpoint(_search(v, q, first, k, metric, **options).drop("rank"))
+    worst = F.max("score") if metric == "L2" else F.min("score")
+    reach = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, worst).alias("_reach"))
+    norm = F.sqrt(F.aggregate("query_vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    left = apart.filter(F.col("_place") > nprobe).join(reach, "query_id", "left")
+    left = left.join(q.select("query_id", norm.alias("_norm")), "query_id")
+    if metric == "L2":
+        bound = F.greatest(F.lit(0.0), F.sqrt("_apart") - F.col("radius"))
+        possible = bound * bound * (1 - SLACK) <= F.col("_reach") + SLACK
+    else:
+        bound = F.col("_apart") + F.col("_norm") * F.col("radius")
+        possible = bound + SLACK * (1 + F.abs(bound)) >= F.col("_reach")
+    more = reliable_checkpoint(left.filter(F.col("_reach").isNull() | possible).select("query_id", "cell"))
+    probed = first.unionByName(more).groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("lists_probed"))
+    if not more.isEmpty():
+        found = found.unionByName(_search(v, q.join(more.select("query_id").distinct(), "query_id"), more, k, metric, **options).drop("rank"))
+    order = F.col("score") if metric == "L2" else -F.col("score")
+    w = Window.partitionBy("query_id").orderBy(order, "id")
+    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.join(probed, "query_id")
+
+
 def search(
     vectors: DataFrame,
     queries: DataFrame,

@@ -96,3 +96,50 @@ def test_inverted_lists(spark, options):
     recall = len(found & {(q, i) for (q, _), i in exact.items()}) / len(exact)
     assert 0.4 < recall <= 1
     assert part.filter("rank = 1 and score > 1e-9").count() == 0  # a vector finds itself in its own list
+
+
+def clustered(spark, n=600, dim=6, lists=12, seed=4):
+    """Vectors close around ``lists`` far centres, some rows without a vector."""
+    rnd = np.random.default_rng(seed)
+    centre = rnd.normal(size=(lists, dim)) * 20
+    m = (centre[rnd.integers(0, lists, n)] + rnd.normal(size=(n, dim))).astype(np.float32)
+    m[n // 2 :: 5] = m[0]
+    rows = [(int(i), [float(x) for x in m[i]]) for i in range(n)] + [(n, None), (n + 1, [])]
+    return m, centre, spark.createDataFrame(rows, "id bigint, vector array<float>").repartition(5)
+
+
+@pytest.mark.parametrize("metric", ["L2", "IP"])
+@pytest.mark.parametrize("options", [{}, {"max_bytes": 0, "vector_block": 60, "query_block": 9}])
+def test_bounded_search_is_exact_and_skips_lists(spark, metric, options):
+    m, centre, df = clustered(spark)
+    given = [[float(x) for x in c] for c in centre]
+    assigned = V.ivf_assign(df, given)
+    lists = V.list_table(assigned, given)
+    asking = df.filter("id % 6 = 0")
+    got = V.knn_ivf_bounded(assigned, asking, given, 5, metric=metric, lists=lists, **options).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append(r["id"])
+    ids = list(range(0, 600, 6))
+    assert [found[q] for q in ids] == brute(m, m[ids], 5, metric)
+    probed = [r["lists_probed"] for r in got]
+    assert np.mean(probed) < (3 if metric == "L2" else 8)  # of twelve lists
+
+
+def test_bounded_search_fills_up_from_other_lists(spark):
+    """The nearest list holds fewer than k vectors: the others are searched as well."""
+    rows = [(1, [0.0, 0.0]), (2, [9.0, 0.0]), (3, [9.0, 1.0]), (4, [40.0, 0.0])]
+    df = spark.createDataFrame(rows, "id bigint, vector array<float>")
+    given = [[0.0, 0.0], [9.0, 0.5], [40.0, 0.0], [99.0, 9.0]]
+    got = V.knn_ivf_bounded(V.ivf_assign(df, given), df.filter("id = 1"), given, 3).orderBy("rank").collect()
+    assert [r["id"] for r in got] == [1, 2, 3] and {r["lists_probed"] for r in got} == {3}  # the last list is empty
+    radii = {r["list_id"]: (round(r["radius"], 3), r["n"]) for r in V.list_table(V.ivf_assign(df, given), given).collect()}
+    assert radii == {0: (0.0, 1), 1: (0.5, 2), 2: (0.0, 1)}
+
+
+def test_given_centroids(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, []), (4, [5.0, 0.0])], "id bigint, vector array<float>")
+    got = {r["id"]: r["list_id"] for r in V.ivf_assign(df, [[0.0, 0.0], [2.0, 0.0], [6.0, 0.0]]).collect()}
+    assert got == {1: 0, 2: None, 3: None, 4: 2}  # a tie goes to the first
+    with pytest.raises(Exception, match="vector size is not 3"):
+        V.ivf_assign(df, [[0.0] * 3]).collect()
