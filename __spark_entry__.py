@@ -20,7 +20,8 @@ from pagemill.functions.models import count_model  # noqa: E402
 from pagemill.functions.nodes import first_node, html_nodes, select_nodes  # noqa: E402
 from pagemill.functions.text import clean_text, content_hash  # noqa: E402
 from pagemill.functions.urls import url_parts  # noqa: E402
-from pagemill.operators import dedup, frontier, links, robots, validate, vectors  # noqa: E402
+from pagemill.operators import dedup, frontier, links, patterns, robots, validate, vectors  # noqa: E402
+from pagemill.operators.embedding import embed_once  # noqa: E402
 from pagemill.operators.joins import shared_folder  # noqa: E402
 from pagemill.plans.crawl import crawl_documents, outcomes  # noqa: E402
 from pagemill.plans.documents import parsed_pages, to_documents  # noqa: E402
@@ -232,6 +233,12 @@ def q_not_ad_link(spark, sf_dir):
     return links.not_ad_link(_links(spark, sf_dir), C.AD_PATTERNS).select("src_url", "ord", "url")
 
 
+def q_not_ad_link_table(spark, sf_dir):
+    """The same patterns among many that fit no link."""
+    table = spark.createDataFrame([(p,) for p in [*C.AD_PATTERNS, *C.OTHER_PATTERNS]], "pattern string")
+    return patterns.not_ad_link_table(_links(spark, sf_dir), table).select("src_url", "ord", "url")
+
+
 # --- dedup -------------------------------------------------------------------------------------------------
 def _hashed_texts(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", "text", content_hash(F.col("text")).alias("hash_id"))
@@ -312,6 +319,12 @@ def q_robots_allowed(spark, sf_dir):
     return robots.robots_allowed(_pages(spark, sf_dir), rules).select("url", "allowed")
 
 
+def q_robots_allowed_index(spark, sf_dir):
+    """The same rules found by join, as for hosts with very many."""
+    rules = _rules(spark, sf_dir)
+    return robots.robots_allowed(_pages(spark, sf_dir), rules, many=0).select("url", "allowed")
+
+
 def _gated(spark, sf_dir):
     rules = _rules(spark, sf_dir)
     pages = robots.robots_allowed(_aug(spark, sf_dir), rules)
@@ -397,10 +410,21 @@ def q_embed_dummy(spark, sf_dir):
 
 
 def q_embed_with(spark, sf_dir):
+    return _counted(_table(spark, sf_dir, "documents").select("doc_id", _counts()(F.col("text")).alias("v")))
+
+
+def q_embed_once(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _counted(embed_once(docs, _counts(), vector="v"))
+
+
+def _counts() -> Callable:
     E.register_embedder("counts", count_model)
-    embed = E.text_embedder("Counts", 3)
+    return E.text_embedder("Counts", 3)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
     v = F.col("v")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", embed(F.col("text")).alias("v"))
     return docs.select(
         "doc_id",
         F.round(v[0].cast("double"), 4).alias("v0"),
@@ -594,6 +618,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "not_excluded_domain": q_not_excluded_domain,
     "not_excluded_domain_table": q_not_excluded_domain_table,
     "not_ad_link": q_not_ad_link,
+    "not_ad_link_table": q_not_ad_link_table,
     "dedup_documents": q_dedup_documents,
     "dedup_page_documents": q_dedup_page_documents,
     "duplicate_groups": q_duplicate_groups,
@@ -605,6 +630,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fetch_plan": q_fetch_plan,
     "robots_rules": q_robots_rules,
     "robots_allowed": q_robots_allowed,
+    "robots_allowed_index": q_robots_allowed_index,
     "route_rejects": q_route_rejects,
     "check_lengths": q_check_lengths,
     "check_vector": q_check_vector,
@@ -614,6 +640,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "crawl_linked_documents": q_crawl_linked_documents,
     "embed_dummy": q_embed_dummy,
     "embed_with": q_embed_with,
+    "embed_once": q_embed_once,
     "knn_l2": _knn("L2"),
     "knn_ip": _knn("IP"),
     "knn_l2_blocks": _knn("L2", max_bytes=0, vector_block=500, query_block=200),

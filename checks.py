@@ -51,6 +51,7 @@ EXCLUDED = ["example.org", "farm.example.net"]
 AD_PATTERNS = [r"/(?P<word>[Tt]he)", "q=1", "%C3%BC", "/[[:upper:]][[:lower:]]$"]
 # the same for a regular expression engine without the named group
 AD_PATTERNS_SQL = [r"/([Tt]he)", "q=1", "%C3%BC", "/[[:upper:]][[:lower:]]$"]
+OTHER_PATTERNS = [rf"/banner{n}/(\d+|x)[a-z]*\.gif$" for n in range(5_000)] + ["(?i)/SPONSORED-[0-9]", "[.](exe|msi)$"]
 LIMITS = {"url": 60, "html_source": 20_000, "main_content": 8_000, "title": 70, "language": 0}
 EMBED_DIM = 64
 VECTOR_DIM = 8

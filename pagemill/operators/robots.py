@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.columns import let
 from pagemill.functions.urls import URL_PATTERN, url_host
-from pagemill.operators.joins import BROADCAST_BYTES, PAGE_ROWS_PER_KEY, lookup_join
+from pagemill.operators.joins import BROADCAST_BYTES, PAGE_ROWS_PER_KEY, lookup_join, reliable_checkpoint
 
 # Fixed values (RFC 3986): what a path cannot hold unescaped, and what needs no escape
 UNSAFE = r"[^A-Za-z0-9\-._~!$&'()*+,;=:@/%?#\[\]]"
@@ -140,16 +140,74 @@ def is_allowed(path: Column, rules: Column) -> Column:
     return F.coalesce(best["allow"], F.lit(True))
 
 
+MANY_RULES = 100  # of a host; beyond them paths meet rules by equality of prefixes
+
+
 def robots_allowed(
     pages: DataFrame,
     rules: DataFrame,
     max_bytes: int = BROADCAST_BYTES,
     rows_per_key: int = PAGE_ROWS_PER_KEY,
     url: str = "url",
+    many: int = MANY_RULES,
+) -> DataFrame:
+    """``pages`` with ``allowed``. Only the path is tested, not the query; a host without rules allows all.
+
+    Rules of a host with up to ``many`` are tested one after the other in the row of the page. Those of larger ones are
+    found by join: the beginnings of a path, of the lengths that the rules of its host have, meet the rules that begin so
+    (see `barred_by_index`). On a stream all are tested in the row.
+    """
+    if pages.isStreaming:
+        return _allowed_in_row(pages, rules, max_bytes, rows_per_key, url, False)
+    rules = reliable_checkpoint(rules)
+    large = rules.filter(F.size("rules") > many)
+    small = rules.filter(F.size("rules") <= many)
+    judged = _allowed_in_row(pages, small, max_bytes, rows_per_key, url, True)
+    if large.isEmpty():
+        return judged
+    barred = barred_by_index(pages.select(F.col(url).alias("url")), large, max_bytes, rows_per_key)
+    barred = barred.select(F.col("url").alias(url), F.lit(True).alias("_barred"))
+    marked = lookup_join(judged, barred, [url], "left", max_bytes, rows_per_key)
+    columns = [F.col(f"`{c}`") for c in judged.columns if c != "allowed"]
+    return marked.select(*columns, (F.col("allowed") & F.col("_barred").isNull()).alias("allowed"))
+
+
+def _path(url: Column) -> Column:
+    path = F.regexp_extract(url, URL_PATTERN, 4)
+    return normal_path(F.when(path == "", "/").otherwise(path))
+
+
+def _allowed_in_row(
+    pages: DataFrame, rules: DataFrame, max_bytes: int, rows_per_key: int, url: str, materialized: bool
 ) -> DataFrame:
-    """``pages`` with ``allowed``. Only the path is tested, not the query; a host without rules allows all."""
     tagged = pages.withColumn("host", url_host(F.col(url)))
-    joined = lookup_join(tagged, rules, ["host"], "left", max_bytes, rows_per_key)
-    path = F.regexp_extract(F.col(url), URL_PATTERN, 4)
-    path = normal_path(F.when(path == "", "/").otherwise(path))
-    return joined.withColumn("allowed", let(path, lambda p: is_allowed(p, F.col("rules")))).drop("host", "rules")
+    joined = lookup_join(tagged, rules, ["host"], "left", max_bytes, rows_per_key, materialized)
+    allowed = let(_path(F.col(url)), lambda p: is_allowed(p, F.col("rules")))
+    return joined.withColumn("allowed", allowed).drop("host", "rules")
+
+
+def barred_by_index(
+    urls: DataFrame, rules: DataFrame, max_bytes: int = BROADCAST_BYTES, rows_per_key: int = PAGE_ROWS_PER_KEY
+) -> DataFrame:
+    """The ``url`` of those that ``rules`` disallow, each once.
+
+    A rule is found by its host and the literal it begins with, so a path costs as many look-ups as that host has
+    different lengths of such literals, whatever the number of rules; a pattern with wildcards is tried on the paths
+    that begin like it. Hot beginnings (``/`` of a large host) are split.
+    """
+    rule = F.explode("rules").alias("r")
+    listed = rules.select("host", rule).select("host", "r.prefix", "r.regex", "r.length", "r.allow")
+    listed = reliable_checkpoint(listed.distinct())
+    lengths = listed.groupBy("host").agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("lengths"))
+    tagged = urls.distinct().withColumn("host", url_host(F.col("url")))
+    tagged = lookup_join(tagged, lengths, ["host"], "inner", max_bytes, rows_per_key)
+    pathed = tagged.select("url", "host", "lengths", _path(F.col("url")).alias("path"))
+    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
+    starts = pathed.select(
+        "url", "host", "path", F.explode(F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("prefix")
+    )
+    starts = reliable_checkpoint(starts)
+    met = lookup_join(starts, listed, ["host", "prefix"], "inner", max_bytes, rows_per_key, materialized=True)
+    hit = met.filter(F.col("regex").isNull() | F.rlike(F.col("path"), F.col("regex")))
+    best = hit.groupBy("url").agg(F.max(F.struct("length", "allow")).alias("best"))
+    return best.filter(~F.col("best.allow")).select("url")
