@@ -361,9 +361,29 @@ def q_fill_zero_vector(spark, sf_dir):
     return rows.select("vec_id", (F.col("i") + 1).alias("i"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
-def q_crawl_report(spark, sf_dir):
+def _outcomes(spark, sf_dir):
     outcome = F.coalesce(F.col("reject_reason"), F.lit("accepted")).alias("outcome")
-    return validate.crawl_report(_gated(spark, sf_dir).select(F.col("status").alias("depth"), outcome))
+    return _gated(spark, sf_dir).select(F.col("status").alias("depth"), outcome)
+
+
+def q_crawl_report(spark, sf_dir):
+    return validate.crawl_report(_outcomes(spark, sf_dir))
+
+
+def q_crawl_report_observed(spark, sf_dir):
+    """Counted by the job that writes the outcomes."""
+    rows, report = validate.observed_report(_outcomes(spark, sf_dir), C.STATUSES, ["accepted", "robots", "status", "bad_url"])
+    rows.write.parquet(_scratch(spark) + "/outcomes")
+    return report()
+
+
+def q_stream_crawl_report(spark, sf_dir):
+    folder = _scratch(spark) + "/outcomes"
+    rows = _outcomes(spark, sf_dir)
+    for depth in (F.col("depth") == 200, F.col("depth") != 200):
+        rows.filter(depth).write.mode("append").parquet(folder)
+    stream = S.stream_pages(spark, folder, rows.schema, max_files_per_trigger=2)
+    return S.stream_crawl_report(stream, _scratch(spark))
 
 
 def q_crawl_documents(spark, sf_dir):
@@ -636,6 +656,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "check_vector": q_check_vector,
     "fill_zero_vector": q_fill_zero_vector,
     "crawl_report": q_crawl_report,
+    "crawl_report_observed": q_crawl_report_observed,
+    "stream_crawl_report": q_stream_crawl_report,
     "crawl_documents": q_crawl_documents,
     "crawl_linked_documents": q_crawl_linked_documents,
     "embed_dummy": q_embed_dummy,

@@ -59,6 +59,7 @@ OPEN_ELEMENTS = 600
 KNN_K = 5
 LISTS = 16
 MAX_DEPTH = 3
+STATUSES = [200, 404, 503]
 CAP = 40
 DELAY_MS = 1000
 DELAY_S = 30

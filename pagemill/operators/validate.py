@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
+from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import is_valid_url
@@ -73,8 +74,36 @@ def route_rejects(tagged: DataFrame, reason: str = "reject_reason") -> tuple[Dat
 def crawl_report(outcomes: DataFrame) -> DataFrame:
     """Pages per depth and outcome with totals: NULL depth or outcome stands for all (`depth_total`,
     `outcome_total` mark it)."""
-    return outcomes.rollup("depth", "outcome").agg(
-        F.count(F.lit(1)).alias("pages"),
+    return report_of_counts(outcomes.withColumn("n", F.lit(1)))
+
+
+def report_of_counts(counts: DataFrame) -> DataFrame:
+    """The report from ``depth, outcome, n``."""
+    return counts.rollup("depth", "outcome").agg(
+        F.sum("n").cast("long").alias("pages"),
         F.grouping("depth").cast("int").alias("depth_total"),
         F.grouping("outcome").cast("int").alias("outcome_total"),
     )
+
+
+def observed_report(
+    rows: DataFrame, depths: Sequence[int | None], outcomes: Sequence[str | None], depth: str = "depth", outcome: str = "outcome"
+) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """(rows to write, report): the report of `crawl_report`, counted by the job that writes the rows, without reading
+    them again. ``depths`` and ``outcomes`` list what can occur (None for null); the report fails if anything else did, and
+    waits until the rows have been written."""
+    observation = Observation()
+    cells = [(d, o) for d, o in product(dict.fromkeys(depths), dict.fromkeys(outcomes))]
+    same = lambda c, v: F.col(c).isNull() if v is None else F.coalesce(F.col(c) == F.lit(v), F.lit(False))
+    counts = [F.count(F.when(same(depth, d) & same(outcome, o), 1)).alias(f"c{k}") for k, (d, o) in enumerate(cells)]
+    spark = rows.sparkSession
+    kinds = [rows.schema[depth].dataType.simpleString(), rows.schema[outcome].dataType.simpleString()]
+
+    def report() -> DataFrame:
+        found = observation.get
+        if sum(found[f"c{k}"] for k in range(len(cells))) != found["every"]:
+            raise ValueError("rows with a depth or outcome that was not listed")
+        table = [(d, o, found[f"c{k}"]) for k, (d, o) in enumerate(cells) if found[f"c{k}"]]
+        return report_of_counts(spark.createDataFrame(table, f"depth {kinds[0]}, outcome {kinds[1]}, n long"))
+
+    return rows.observe(observation, F.count(F.lit(1)).alias("every"), *counts), report

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagemill.operators.dedup import dedup_documents
 from pagemill.operators.joins import lookup_join, reliable_checkpoint
+from pagemill.operators.validate import report_of_counts
 from pagemill.plans.documents import to_documents
 from pagemill.schema import PAGE_SCHEMA
 from pagemill.sources.batches import BatchTable
@@ -125,3 +126,12 @@ def stream_dedup_late(
 def stream_late_urls(pages: DataFrame, root: str, delay: str, event_time: str = "fetched_at") -> tuple[DataFrame, DataFrame]:
     """Visited test on a stream with bounded state: (URLs that passed, late URLs that had not passed before)."""
     return stream_dedup_late(pages.select("url", event_time), root, "url", event_time, delay)
+
+
+def stream_crawl_report(outcomes: DataFrame, root: str) -> DataFrame:
+    """The report of `crawl_report` over a stream of ``depth, outcome``, kept up to date by a streaming aggregate: a batch
+    writes the counts it changes, and the last count of every depth and outcome makes the report."""
+    counted = outcomes.groupBy("depth", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    table = BatchTable(outcomes.sparkSession, f"{root}/counts", counted.schema)
+    run_batches(counted, lambda batch, number: table.write(batch, number, again=True), f"{root}/_progress/counts", "update")
+    return report_of_counts(table.read().groupBy("depth", "outcome").agg(F.max_by("n", "batch").alias("n")))

@@ -205,6 +205,18 @@ def test_checks(spark):
     assert validate.check_lengths(text, {"url": 0, "title": 0}).first()["too_long"] is None
 
 
+def test_report_of_the_writing_job(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "stored"), (1, "stored"), (1, "robots"), (None, None)], "depth int, outcome string")
+    want = sorted(map(str, validate.crawl_report(rows).collect()))
+    seen, report = validate.observed_report(rows, [0, 1, 2, None], ["stored", "robots", None])
+    seen.write.parquet(str(tmp_path / "rows"))
+    assert sorted(map(str, report().collect())) == want
+    seen, report = validate.observed_report(rows, [0, 1], ["stored", "robots"])
+    seen.write.parquet(str(tmp_path / "others"))
+    with pytest.raises(ValueError, match="not listed"):
+        report()
+
+
 def site(spark):
     body = "<title>{0}</title><article>text {0}</article>{1}"
     at = "http://s.test"
