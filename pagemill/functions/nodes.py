@@ -28,6 +28,9 @@ DOM_TYPE = T.StructType(
 )
 
 
+PART_BYTES = 4 << 20  # of pages whose nodes are Python lists at once
+
+
 def _list_array(counts: list[int], values: pa.Array) -> pa.ListArray:
     offsets, total = [0], 0
     for n in counts:
@@ -69,9 +72,22 @@ def _dom_batch(html: pa.Array) -> pa.Array:
     )
 
 
+def _parts(html: pa.Array, size: int = PART_BYTES) -> list[pa.Array]:
+    """A batch in pieces of about ``size`` bytes, so that few pages are Python lists at once."""
+    done, todo = [], [html]
+    while todo:
+        part = todo.pop()
+        if len(part) > 1 and part.nbytes > size:
+            half = len(part) // 2
+            todo += [part.slice(half), part.slice(0, half)]
+        else:
+            done.append(part)
+    return done
+
+
 @F.arrow_udf(DOM_TYPE)
 def _dom_udf(html: pa.Array) -> pa.Array:
-    return _dom_batch(html)
+    return pa.concat_arrays([_dom_batch(part) for part in _parts(html)])
 
 
 # Marked nondeterministic so that the optimizer never copies the call: each page is parsed once however many

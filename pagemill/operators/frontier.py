@@ -28,11 +28,15 @@ def expand_frontier(
     rows_per_key: int = ROWS_PER_KEY,
 ) -> DataFrame:
     """One round: targets of the links (``src_url, url``) of frontier pages above ``max_depth`` that are not in
-    ``visited``, each once, one level deeper than their shallowest source."""
+    ``visited``, each once, one level deeper than their shallowest source. ``visited`` stays where it is while the targets
+    of a round measure little: those that it holds are looked up in them."""
     sources = frontier.filter(F.col("depth") < max_depth).select(F.col("url").alias("src_url"), "depth")
     found = lookup_join(links.select("src_url", "url"), sources, ["src_url"], "inner", max_bytes, rows_per_key)
-    targets = found.groupBy("url").agg((F.min("depth") + 1).alias("depth"))
-    return targets.join(visited.select("url"), "url", "left_anti")
+    targets = reliable_checkpoint(found.groupBy("url").agg((F.min("depth") + 1).alias("depth")))
+    known = lookup_join(
+        visited.select("url"), targets.select("url"), ["url"], "left_semi", max_bytes, rows_per_key, materialized=True
+    )
+    return lookup_join(targets, known.distinct(), ["url"], "left_anti", max_bytes, rows_per_key)
 
 
 def frontier_limit(frontier: DataFrame, cap: int) -> DataFrame:

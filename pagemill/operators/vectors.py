@@ -30,7 +30,7 @@ from pagemill.operators.joins import broadcast_checked, measured_bytes, reliable
 # shuffled after the scan; it is far below what an executor could hold.
 QUERY_BYTES = 8 << 20
 BLOCK_BYTES = 64 << 20  # vectors of one block, in double precision
-QUERY_BLOCK = 2_000
+QUERY_BYTES_OF_BLOCK = 16 << 20  # queries of one block, in double precision
 SLACK = 1e-9  # of bounds in double precision
 SCORE_CELLS = 4_000_000  # entries of one score matrix inside a task
 
@@ -194,7 +194,7 @@ def _search(
     metric: str,
     max_bytes: int,
     vector_block: int | None,
-    query_block: int,
+    query_block: int | None,
 ) -> DataFrame:
     sizes = queries.agg(F.min(F.size("query_vector")), F.max(F.size("query_vector"))).first()
     if sizes[0] != sizes[1]:
@@ -219,7 +219,8 @@ def _search(
         else:
             asking = queries.join(probes, "query_id").select("cell", "query_id", "query_vector")
         block = vector_block or max(1, BLOCK_BYTES // (8 * max(dim, 1)))
-        partial = _search_blocks(vectors, asking, k, metric, dim, schema, block, query_block)
+        asked = query_block or max(1, QUERY_BYTES_OF_BLOCK // (8 * max(dim, 1)))
+        partial = _search_blocks(vectors, asking, k, metric, dim, schema, block, asked)
     w = Window.partitionBy("query_id").orderBy("score", "id")
     ranked = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     score = F.col("score") if metric == "L2" else -F.col("score")
@@ -241,7 +242,7 @@ def knn(
     vector_col: str = "vector",
     max_bytes: int = QUERY_BYTES,
     vector_block: int | None = None,
-    query_block: int = QUERY_BLOCK,
+    query_block: int | None = None,
 ) -> DataFrame:
     """Exact ``k`` nearest vectors of every query: ``query_id, id, score, rank``. Score is the squared distance
     (L2, ascending) or the inner product (IP, descending); ties go to the smaller id. Both tables use
@@ -336,7 +337,7 @@ def knn_ivf(
     vector_col: str = "vector",
     max_bytes: int = QUERY_BYTES,
     vector_block: int | None = None,
-    query_block: int = QUERY_BLOCK,
+    query_block: int | None = None,
 ) -> DataFrame:
     """Nearest vectors within the ``nprobe`` lists nearest to each query, scored exactly. With all lists probed
     this equals `knn`. ``assigned`` comes from `ivf_assign`."""
@@ -370,7 +371,7 @@ def knn_ivf_bounded(
     lists: DataFrame | None = None,
     max_bytes: int = QUERY_BYTES,
     vector_block: int | None = None,
-    query_block: int = QUERY_BLOCK,
+    query_block: int | None = None,
 ) -> DataFrame:
     """Exact nearest vectors from as few lists as bounds allow: the columns of `knn` and ``lists_probed``.
 
