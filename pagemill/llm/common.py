@@ -36,6 +36,13 @@ def sized_slices(batches: Iterable, rows: int = SLICE_ROWS, size: int = SLICE_BY
                 yield piece
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named c0, c1, … by place, so that added columns meet none of them, and the new name of
+    each. `toDF` with the old names brings them back."""
+    names = {name: f"c{k}" for k, name in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder; a lost executor does not lose it."""
     return reliable_checkpoint(df)

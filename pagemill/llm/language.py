@@ -2,8 +2,8 @@
 by the longest character n-grams that are known.
 
 The classifier is fitted on a bounded sample of labelled rows (``SAMPLE_CHARS`` characters of whole texts a language,
-documented here); everything else covers all rows. The model is bounded by ``WORDS`` and ``GRAMS`` entries a language, and
-by ``CELLS`` scores in each of its tables where there are many languages.
+documented here); everything else covers all rows. The model holds ``WORDS`` words and ``GRAMS`` n-grams a length for each
+language, stored sparsely, so it grows in proportion to the number of languages.
 """
 
 from __future__ import annotations
@@ -15,16 +15,17 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import saved, slices
+from pagemill.llm.common import plain_names, saved, slices
 
 SAMPLE_CHARS = 4_000_000  # expected characters of the fitted sample, per language
 WORDS = 20_000  # most frequent words kept per language
 GRAMS = 20_000  # most frequent n-grams kept per language and length
-CELLS = 8_000_000  # scores of all languages in one table
+CELLS = 8_000_000  # scores of all languages in the vectors at hand
+CHUNK = 4096  # words of a text scored at once
 LONGEST = 4  # characters of the longest n-gram
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHED = 200_000  # unseen words whose score is kept
+CACHED = 200_000  # words whose vector is kept at hand
 LEAST_SCORE = 0.35  # under which a document of the pipeline is rejected
 EVIDENCE = 20  # words after which more of them make the score no surer
 
@@ -61,39 +62,42 @@ def _counts(batches: Iterable) -> Iterator:
 
 
 class Model:
-    """Log frequencies of words and n-grams in every language, and the vectors of words by backoff."""
+    """Log frequencies of words (length 0) and n-grams by length, each with the languages that have it; ``absent`` holds, by
+    length and language, the value of what a language has not."""
 
-    def __init__(self, langs: list[str], tables: list[dict[str, list[float]]], absent: list[list[float]]):
+    def __init__(self, langs: list[str], tables: list[dict[str, tuple]], absent: list[list[float]]):
         self.langs, self.tables, self.absent = langs, tables, absent
 
-    def ready(self):
+    def ready(self, cached: int = CACHED):
         import numpy as np
 
-        self.known = {w: k for k, w in enumerate(self.tables[0])}
-        cached = min(CACHED, CELLS // max(1, len(self.langs)))
-        self.vectors = np.zeros((len(self.known) + cached, len(self.langs)), np.float64)
-        if self.known:
-            self.vectors[: len(self.known)] = list(self.tables[0].values())
-        self.index = dict(self.known)
+        slots = max(CHUNK, min(cached, CELLS // max(1, len(self.langs))))
+        self.vectors = np.zeros((slots, len(self.langs)), np.float64)
+        self.index: dict[str, int] = {}
         return self
 
-    def backoff(self, word: str) -> list[float]:
-        """Mean log frequency of the known n-grams of the longest length that has any; else of an absent character."""
-        import numpy as np
-
-        for n in range(LONGEST, 0, -1):
+    def vector(self, word: str) -> list[float]:
+        """Log frequencies of a known word; else the mean of the known n-grams of the longest length that has any; else
+        of an absent character."""
+        found, n = [self.tables[0][word]] if word in self.tables[0] else [], 0
+        lengths = iter(range(LONGEST, 0, -1))
+        while not found:
+            n = next(lengths, 0)
+            if not n:
+                return self.absent[1]
             found = [self.tables[n][g] for g in grams(word, n) if g in self.tables[n]]
-            if found:
-                return np.mean(found, axis=0)
-        return self.absent[1]
+        absent = self.absent[n]
+        more = [0.0] * len(absent)
+        for places, values in found:
+            for place, value in zip(places, values, strict=True):
+                more[place] += value - absent[place]
+        return [a + m / len(found) for a, m in zip(absent, more, strict=True)]
 
     def place(self, word: str) -> int:
         at = self.index.get(word)
         if at is None:
-            if len(self.index) == len(self.vectors):
-                self.index = dict(self.known)
             at = self.index[word] = len(self.index)
-            self.vectors[at] = self.backoff(word)
+            self.vectors[at] = self.vector(word)
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -104,8 +108,11 @@ class Model:
         if not self.langs or not any(c.isalpha() for w in found for c in w):
             return UNKNOWN, 0.0
         total = np.zeros(len(self.langs))
-        for start in range(0, len(found), 4096):  # so that a full cache cannot be emptied under its own words
-            total += self.vectors[[self.place(w) for w in found[start : start + 4096]]].sum(axis=0)
+        for start in range(0, len(found), CHUNK):
+            part = found[start : start + CHUNK]
+            if len(self.index) + len(part) > len(self.vectors):
+                self.index.clear()  # between chunks only: the vectors of a chunk stay until it is summed
+            total += self.vectors[[self.place(w) for w in part]].sum(axis=0)
         mean = total / len(found) * min(len(found), EVIDENCE)
         odds = np.exp(mean - mean.max())
         best = int(np.argmax(odds))
@@ -132,27 +139,27 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", sample_chars: int = SAMPLE_
     counts = saved(counts.groupBy("lang", "n", "item").agg(F.sum("times").alias("times")))
     totals = {(r["lang"], r["n"]): r["t"] for r in counts.groupBy("lang", "n").agg(F.sum("times").alias("t")).collect()}
     by = Window.partitionBy("lang", "n").orderBy(F.col("times").desc(), "item")
-    most = max(100, CELLS // len(sizes) ** 2)
-    kept = F.when(F.col("n") == 0, F.lit(min(WORDS, most))).otherwise(F.lit(min(GRAMS, most)))
+    kept = F.when(F.col("n") == 0, F.lit(WORDS)).otherwise(F.lit(GRAMS))
     frequent = counts.withColumn("_k", F.row_number().over(by)).filter(F.col("_k") <= kept).drop("_k")
     langs = sorted({r["lang"] for r in sizes})
     column = {lang: k for k, lang in enumerate(langs)}
     absent = [[math.log(0.5 / (totals.get((lang, n), 0) + 1)) for lang in langs] for n in range(LONGEST + 1)]
-    tables: list[dict[str, list[float]]] = [{} for _ in range(LONGEST + 1)]
-    for r in frequent.collect():  # at most WORDS + LONGEST * GRAMS rows per language, and fewer for many
-        row = tables[r["n"]].setdefault(r["item"], list(absent[r["n"]]))
-        row[column[r["lang"]]] = math.log(r["times"] / (totals[r["lang"], r["n"]] + 1))
+    tables: list[dict[str, tuple]] = [{} for _ in range(LONGEST + 1)]
+    for r in frequent.collect():  # at most WORDS + LONGEST * GRAMS rows per language
+        places, values = tables[r["n"]].get(r["item"], ((), ()))
+        value = math.log(r["times"] / (totals[r["lang"], r["n"]] + 1))
+        tables[r["n"]][r["item"]] = ((*places, column[r["lang"]]), (*values, value))
     return Model(langs, tables, absent)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` added, from ``text`` alone; map-only.
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` added, from ``text_col`` alone; map-only.
 
     A null text or one without a letter is ``und`` with score 0. Columns with the added names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [n for n in docs.columns if n not in ("lang_pred", "score")]
-    at = names.index("text")
+    at = names.index(text_col)
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{n}` {types[n]}" for n in names), "lang_pred string", "score double"])
 
@@ -181,5 +188,7 @@ def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFr
     Every other row stays with its columns as they are; a missing ``lang`` is filled with the predicted one.
     """
     model = fit(docs.filter(~held_out(F.col("doc_id"))))
-    found = predict(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    rows, names = plain_names(docs)
+    found = predict(rows, model, names["text"]).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    filled = found.withColumn(names["lang"], F.coalesce(names["lang"], "lang_pred"))
+    return filled.select(*names.values()).toDF(*docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import connected_components, saved, slices
+from pagemill.llm.common import connected_components, plain_names, saved, slices
 
 SHINGLE = 5  # words
 SIMILARITY = 0.8
@@ -315,14 +315,18 @@ def _blocks(count, chars):
     return F.greatest(F.ceil(count / TILE_ROWS), F.ceil(chars / TILE_CHARS)).cast("long")
 
 
-def _keys(batches: Iterable) -> Iterator:
-    """Arrow function: the row with the key of its text, null without words."""
-    import pyarrow as pa
+def _keys(at: int):
+    """Arrow function: the row with the key of its text, the column at place ``at``; null without words."""
 
-    for batch in slices(batches):
-        found = [words(text or "") for text in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-        keys = pa.array([text_key(f) if f else None for f in found], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "_key"])
+    def add(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            found = [words(text or "") for text in batch.column(at).to_pylist()]
+            keys = pa.array([text_key(f) if f else None for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "_key"])
+
+    return add
 
 
 def keep_one(
@@ -336,16 +340,17 @@ def keep_one(
 
     ``doc_id`` need not be unique: texts with one id that do not hang together are classes of their own, and of several
     texts of a class with its smallest id that with the smallest key stays; of rows with this id and these words one
-    stays, by a hash of the text. Rows without doc_id and rows without words stay.
+    stays, by a hash of the text. Rows without doc_id and rows without words stay. All columns stay as they are.
     """
     _, texts, linked = _linked_texts(docs, similarity, n, recall, permutations)
     classes = texts.select("key", "first_doc").join(linked.select("key", "root"), "key", "left")
     first = classes.groupBy(F.coalesce("root", "key").alias("_class")).agg(F.min(F.struct("first_doc", "key")).alias("_m"))
     kept = first.select(F.col("_m.first_doc").alias("_id"), F.col("_m.key").alias("_key"))
-    schema = T.StructType([*docs.schema, T.StructField("_key", T.LongType())])
-    keyed = docs.mapInArrow(_keys, schema).withColumn("_id", F.col("doc_id").cast("long"))
+    rows, names = plain_names(docs)
+    schema = T.StructType([*rows.schema, T.StructField("_key", T.LongType())])
+    keyed = rows.mapInArrow(_keys(docs.columns.index("text")), schema).withColumn("_id", F.col(names["doc_id"]).cast("long"))
     plain = F.col("_id").isNull() | F.col("_key").isNull()
-    once = Window.partitionBy("_id", "_key").orderBy(F.xxhash64("text"))  # cut to one row before the exchange as well
+    once = Window.partitionBy("_id", "_key").orderBy(F.xxhash64(names["text"]))  # cut to one row before the exchange as well
     named = keyed.filter(~plain).withColumn("_row", F.row_number().over(once)).filter("_row = 1")
     named = named.join(kept, ["_id", "_key"], "left_semi")
-    return named.select(*docs.columns).unionByName(keyed.filter(plain).select(*docs.columns))
+    return named.select(*names.values()).unionByName(keyed.filter(plain).select(*names.values())).toDF(*docs.columns)

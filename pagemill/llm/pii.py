@@ -13,17 +13,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import count
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import saved, slices, with_row
+from pagemill.llm.common import plain_names, saved, slices, with_row
 from pagemill.operators.joins import lookup_join
 
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
 BASE = 4  # the first kinds are the base ones
-ROUNDS = 4
 SUPPORT = 5  # trusted instances a pattern needs
 SHARED = 100_000  # accepted patterns that tasks hold in memory; more are joined
 CONFIDENCE = 0.6  # trusted share of a pattern's instances
@@ -162,9 +162,9 @@ def pattern_graph(docs: DataFrame) -> DataFrame:
     return edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
 
 
-def accepted_patterns(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Saved table ``(pattern, confidence)`` of the patterns accepted after ``rounds`` rounds over the pattern-instance
-    graph of all texts.
+def accepted_patterns(docs: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Saved table ``(pattern, confidence)`` of the patterns accepted over the pattern-instance graph of all texts, by
+    rounds until no more are accepted (or ``rounds`` of them). Trust and patterns only ever grow, so the rounds end.
 
     A pattern's confidence is the trusted share of its distinct instances. It is accepted with ``SUPPORT`` trusted
     instances, however many others there are. An instance is trusted if it is a seed, or if the accepted patterns that
@@ -172,7 +172,7 @@ def accepted_patterns(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     edges = saved(pattern_graph(docs).withColumn("trusted", F.col("seed")))
     mark = None
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         trusted = F.sum(F.col("trusted").cast("long"))
         scored = edges.groupBy("pattern").agg(trusted.alias("f"), F.count(F.lit(1)).alias("n"))
         good = scored.filter((F.col("f") >= SUPPORT) & (F.col("f") >= CONFIDENCE * F.col("n")))
@@ -194,7 +194,7 @@ def accepted_patterns(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return good
 
 
-def learn_patterns(docs: DataFrame, rounds: int = ROUNDS) -> list[int]:
+def learn_patterns(docs: DataFrame, rounds: int | None = None) -> list[int]:
     """Hashes of the accepted patterns in order, on the driver: for tables with few of them."""
     return sorted(r["pattern"] for r in accepted_patterns(docs, rounds).select("pattern").collect())
 
@@ -206,7 +206,7 @@ def all_spans(text: str, accepted: frozenset[int]) -> tuple[list[tuple[int, int,
     return base, sorted(base + more)
 
 
-def _with_hits(docs: DataFrame, accepted: list[int] | DataFrame) -> tuple[DataFrame, list[int]]:
+def _with_hits(docs: DataFrame, accepted: list[int] | DataFrame, text: str) -> tuple[DataFrame, list[int]]:
     """``docs`` with ``_hits``, the accepted patterns its text has where they are joined (else null), and the patterns
     that go to all tasks.
 
@@ -216,12 +216,12 @@ def _with_hits(docs: DataFrame, accepted: list[int] | DataFrame) -> tuple[DataFr
     if isinstance(accepted, DataFrame):
         few = accepted.select("pattern").limit(SHARED + 1).collect()
         if len(few) > SHARED:
-            return _joined_hits(docs, accepted.select("pattern").distinct()), []
+            return _joined_hits(docs, accepted.select("pattern").distinct(), text), []
         accepted = [r["pattern"] for r in few]
     return docs.withColumn("_hits", F.lit(None).cast("array<long>")), accepted
 
 
-def _joined_hits(docs: DataFrame, accepted: DataFrame) -> DataFrame:
+def _joined_hits(docs: DataFrame, accepted: DataFrame, text: str) -> DataFrame:
     rows = with_row(docs)
 
     def candidates(batches: Iterable) -> Iterator:
@@ -237,7 +237,7 @@ def _joined_hits(docs: DataFrame, accepted: DataFrame) -> DataFrame:
                 [pa.array(numbers, pa.int64()), pa.array(patterns, pa.int64())], names=["_row", "pattern"]
             )
 
-    found = saved(rows.select("_row", "text").mapInArrow(candidates, "_row long, pattern long"))
+    found = saved(rows.select("_row", text).mapInArrow(candidates, "_row long, pattern long"))
     hits = lookup_join(found, accepted, ["pattern"], "left_semi")
     hits = hits.groupBy("_row").agg(F.collect_list("pattern").alias("_hits"))  # of one text
     return lookup_join(rows, hits, ["_row"]).drop("_row")
@@ -250,7 +250,7 @@ def find_personal_data(docs: DataFrame, accepted: list[int] | DataFrame) -> Data
     empty. Every row gives one row, repeated ones too; other columns are not read.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    docs, accepted = _with_hits(docs.select("doc_id", "text"), accepted)
+    docs, accepted = _with_hits(docs.select("doc_id", "text"), accepted, "text")
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(accepted))
     span = "array<struct<start: long, kind: string, end: long>>"
 
@@ -288,8 +288,9 @@ def redact_documents(docs: DataFrame, accepted: list[int] | DataFrame) -> DataFr
     ``accepted`` is a list of patterns or a table of them; up to ``SHARED`` of them this is map-only. All other columns
     and all rows stay as they are; a null text stays null.
     """
-    schema, at = docs.schema, docs.columns.index("text")
-    given, accepted = _with_hits(docs, accepted)
+    rows, names = plain_names(docs)
+    schema, at, text = rows.schema, docs.columns.index("text"), names["text"]
+    given, accepted = _with_hits(rows, accepted, text)
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(accepted))
 
     def clean(batches: Iterable) -> Iterator:
@@ -304,8 +305,9 @@ def redact_documents(docs: DataFrame, accepted: list[int] | DataFrame) -> DataFr
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    cleaned = given.select(*docs.columns, "_hits").mapInArrow(clean, schema)
-    if "n_chars" in docs.columns:
-        count = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
-        cleaned = cleaned.withColumn("n_chars", count)
-    return cleaned
+    cleaned = given.select(*names.values(), "_hits").mapInArrow(clean, schema)
+    if "n_chars" in names:
+        n_chars = names["n_chars"]
+        chars = F.coalesce(F.length(text).cast(schema[n_chars].dataType), F.col(n_chars))
+        cleaned = cleaned.withColumn(n_chars, chars)
+    return cleaned.toDF(*docs.columns)

@@ -1,3 +1,7 @@
+import copy
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from pagemill.llm import language as L
@@ -31,13 +35,48 @@ def test_only_text_decides(spark):
     assert a == sorted((r["text"] or "", r["lang_pred"], r["score"]) for r in L.predict(other, model).collect())
 
 
-def test_full_cache_changes_nothing(monkeypatch, spark):
+def plain_score(model, text):
+    """Every word by itself, in double precision sums over all words."""
+    total, found = [0.0] * len(model.langs), L.LETTERS.findall(text.lower())
+    for word in found:
+        known, n = model.tables[0].get(word), 0
+        parts = [known] if known else []
+        for n in () if known else range(L.LONGEST, 0, -1):
+            parts = [model.tables[n][g] for g in L.grams(word, n) if g in model.tables[n]]
+            if parts:
+                break
+        for k in range(len(total)):
+            if parts:
+                own = [dict(zip(*p, strict=True)).get(k, model.absent[n][k]) for p in parts]
+                total[k] += sum(own) / len(own)
+            else:
+                total[k] += model.absent[1][k]
+    mean = [t / len(found) * min(len(found), L.EVIDENCE) for t in total]
+    odds = [math.exp(m - max(mean)) for m in mean]
+    best = odds.index(max(odds))
+    return model.langs[best], odds[best] / sum(odds)
+
+
+def test_full_cache_changes_nothing(spark):
+    """Texts with more different words than the cache has places, and with different vectors, one after the other."""
+    draw = random.Random(1)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwz") for _ in range(draw.randrange(1, 8)))
     model = L.fit(docs(spark))
-    text = " ".join(f"gard{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
-    want = model.ready().predict(text)
-    monkeypatch.setattr(L, "CACHED", 5)
-    got = model.ready().predict(text)
-    assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9
+    texts = [" ".join(word() for _ in range(draw.choice((1, 40, 9000)))) for _ in range(30)] + list(TEXT.values())
+    small, large = copy.copy(model).ready(4096), copy.copy(model).ready(10_000_000)
+    assert len(small.vectors) == 4096 < len(large.vectors)
+    for text in texts:
+        want = plain_score(model, text)
+        for got in (small.predict(text), large.predict(text)):
+            assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9
+
+
+def test_many_languages_keep_their_words(spark):
+    rows = [(100 * k + i, f"word{chr(97 + k % 26)}{chr(97 + k // 26)}x common", f"l{k:03d}") for k in range(300) for i in range(2)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 300 and len(model.tables[0]) == 301
+    ready = model.ready()
+    assert all(ready.predict(text)[0] == lang for _, text, lang in rows[::20])
 
 
 def test_sample_keeps_whole_rows_of_every_language(spark):
