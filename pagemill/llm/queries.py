@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.sql import ORACLE_SQL  # noqa: F401
@@ -44,13 +44,13 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk.usable(table(spark, sf_dir, "embeddings"))
-    return ann.nearest(rows, rows.filter("vec_id % 20 = 0"), 20)
+    return topk.each_row(rows, "vec_id % 20 = 0", lambda queries, rows: ann.nearest(rows, queries, 20))
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = topk.usable(table(spark, sf_dir, "embeddings"))
+    rows = topk.usable(table(spark, sf_dir, "embeddings")).filter(topk.fits_long(F.col("vector")))
     rows = rows.select("vec_id", topk.scaled_floor(F.col("vector")).alias("vector"))
-    return topk.exact_top_k(rows.filter("vec_id % 50 = 0"), rows, 5)
+    return topk.each_row(rows, "vec_id % 50 = 0", lambda queries, rows: topk.exact_top_k(queries, rows, 5))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,14 +98,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fits_long(vector: Column) -> Column:
-    """Whether 256 times every component lies well inside the whole numbers of 64 bits; floor would cut others off."""
-    return F.forall(vector, lambda x: F.abs(x.cast("double")) * 256 < F.lit(2.0**63))
-
-
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    rows = rows.filter(topk.finite(F.col("embedding")) & fits_long(F.col("embedding")))
+    rows = rows.filter(topk.finite(F.col("embedding")) & topk.fits_long(F.col("embedding")))
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = rows.select("vec_id", label.alias("label"), topk.scaled_floor(F.col("embedding")).alias("vector"))
     return hard_negatives.mine_hard_negatives(rows, "vec_id % 50 = 0")

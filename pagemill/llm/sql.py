@@ -11,17 +11,17 @@ from pagemill.llm.url_rules import RULES
 def exact_top_k(every: int = 50, k: int = 5) -> str:
     return f"""
     WITH v AS (
-      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
       FROM embeddings
       WHERE embedding IS NOT NULL
         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
     ), s AS (
-      SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+      SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id,
              CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0
+      FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % {every} = 0
     )
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+      SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s
     ) WHERE rank <= {k}"""
 
 

@@ -4,9 +4,13 @@ lists of a query are merged in a tree over the shards.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import ordered_rank, saved
+
 TILE_VALUES = 1 << 22  # numbers of one side of a tile at most
 LEAST_ROWS = 1024  # of a shard
 FAN_IN = 16  # lists of a query merged at once
@@ -21,11 +25,29 @@ def finite(vector: Column) -> Column:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``vec_id, vector`` of the rows that can take part: id there, vector there, all components finite. Of repeated
-    ids the smallest vector counts. Other columns are not read."""
+    """``vec_id, vector`` of the rows that can take part: id there, vector there, all components finite. Other columns
+    are not read."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & finite(F.col("vector")))
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return rows.filter(F.col("vec_id").isNotNull() & finite(F.col("vector")))
+
+
+def each_row(rows: DataFrame, asked: str, search: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``search(queries, rows)`` over ``rows`` (``vec_id, vector``), the queries being those with the condition ``asked``,
+    where an id may be on several rows: each is a query and a candidate of its own.
+
+    Where ids repeat, the search runs on row numbers in the order of the ids, so its ties go the same way, and the ids are
+    put back into its lists.
+    """
+    rows = saved(rows.withColumn("asked", F.expr(asked)))
+    sides = lambda r: (r.filter("asked").select("vec_id", "vector"), r.select("vec_id", "vector"))
+    if rows.groupBy("vec_id").count().filter("count > 1").isEmpty():
+        return search(*sides(rows))
+    ranked = ordered_rank(rows.withColumn("_row", F.monotonically_increasing_id()), [F.col("vec_id"), F.col("_row")], "number")
+    ranked = saved(ranked.drop("_row"))
+    found = search(*sides(ranked.withColumn("vec_id", F.col("number"))))
+    name = lambda column: ranked.select(F.col("number").alias(column), F.col("vec_id").alias(f"_{column}"))
+    named = found.join(name("query_id"), "query_id").join(name("vec_id"), "vec_id")
+    return named.select(F.col("_query_id").alias("query_id"), "rank", F.col("_vec_id").alias("vec_id"), "score")
 
 
 def matrix(column):
@@ -38,8 +60,17 @@ def matrix(column):
     return flat.reshape(len(column), -1) if len(flat) else np.zeros((len(column), 0), flat.dtype)
 
 
+LONG = 1 << 63
+
+
+def fits_long(vector: Column, scale: float = 256.0) -> Column:
+    """Whether ``scale`` times every component lies inside the whole numbers of 64 bits; floor would cut others off."""
+    return F.forall(vector, lambda x: F.abs(x.cast("double")) * F.lit(scale) < F.lit(2.0**63))
+
+
 def _integer_scores(a, b):
-    """Exact inner products of integer rows: by floating point where no sum can reach 2**53, else by Python's integers."""
+    """Exact inner products of integer rows: by floating point where no sum can reach 2**53, else by Python's integers,
+    which may be larger than a long."""
     import numpy as np
 
     if not a.size or not b.size:
@@ -47,10 +78,7 @@ def _integer_scores(a, b):
     largest = [max(abs(int(side.max())), abs(int(side.min()))) for side in (a, b)]
     if largest[0] * largest[1] * a.shape[1] < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    exact = a.astype(object) @ b.astype(object).T
-    if max(abs(int(exact.max())), abs(int(exact.min()))) >= 1 << 63:
-        raise OverflowError("an inner product does not fit a long")
-    return exact.astype(np.int64)
+    return a.astype(object) @ b.astype(object).T
 
 
 def best_of_row(scores, ids, own: int, k: int, slack: float = 0.0):
@@ -60,11 +88,14 @@ def best_of_row(scores, ids, own: int, k: int, slack: float = 0.0):
 
     others = np.flatnonzero(ids != own)
     scores = scores[others]
+    if scores.dtype == object:  # of those that fit no long there is nothing to return
+        fits = (scores < LONG) & (scores >= -LONG)
+        others, scores = others[fits.astype(bool)], scores[fits.astype(bool)].astype(np.int64)
     if len(scores) > k:
         last = np.partition(scores, len(scores) - k)[len(scores) - k]
         near = np.flatnonzero(scores >= last - slack) if slack else np.flatnonzero(scores >= last)
         others, scores = others[near], scores[near]
-    order = np.argsort(-scores, kind="stable")
+    order = np.lexsort((np.arange(len(scores)), ~scores if scores.dtype == np.int64 else -scores))
     return others[order] if slack else others[order[:k]]
 
 
@@ -120,7 +151,7 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
     Both sides have ``vec_id`` (unique) and ``vector``, an array of integers. A query is never its own result; ties go
     to the smaller id; a query with fewer candidates gets them all. Vectors of another length than the query's are no
-    candidates. Shards and query blocks are dealt by a hash of the id, so a tile's size is bounded and no key is hot.
+    candidates; a pair whose score fits no long is left out. Shards and query blocks are dealt by a hash of the id, so a tile's size is bounded and no key is hot.
     """
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
     if not size["n"]:
@@ -140,5 +171,5 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
 
 def scaled_floor(vector: Column, scale: float = 256.0) -> Column:
-    """Components turned into whole numbers: floor of ``scale`` times the component as a double."""
+    """Components turned into whole numbers: floor of ``scale`` times the component as a double (see `fits_long`)."""
     return F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long"))

@@ -29,7 +29,7 @@ def rows(data):
 def test_registered():
     names = set(entry.queries())
     assert set(Q.QUERIES) | {"pipeline"} <= names
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(Q.ORACLE_SQL))

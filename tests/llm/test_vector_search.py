@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from pagemill.llm import ann, topk
+from pagemill.llm import ann, queries, topk
 from pyspark.sql import functions as F
 
 np = pytest.importorskip("numpy")
@@ -45,7 +45,7 @@ def test_exact_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "LEAST_ROWS", 1)
     monkeypatch.setattr(topk, "FAN_IN", 3)
     rows = vectors(1, 200)
-    used = topk.usable(frame(spark, rows + ODD + rows[:5]))
+    used = topk.usable(frame(spark, rows + ODD))
     used = used.select("vec_id", topk.scaled_floor(F.col("vector")).alias("vector"))
     got = lists(topk.exact_top_k(used.filter("vec_id % 50 = 0"), used, 5))
     assert got == brute(rows, 50, 5, lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b), strict=True)))
@@ -70,7 +70,7 @@ def test_few_candidates(spark):
 
 def test_neighbours_of_small_and_odd_tables(spark):
     rows = vectors(2, 15) + [(500, [0.0] * 4), (600, [1.0, 2.0])]
-    used = topk.usable(frame(spark, rows + ODD + rows[:3]))
+    used = topk.usable(frame(spark, rows + ODD))
     got = lists(ann.nearest(used, used.filter("vec_id % 5 = 0"), 20))
     want = brute([r for r in rows if any(r[1])], 5, 20, lambda a, b: float(np.sum(np.array(a) * np.array(b))))
     want = {q: v for q, v in want.items() if v}
@@ -92,3 +92,52 @@ def test_probes_come_in_order_of_distance():
     inside = np.array([[0.1, 0.45]])
     found = ann.probes(np.zeros((1, 2), np.int64), inside, 2, 4)[0].tolist()
     assert found == [[0, 0], [-1, 0], [0, -1], [-1, -1]]
+
+
+def expected(rows, step, k, score):
+    """Lists of every query row, by place: repeated ids are rows of their own."""
+    out = []
+    for at, (q, v) in enumerate(rows):
+        if q % step == 0:
+            scored = sorted((-score(v, w), i) for n, (i, w) in enumerate(rows) if n != at and len(w) == len(v))
+            scored = [(s, i) for s, i in scored if -topk.LONG <= -s < topk.LONG]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def query(spark, tmp_path, name, rows):
+    path = f"{tmp_path}/{name}"
+    frame(spark, rows).repartition(3).write.parquet(f"{path}/embeddings.parquet")
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in queries.QUERIES[name](spark, path).collect())
+
+
+def test_rows_with_one_id_are_rows_of_their_own(spark, tmp_path):
+    rows = vectors(8, 130)
+    rows += [(100, rows[3][1]), (100, rows[100][1]), (7, rows[9][1]), (7, rows[7][1]), (20, [0.5] * 4)]
+    whole_score = lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b), strict=True))
+    assert query(spark, tmp_path, "op5_exact_top_k", rows + ODD) == expected(rows, 50, 5, whole_score)
+    got = query(spark, tmp_path, "op4_nearest_neighbours", rows + ODD)
+    want = expected(rows, 20, 20, lambda a, b: float(np.dot(np.float64(a), np.float64(b))))
+    assert len(got) == len(want) and {(q, r) for q, r, *_ in got} == {(q, r) for q, r, *_ in want}
+    met = sum(min(a, b) for a, b in ((got_n[x], n) for got_n, x, n in counted(got, want)))
+    assert met >= 0.9 * len(want)
+
+
+def counted(got, want):
+    from collections import Counter
+
+    mine = Counter((q, i) for q, _, i, _ in got)
+    return [(mine, x, n) for x, n in Counter((q, i) for q, _, i, _ in want).items()]
+
+
+def test_two_rows_of_one_id(spark, tmp_path):
+    assert query(spark, tmp_path, "op5_exact_top_k", [(50, [1.0]), (50, [2.0])]) == [(50, 1, 50, 131072), (50, 1, 50, 131072)]
+
+
+def test_scores_beyond_a_long_are_left_out(spark, tmp_path):
+    """Components that are no whole number of 64 bits take no part, pairs whose score is none are left out."""
+    draw = random.Random(9)
+    rows = [(i * 10, [float(np.float32(draw.choice((1, -1)) * draw.random() * 10.0 ** draw.choice((0, 6, 7, 10)))) for _ in range(3)]) for i in range(60)]
+    huge = [(7, [1e30, 1.0, 1.0]), (8, [-1e17, 1.0, 1.0]), (50, [4e16, 1.0, 1.0])]
+    got = query(spark, tmp_path, "op5_exact_top_k", rows + huge)
+    assert got == expected(rows, 50, 5, lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b), strict=True)))
