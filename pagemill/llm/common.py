@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.operators.joins import reliable_checkpoint
+from pagemill.operators.joins import reliable_checkpoint, salt_big, salt_small
 
 SLICE_ROWS = 256
 
@@ -86,28 +86,49 @@ def ordered_rank(df: DataFrame, order: list, name: str = "_rank") -> DataFrame:
     )
 
 
+HUB_ROWS = 100_000  # narrow rows of one node in a task
+
+
+def _beside(rows: DataFrame, least: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """``rows (a, b)`` with the columns of ``least`` (one row per ``a``); the rows of ``hubs`` are split over several tasks."""
+    if hubs is None:
+        return rows.join(least, "a")
+    return salt_big(rows, hubs, ["a"]).join(salt_small(least, hubs, ["a"]), ["a", "_salt"]).drop("_salt")
+
+
+def _hubs(rows: DataFrame, most: int) -> DataFrame | None:
+    """Nodes with more than ``most`` rows and their ``_parts``; at most rows / ``most`` of them, and None without any."""
+    many = rows.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
+    found = many.select("a", F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+    listed = found.collect()
+    return rows.sparkSession.createDataFrame(listed, found.schema) if listed else None
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: one row ``(node, root)`` per node of an edge, root its smallest node.
 
     ``edges`` has two columns ``a`` and ``b`` of one orderable type; null ends are left out, and a node that only
     meets itself is its own root. Rounds of large-star and small-star: each hangs neighbours on smaller nodes, so the
-    number of edges never grows and about log(n) rounds end it. Every round is saved; nothing but two sums per
-    round reaches the driver.
+    number of edges never grows and about log(n) rounds end it. Every round is saved; nothing but two sums and
+    the hubs reach the driver. The edges of a hub are dealt over several tasks.
     """
+    spark = edges.sparkSession
     edges = edges.select("a", "b").filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     every = saved(edges.select(high, low).distinct())
     stars = every.filter("a != b")
     mark = _mark(stars)
-    while True:
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    while mark[0]:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hubs = _hubs(both, max(1, min(HUB_ROWS, max(1000, 2 * mark[0] // parts))))
         least = both.groupBy("a").agg(F.min("b").alias("_m"))
-        least = least.select("a", F.least("a", "_m").alias("_m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
+        large = _beside(both, least.select("a", F.least("a", "_m").alias("_m")), hubs).filter("b > a")
+        large = large.select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
         below = large.groupBy("a").agg(F.min("b").alias("_m"))
-        small = large.join(below, "a")
-        small = small.select("b", "_m").union(below.select("a", "_m")).toDF("a", "b").filter("a != b").distinct()
-        stars = saved(small)
+        # a node has no more rows here than it has neighbours, so the hubs are the same
+        small = _beside(large, below, hubs).select("b", "_m").union(below.select("a", "_m")).toDF("a", "b")
+        stars = saved(small.filter("a != b").distinct())
         now = _mark(stars)
         if now == mark:
             break

@@ -110,11 +110,12 @@ def _signatures(bands: int, rows: int, n: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(keys, pa.int64()),
                     pa.array(chars, pa.int64()),
                     pa.array(every, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "chars", "bands"],
+                names=["doc_id", "hash", "key", "chars", "bands"],
             )
 
     return sign
@@ -204,21 +205,24 @@ def _compare(similarity: float, n: int):
 
 
 def distinct_texts(docs: DataFrame, bands: int, rows: int, n: int) -> tuple[DataFrame, DataFrame]:
-    """Signatures of all rows, and one row per distinct text with words: key, copies, least doc_id, band hashes."""
+    """Signatures of all rows, and one row per distinct text with words: key, copies, least doc_id and the hash of the
+    text of such a row, band hashes."""
     signed = saved(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            _signatures(bands, rows, n), "doc_id long, key long, chars long, bands array<long>"
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash")).mapInArrow(
+            _signatures(bands, rows, n), "doc_id long, hash long, key long, chars long, bands array<long>"
         )
     )
+    first = F.min(F.struct("doc_id", "hash")).alias("first")
     texts = (
         signed.filter(F.col("bands").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("key")
         .agg(
             F.count(F.lit(1)).alias("copies"),
-            F.min("doc_id").alias("first_doc"),
+            first,
             F.max("chars").alias("chars"),
             F.first("bands").alias("bands"),
         )
+        .select("key", "copies", F.col("first.doc_id").alias("first_doc"), F.col("first.hash").alias("first_hash"), "chars", "bands")
     )
     return signed, texts
 
@@ -278,9 +282,11 @@ def _linked_texts(
     where = saved(
         met.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("bucket", "blocks"))).alias("where"))
     )  # at most one entry per band
-    needed = where.join(texts.select("key", "copies", "first_doc"), "key")
-    texts_of = docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text")
-    needed = needed.join(texts_of, "first_doc")  # of repeated rows a tile keeps one that has this key
+    needed = where.join(texts.select("key", "copies", "first_doc", "first_hash"), "key")
+    # a text comes back by id and hash, so that texts that share an id do not meet; of repeated rows one is left before
+    # the exchange
+    texts_of = docs.select(F.col("doc_id").cast("long").alias("first_doc"), F.xxhash64("text").alias("first_hash"), "text")
+    needed = needed.join(texts_of.dropDuplicates(["first_doc", "first_hash"]), ["first_doc", "first_hash"])
     tiles = (
         needed.withColumn("at", F.explode("where"))
         .withColumn("bucket", F.col("at.bucket"))

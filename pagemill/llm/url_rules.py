@@ -1,7 +1,7 @@
 """URL rules with redirect equivalence.
 
 A rule has a host, which also stands for its subdomains, and the beginning of a path; the longest fitting rule judges a
-URL. URLs that redirects or canonical links tie together are aliases: connected components over those edges carry a
+URL. URLs that redirects or canonical links tie together are aliases, whatever way they are spelled: connected components over those edges carry a
 block to all members, but a member with an allow rule of its own stays allowed.
 """
 
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.columns import let
+from pagemill.functions.nodes import html_nodes, select_nodes
+from pagemill.functions.text import trim_text
 from pagemill.functions.urls import resolve_url
 from pagemill.llm.common import connected_components, saved
 from pagemill.operators.joins import lookup_join
@@ -27,8 +29,8 @@ RULES = (
 )
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Text that is no markup: tags inside of it do not count.
-NO_MARKUP = r"(?is)<!--.*?-->|<(script|style|textarea|title)\b.*?</\1\s*>"
+# Pages without any of this name no alias: the words, or an attribute that spells them with entities.
+NAMES_ALIAS = r"""(?i)canonical|refresh|(?:rel|http-equiv)\s*=\s*["']?[^"'>]{0,200}&"""
 
 
 def _rest(url: Column) -> Column:
@@ -60,35 +62,37 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 
 def address(url: Column) -> Column:
-    """What identifies a page: its URL with the host lower-cased and without fragment; null without ``://``."""
-    head = F.substring_index(url, "://", 1)
-    query = F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(head, F.lit("://"), host_of(url), path_of(url), query))
+    """What identifies a page: its URL in one form, however it was written: illegal characters of the path are
+    percent-encoded, scheme and host are in lower case, an empty path is ``/``, and there is no fragment. A URL that cannot
+    be taken apart stays as it is; null without ``://``."""
 
+    def named(u: Column) -> Column:
+        path = F.when(path_of(u) == "", F.lit("/")).otherwise(path_of(u))
+        query = F.regexp_extract(_rest(u), r"^[^?#]*(\?[^#]*)", 1)
+        return F.concat(F.lower(F.substring_index(u, "://", 1)), F.lit("://"), host_of(u), path, query)
 
-def _attribute(tag: Column, name: str) -> Column:
-    value = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)
-    return F.trim(F.regexp_replace(value, r"""^["']|["']$""", ""))
+    return F.when(F.instr(url, "://") > 0, let(F.coalesce(resolve_url(url, url), url), named))
 
 
-def _targets(html: Column) -> Column:
-    """References of canonical links and of refresh tags in a page."""
-    clean = F.regexp_replace(html, NO_MARKUP, " ")
-    tags = F.regexp_extract_all(clean, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    relation = lambda t: F.lower(_attribute(t, "rel"))
-    canonical = F.filter(tags, lambda t: relation(t).rlike(r"(^|\s)canonical(\s|$)"))
-    refresh = F.filter(tags, lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
-    asked = lambda t: F.regexp_extract(_attribute(t, "content"), r"(?is)[;,]\s*url\s*=\s*['\"]?([^'\"]*)", 1)
-    found = F.concat(F.transform(canonical, lambda t: _attribute(t, "href")), F.transform(refresh, asked))
-    plain = F.transform(found, lambda x: F.trim(F.replace(x, F.lit("&amp;"), F.lit("&"))))
-    return F.filter(plain, lambda x: x != "")
+def _targets(dom: Column) -> Column:
+    """References of canonical links and of refresh tags in a parsed page."""
+    attribute = lambda n, name: F.coalesce(n["attrs"][name], F.lit(""))
+    canonical = F.filter(
+        select_nodes(dom, "link[rel]"),
+        lambda n: F.array_contains(F.split(F.lower(attribute(n, "rel")), r"[\t\n\f\r ]+"), "canonical"),
+    )
+    refresh = F.filter(select_nodes(dom, "meta[http-equiv]"), lambda n: F.lower(trim_text(attribute(n, "http-equiv"))) == "refresh")
+    asked = lambda n: F.regexp_extract(attribute(n, "content"), r"(?is)[;,]\s*url\s*=\s*['\"]?([^'\"]*)", 1)
+    found = F.concat(F.transform(canonical, lambda n: attribute(n, "href")), F.transform(refresh, asked))
+    return F.filter(F.transform(found, trim_text), lambda x: x != "")
 
 
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """Edges ``(a, b)`` between addresses: canonical links and refresh tags of ``pages`` (``url``, ``html``), and the
-    rows of ``redirects`` (``url``, ``target``). Only pages that name one of them are looked through."""
-    marked = pages.select("url", "html").filter(F.col("url").isNotNull() & F.col("html").rlike("(?i)canonical|refresh"))
-    linked = marked.select("url", F.explode(_targets(F.col("html"))).alias("target"))
+    rows of ``redirects`` (``url``, ``target``). Only pages that name one of them, or may with entities, are parsed."""
+    marked = pages.select("url", "html").filter(F.col("url").isNotNull() & F.col("html").rlike(NAMES_ALIAS))
+    parsed = marked.select("url", html_nodes(F.col("html")).alias("dom"))
+    linked = parsed.select("url", F.explode(_targets(F.col("dom"))).alias("target"))
     if redirects is not None:
         linked = linked.unionByName(redirects.select("url", "target"))
     target = let(resolve_url(F.col("url"), F.col("target")), address)

@@ -107,3 +107,28 @@ def test_repeats_of_one_row_are_cut_before_the_exchange(spark):
     kept = N.keep_one(docs)
     assert kept.count() == 1
     assert "Partial" in "".join(x for x in plan_of(kept).splitlines() if "WindowGroupLimit" in x)
+
+
+def test_texts_that_share_an_id_are_fetched_once(spark, monkeypatch):
+    """800 texts under one id and 2,000 repeats of one row: as many rows reach the tiles as there are distinct texts."""
+    seen = spark.sparkContext.accumulator(0)
+    compare = N._compare
+
+    def counting(similarity, n):
+        inner = compare(similarity, n)
+
+        def tile(table):
+            seen.add(table.num_rows)
+            return inner(table)
+
+        return tile
+
+    monkeypatch.setattr(N, "_compare", counting)
+    base = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, base.replace("w5 ", f"x{k} ")) for k in range(800)] + [(2, base)] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = N.near_duplicates(docs).collect()
+    assert {r["class_id"] for r in got} == {1} and len(got) == 2800
+    assert {r["n_links"] for r in got if r["doc_id"] == 2} == {2799}
+    bands, _ = N.choose_bands()
+    assert seen.value <= 801 * bands * 5  # four blocks of a bucket at most, not squared
