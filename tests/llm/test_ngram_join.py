@@ -125,7 +125,7 @@ def test_texts_that_share_an_id_are_fetched_once(spark, monkeypatch):
 
     monkeypatch.setattr(N, "_compare", counting)
     base = " ".join(f"w{k}" for k in range(40))
-    rows = [(1, base.replace("w5 ", f"x{k} ")) for k in range(800)] + [(2, base)] * 2000
+    rows = [(1, base.replace("w0 ", f"x{k} ", 1)) for k in range(800)] + [(2, base)] * 2000
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = N.near_duplicates(docs).collect()
     assert {r["class_id"] for r in got} == {1} and len(got) == 2800
