@@ -8,6 +8,7 @@ Texts are streamed through it word by word; nothing is shuffled.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Mapping
@@ -21,8 +22,11 @@ from pagemill.llm.licence_texts import SHORT, clause_texts, whole_texts
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LEAST_MATCH = 4  # words of a match that can be chained
-MOST_GAP = 12  # words of the text, and of the template, between chained matches
-COVERED = 0.5  # share of a template that a chain must cover for its label
+MOST_GAP = 12  # words of the text, and of the template, between chained matches of a notice or clause
+REMARK = 40  # words of the text between chained matches of a whole licence; of the licence any number may be missing
+SHORT_NOTICE = 12  # words; a notice up to here says little more than the name, so all of it must stand there
+COVERED = 0.75  # share of a longer notice or clause that a chain must cover for its label
+COVERED_WHOLE = 0.5  # the same for a whole licence
 
 # Phrases whose places are counted, and their labels.
 PHRASES = {
@@ -54,7 +58,11 @@ TEMPLATES = {
         "Public License as published by the Free Software Foundation, either version 3 of the License",
         "licensed under the GNU General Public License, version 3",
     ),
-    "gpl-2": ("licensed under the GNU General Public License, version 2",),
+    "gpl-2": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License",
+        "licensed under the GNU General Public License, version 2",
+    ),
     "mpl-2": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
@@ -73,7 +81,11 @@ TEMPLATES = {
         "licensed under CC BY 4.0",
     ),
     "lgpl-3": ("licensed under the GNU Lesser General Public License, version 3",),
-    "lgpl-2.1": ("licensed under the GNU Lesser General Public License, version 2.1",),
+    "lgpl-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+        "licensed under the GNU Lesser General Public License, version 2.1",
+    ),
     "agpl-3": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
         "General Public License as published by the Free Software Foundation, either version 3 of the License",
@@ -91,6 +103,14 @@ TEMPLATES = {
 CLAUSES, WHOLE = clause_texts(), whole_texts()
 
 
+def worded(notice: str) -> list[str]:
+    """A notice and, where it is short and says ``under``, the same behind any verb and with ``the terms of``."""
+    head, under, name = notice.partition("under ")
+    if not under or len(words(notice)) > SHORT_NOTICE:
+        return [notice]
+    return [notice, f"under {name}", f"under the terms of {name}"]
+
+
 def words(text: str) -> list[str]:
     """Words of a text with A to Z lower-cased: digits, letters and everything outside of ASCII."""
     return WORD.findall(text.translate(LOWER))
@@ -178,8 +198,17 @@ class Layer:
     """Templates that are matched together, so that a longer match hides no other template that holds the shorter one.
     Notices, clauses and whole licences are layers of their own: a clause is found inside of its licence too."""
 
-    def __init__(self, templates: Mapping[str, tuple[str, ...]], phrases: list[tuple[list[str], str]] = ()):
+    def __init__(
+        self,
+        templates: Mapping[str, tuple[str, ...]],
+        phrases: list[tuple[list[str], str]] = (),
+        gap: int = MOST_GAP,
+        missing: float = MOST_GAP,
+        covered: float = COVERED,
+    ):
         self.templates = [(words(t), label) for label, texts in templates.items() for t in texts]
+        self.gap, self.missing = gap, missing
+        self.least = [len(t) if len(t) <= SHORT_NOTICE else covered * len(t) for t, _ in self.templates]
         self.sizes = [self._whole(sequence, label) for sequence, label in self.templates]
         self.automaton = Automaton([w for w, _ in [*phrases, *self.templates]])
         self.where = self._occurrences()
@@ -220,32 +249,44 @@ class Layer:
         return ends
 
     def chains(self, ends: list[tuple[int, int, int]]) -> list[tuple[int, float, str, int, int]]:
-        """Chains of matches that go forward in text and template with small gaps, for templates covered enough:
-        minus words covered, minus share, label, first word, end word."""
-        open_: dict[int, list[int]] = {}  # template: first word, end word, next place in the template, words covered
+        """Heaviest chains of matches that go forward in text and template, for templates covered enough: minus words
+        covered, minus share, label, first word, end word.
+
+        Dynamic programming over the matches of a template: a match follows the heaviest chain that ends at most ``gap``
+        words before it, and ``missing`` words of the template before it, or starts one. Where no chain can be followed
+        any more the heaviest so far is closed, so only the chains of the last ``gap`` words are held.
+        """
+        open_: dict[int, list[tuple[int, int, int, int]]] = {}  # template: end word, next place, words covered, first word
+        heaviest: dict[int, tuple[int, int, int, int]] = {}
         closed: list[tuple[int, float, str, int, int]] = []
 
         def close(number: int) -> None:
-            start, stop, _, covered = open_.pop(number)
-            sequence, label = self.templates[number]
-            if covered >= COVERED * len(sequence):
-                closed.append((-covered, -covered / self.sizes[number], label, start, stop))
+            stop, _, covered, start = heaviest.pop(number)
+            if covered >= self.least[number]:
+                closed.append((-covered, -covered / self.sizes[number], self.templates[number][1], start, stop))
 
         for at, state, matched in ends:
             start = at - matched + 1
-            places: dict[int, list[int]] = {}
+            added: dict[int, dict[int, tuple[int, int, int, int]]] = {}
             for number, end in self.where[state]:
-                places.setdefault(number, []).append(end - matched + 1)
-            for number, found in places.items():
-                chain = open_.get(number)
-                if chain:
-                    ahead = [p for p in found if chain[2] <= p <= chain[2] + MOST_GAP]
-                    if ahead and chain[1] <= start <= chain[1] + MOST_GAP:
-                        chain[1:] = at + 1, min(ahead) + matched, chain[3] + matched
-                        continue
-                    close(number)
-                open_[number] = [start, at + 1, min(found) + matched, matched]
-        for number in list(open_):
+                if number not in added:
+                    added[number] = {}
+                    if number in open_:
+                        open_[number] = [c for c in open_[number] if c[0] + self.gap >= start]
+                        if not open_[number] and heaviest[number][0] <= start:
+                            close(number)
+                place = end - matched + 1
+                before = [
+                    c for c in open_.get(number, ()) if c[0] <= start and c[1] <= place and place - c[1] <= self.missing
+                ]
+                covered, first = max(((c[2], -c[3]) for c in before), default=(0, -start))
+                added[number][end] = (at + 1, end + 1, covered + matched, -first)
+            for number, new in added.items():
+                open_.setdefault(number, []).extend(new.values())
+                best = max(new.values(), key=lambda c: (c[2], -c[3]))
+                if number not in heaviest or best[2] > heaviest[number][2]:
+                    heaviest[number] = best
+        for number in list(heaviest):
             close(number)
         return closed
 
@@ -260,7 +301,10 @@ class Scanner:
         licences: tuple[Mapping[str, tuple[str, ...]], ...] = (CLAUSES, WHOLE),
     ):
         self.phrases = [(words(p), label) for p, label in phrases.items()]
-        self.layers = [Layer(templates, self.phrases), *map(Layer, licences)]
+        notices = {label: tuple(w for t in texts for w in worded(t)) for label, texts in templates.items()}
+        clauses, whole = licences
+        whole = Layer(whole, gap=REMARK, missing=math.inf, covered=COVERED_WHOLE)
+        self.layers = [Layer(notices, self.phrases), Layer(clauses), whole]
         n = len(self.phrases)
         self.base = [[(k, size) for k, size in whole if k < n] for whole in self.layers[0].automaton.whole]
 

@@ -87,3 +87,86 @@ def test_whole_licences_and_later_parts():
         assert [s[0] for s in scanner.scan("x " + L.TEMPLATES[label][0])["spans"]] == [label]
     notice = L.TEMPLATES["gpl-3"][0] + ", or (at your option) any later version."
     assert [(s[0], s[3]) for s in scanner.scan("x " + notice)["spans"]] == [("gpl-3", 1.0)]
+
+
+def test_mere_mentions_give_no_label():
+    scanner = L.Scanner()
+    for text in (
+        "for details see the GNU General Public License",
+        "licensed under the apache license",
+        "we read the Eclipse Public License version carefully",
+        "all rights reserved no part of it",
+        "a comparison of the Mozilla Public License and the BSD license with the MIT license",
+        "the GNU Lesser General Public License is older than the GNU Affero General Public License",
+        "the Creative Commons Attribution International License in its many versions",
+        "the public domain and CC0 and the Unlicense",
+        "software foundation, redistribution and use of the apache license, version 1.1",
+    ):
+        assert scanner.scan(text)["spans"] == [], text
+    for text, label in (
+        ("released under the terms of the MIT license", "mit"),
+        ("distributed under the BSD license.", "bsd"),
+        ("available under the terms of the Apache License, Version 2.0", "apache-2"),
+        ("published under CC BY-SA 4.0", "cc-by-sa"),
+        (L.TEMPLATES["gpl-2"][0], "gpl-2"),
+        (L.TEMPLATES["gpl-3"][0], "gpl-3"),
+    ):
+        assert [s[0] for s in scanner.scan("x y " + text)["spans"]] == [label], text
+
+
+def test_edited_whole_licences_keep_their_label():
+    draw = random.Random(6)
+    scanner = L.Scanner()
+    for label, texts in L.WHOLE.items():
+        found = L.words(texts[0])
+        remark = [f"note{k}" for k in range(15)]
+        third, half = len(found) // 3, len(found) // 2
+        at = draw.randrange(third, half)
+        repeats = found[:third] + found[third - 6 : third] + found[third:half] + found[half - 6 : half] + found[half:]
+        for edited in (
+            found[:third] + remark + found[third : 2 * third] + remark + found[2 * third :],
+            repeats,
+            found[:at] + found[at + len(found) // 5 :],
+        ):
+            spans = scanner.scan(" ".join(edited))["spans"]
+            assert {s[0] for s in spans} == {label}, (label, spans)
+
+
+def plain_chain(sequence, text, gap, missing, least_match):
+    """Words of the heaviest chain, over all common stretches that no longer one contains."""
+    ends = []
+    automaton = L.Automaton([sequence])
+    before = None
+    for at, _, matched in automaton.statistics(text):
+        if before and not (before[0] == at - 1 and matched == before[1] + 1) and before[1] >= least_match:
+            ends.append(before)
+        before = (at, matched)
+    if before and before[1] >= least_match:
+        ends.append(before)
+    spots = []
+    for at, m in ends:
+        words = text[at - m + 1 : at + 1]
+        spots += [(at - m + 1, p, m) for p in range(len(sequence) - m + 1) if sequence[p : p + m] == words]
+    best = {}
+    for k, (start, place, m) in enumerate(spots):
+        follows = [
+            best[j] for j, (s, p, n) in enumerate(spots[:k])
+            if s + n <= start and p + n <= place and start - s - n <= gap and place - p - n <= missing
+        ]
+        best[k] = m + max(follows, default=0)
+    return max(best.values(), default=0)
+
+
+def test_chains_equal_plain_dynamic_programming():
+    draw = random.Random(9)
+    for _ in range(300):
+        sequence = [draw.choice("abcdef") for _ in range(draw.randrange(13, 40))]
+        text = []
+        for _ in range(draw.randrange(1, 7)):
+            a = draw.randrange(len(sequence))
+            text += sequence[a : a + draw.randrange(3, 15)] + [draw.choice("abcxyz") for _ in range(draw.randrange(0, 6))]
+        layer = L.Layer({"x": (" ".join(sequence),)}, gap=5, missing=9, covered=0.0)
+        reached = []
+        closed = layer.chains(layer.matches(text, reached))
+        want = plain_chain(sequence, text, 5, 9, L.LEAST_MATCH)
+        assert max((-c[0] for c in closed), default=0) == want, (sequence, text)
