@@ -232,3 +232,14 @@ def test_pages_are_parsed_once_and_filters_reach_the_scan(spark, tmp_path):
     assert "EqualTo(status,200)" in plan
     assert "Exchange" not in plan
     assert docs.count() == 3
+
+
+def test_pages_in_pieces_give_the_same():
+    import pyarrow as pa
+
+    from pagemill.functions import nodes as N
+
+    pages = pa.array([f"<p id=x{k}>text <b>{k}</b>" * (k % 4) if k % 5 else None for k in range(40)])
+    parts = N._parts(pages, 50)
+    assert len(parts) > 5 and sum(map(len, parts)) == 40
+    assert pa.concat_arrays([N._dom_batch(p) for p in parts]).to_pylist() == N._dom_batch(pages).to_pylist()
