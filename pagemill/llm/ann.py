@@ -7,10 +7,14 @@ inner product.
 
 The largest inner product becomes the smallest distance by one more component that brings every vector to the largest
 norm; queries get 0 there and are scaled to that norm.
+
+Cell width and number of buckets visited are measured on a bounded sample: of the settings that would find enough of
+the sample's nearest pairs, the one that visits the fewest rows is taken. Every row is hashed with it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import product
 
@@ -22,8 +26,11 @@ from pagemill.llm.topk import best_of_row, best_rows, matrix
 
 TABLES = 4
 FUNCTIONS = 6
-WIDTH = 2.0  # of a cell, in units of the largest norm
-PROBES = 80  # buckets visited per table
+WIDTHS = (0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8)  # of a cell, in units of the largest norm; wider ones where none of them serves
+TARGET = 0.94  # share of the nearest pairs that the settings must find, beside two standard errors of the sample
+SAMPLE_ROWS = 4_000  # rows the settings are measured on
+SAMPLE_QUERIES = 400
+SAMPLE_BYTES = 32 << 20  # of their components in double precision; fewer rows where vectors are long
 GROUP_ROWS = 16_384  # hashed rows that share a task; larger buckets are cut
 GROUP_QUERIES = 8_192  # queries of a task
 SEED = 20_240_601
@@ -66,6 +73,112 @@ def _hash(cells, table: int, dimension: int):
     return (mixed ^ (mixed >> np.uint64(27))).view(np.int64)
 
 
+def _spread(vectors, asks: bool, axes):
+    """Projections of rows, or of queries, whose vectors are in units of the largest norm."""
+    import numpy as np
+
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    if asks:
+        last, vectors = np.zeros_like(size), vectors / size
+    else:
+        last = np.sqrt(np.maximum(0, 1 - size**2))
+    return np.hstack([vectors, last]) @ axes
+
+
+def depths(row_at, query_at, tables: int, functions: int):
+    """For each query and row the number of buckets that the query must visit per table until it meets the row in one;
+    3 ** functions + 1 where no perturbed bucket holds it. ``_at`` are projections in units of the width."""
+    import numpy as np
+
+    never = 3**functions + 1
+    weights = 3 ** np.arange(functions - 1, -1, -1)
+    cells, found = np.floor(row_at).astype(np.int64), np.full((len(query_at), len(row_at)), never, np.int32)
+    own = np.floor(query_at).astype(np.int64)
+    moves = perturbations(functions)
+    for table in range(tables):
+        these = slice(table * functions, (table + 1) * functions)
+        visited = probes(own[:, these], (query_at - own)[:, these], functions, never)
+        moved = visited - own[:, None, these]
+        place = np.empty(moved.shape[:2], np.int32)
+        np.put_along_axis(place, (moved + 1) @ weights, np.arange(1, len(moves) + 1, dtype=np.int32)[None, :], axis=1)
+        for q in range(len(own)):
+            away = cells[:, these] - own[q, these]
+            near = np.flatnonzero((np.abs(away) <= 1).all(axis=1))
+            found[q, near] = np.minimum(found[q, near], place[q, (away[near] + 1) @ weights])
+    return found
+
+
+def _nearest_pairs(rows, row_ids, queries, query_ids, k: int):
+    """Whether a row is among the ``k`` largest inner products of a query, its own row left out."""
+    import numpy as np
+
+    scores = np.where(query_ids[:, None] == row_ids, -np.inf, queries @ rows.T)
+    k = min(k, len(row_ids))
+    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    wanted = np.zeros(scores.shape, bool)
+    np.put_along_axis(wanted, best, True, axis=1)
+    return wanted & np.isfinite(scores)
+
+
+def fit(sample, norm: float, share: float, k: int, widths: Iterable[float], tables: int, functions: int, seed: int):
+    """``(width, count, visited)``: cell width, buckets per table, and the share of rows these visit on the sample.
+
+    ``sample`` holds ``(rows, row ids, queries, query ids)`` per vector length. It is the ``share`` of all rows, so the
+    ``k`` nearest of all are at least as near as the ``k * share`` nearest of the sample: the settings find the former
+    at least as well. Of the settings that find ``TARGET`` and two standard errors of those, all where the queries are
+    few, the one that visits the fewest rows is taken, fewer buckets first among those within a tenth of it.
+    """
+    import numpy as np
+
+    near = max(1, math.ceil(k * share))
+    asked = max(1, sum(len(ids) for *_, ids in sample))
+    target = min(1.0, TARGET + 2 * math.sqrt(TARGET * (1 - TARGET) / asked))
+    parts = []
+    for rows, row_ids, queries, query_ids in sample:
+        axes, shift = _projections(tables, functions, rows.shape[1], seed)
+        wanted = _nearest_pairs(rows, row_ids, queries, query_ids, near)
+        parts.append((_spread(rows / norm, False, axes), _spread(queries / norm, True, axes), shift, wanted))
+    most = 3**functions
+    found: list[tuple[float, int, float]] = []
+    if not any(wanted.any() for *_, wanted in parts):
+        return max(widths), most, 1.0  # no query has a candidate in the sample
+    for width in [*widths, *(max(widths) * 1.4**n for n in range(1, 65))]:
+        if found and width > max(widths):
+            break
+        deep = [depths(r / width + shift, q / width + shift, tables, functions) for r, q, shift, _ in parts]
+        hits = np.sort(np.concatenate([d[w] for d, (*_, w) in zip(deep, parts, strict=True)]))
+        count = int(hits[math.ceil(target * len(hits)) - 1])
+        if count <= most:
+            every = np.concatenate([d.reshape(-1) for d in deep])
+            found.append((width, count, float((every <= count).mean())))
+    if not found:
+        return max(widths), most, 1.0
+    least = min(v for _, _, v in found)
+    return min((f for f in found if f[2] <= 1.1 * least), key=lambda f: (f[1], f[2]))
+
+
+def settings(
+    rows: DataFrame, queries: DataFrame, k: int, norm: float, widths: Iterable[float] = WIDTHS,
+    tables: int = TABLES, functions: int = FUNCTIONS, seed: int = SEED,
+) -> tuple[float, int, float]:
+    """`fit` on at most ``SAMPLE_ROWS`` rows and ``SAMPLE_QUERIES`` queries, drawn by a hash of their id."""
+    import numpy as np
+    import pyarrow as pa
+
+    total, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    most = max(k + 1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * (longest or 1))))
+    drawn = lambda side, n: side.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(n).toArrow()
+    by_length: dict[int, list] = {}
+    for place, side in enumerate((drawn(rows, most), drawn(queries, min(SAMPLE_QUERIES, most)))):
+        lengths = np.array([len(v) for v in side.column("vector")], np.int64)
+        for length in np.unique(lengths):
+            part = side.take(pa.array(np.flatnonzero(lengths == length)))
+            pair = [matrix(part.column("vector")).astype(np.float64), part.column("vec_id").to_numpy()]
+            by_length.setdefault(int(length), [None, None])[place] = pair
+    sample = [(*r, *q) for r, q in by_length.values() if r and q]
+    return fit(sample, norm, min(1.0, most / max(1, total)), k, tuple(widths), tables, functions, seed)
+
+
 def _buckets(norm: float, asks: bool, tables: int, functions: int, width: float, count: int, seed: int):
     """Arrow function: the buckets of rows, or those that queries visit."""
 
@@ -82,12 +195,7 @@ def _buckets(norm: float, asks: bool, tables: int, functions: int, width: float,
                 if dimension not in ready:
                     ready[dimension] = _projections(tables, functions, int(dimension), seed)
                 axes, shift = ready[dimension]
-                size = np.linalg.norm(vectors, axis=1, keepdims=True)
-                if asks:
-                    last, vectors = np.zeros_like(size), vectors / size
-                else:
-                    last = np.sqrt(np.maximum(0, 1 - size**2))
-                at = np.hstack([vectors, last]) @ axes / width + shift
+                at = _spread(vectors, asks, axes) / width + shift
                 cell = np.floor(at)
                 inside = at - cell
                 found = []
@@ -195,8 +303,8 @@ def nearest(
     k: int,
     tables: int = TABLES,
     functions: int = FUNCTIONS,
-    width: float = WIDTH,
-    count: int = PROBES,
+    width: float | None = None,
+    count: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """The ``k`` rows found with the largest inner product for each query: ``query_id, rank, vec_id, score``.
@@ -204,7 +312,10 @@ def nearest(
     Both sides have ``vec_id`` (unique) and ``vector`` (not null, finite; vectors of zeros are left out). A query is
     never its own result; ties go to the smaller id. Vectors of another length than the query's are no candidates. Of
     rows with one and the same vector only the k + 1 smallest ids are hashed: no other can be among the k nearest.
-    A query that finds fewer than k is searched again against all rows, in blocks, so it gets k or all there are.
+    A query that finds fewer than k is searched again against all rows, in blocks, so it gets k or all there are: for
+    such a query that is exact search.
+
+    ``width`` of a cell and ``count`` of buckets visited per table are measured by `settings` unless both are given.
     """
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     rows, queries = rows.filter(norm > 0), queries.filter(norm > 0)
@@ -212,6 +323,9 @@ def nearest(
     rows = rows.withColumn("_n", F.row_number().over(copies)).filter(F.col("_n") <= k + 1).drop("_n")
     rows, queries = saved(rows.select("vec_id", "vector")), saved(queries.select("vec_id", "vector"))
     largest = rows.agg(F.max(norm)).first()[0] or 1.0
+    if width is None or count is None:
+        widths = WIDTHS if width is None else (width,)
+        width, count, _ = settings(rows, queries, k, largest, widths, tables, functions, seed)
 
     def hashed(side: DataFrame, asks: bool) -> DataFrame:
         placed = side.mapInArrow(

@@ -141,3 +141,61 @@ def test_scores_beyond_a_long_are_left_out(spark, tmp_path):
     huge = [(7, [1e30, 1.0, 1.0]), (8, [-1e17, 1.0, 1.0]), (50, [4e16, 1.0, 1.0])]
     got = query(spark, tmp_path, "op5_exact_top_k", rows + huge)
     assert got == expected(rows, 50, 5, lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b), strict=True)))
+
+
+def sphere(draw, n, d):
+    x = draw.standard_normal((n, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def shapes(draw):
+    centres = draw.standard_normal((200, 48))
+    return {
+        "sphere": sphere(draw, 6000, 384),
+        "norms": sphere(draw, 6000, 16) * draw.lognormal(0, 1, (6000, 1)),
+        "clusters": centres[draw.integers(0, 200, 6000)] + 0.05 * draw.standard_normal((6000, 48)),
+    }
+
+
+@pytest.mark.parametrize("name", ["sphere", "norms", "clusters"])
+def test_settings_of_a_sample_find_the_nearest_of_all(name):
+    """Settings fitted on a third of the rows reach the recall on all; of clustered rows under a third is visited."""
+    draw = np.random.default_rng(4)
+    x, k = shapes(draw)[name], 20
+    ids, norm = np.arange(len(x)), np.linalg.norm(x, axis=1).max()
+    some, asks = draw.permutation(len(x))[:2000], draw.permutation(len(x))[:200]
+    width, count, visited = ann.fit([(x[some], ids[some], x[asks], ids[asks])], norm, 1 / 3, k, ann.WIDTHS, 4, 6, ann.SEED)
+    others = draw.permutation(len(x))[:100]
+    axes, shift = ann._projections(4, 6, x.shape[1], ann.SEED)
+    deep = ann.depths(ann._spread(x / norm, False, axes) / width + shift, ann._spread(x[others] / norm, True, axes) / width + shift, 4, 6)
+    wanted = ann._nearest_pairs(x, ids, x[others], ids[others], k)
+    assert (deep[wanted] <= count).mean() >= 0.9
+    assert abs((deep <= count).mean() - visited) < 0.05
+    assert name != "clusters" or visited < 0.3
+
+
+def test_depths_equal_the_order_of_probes():
+    draw = np.random.default_rng(6)
+    rows, asks = draw.normal(0, 1.2, (80, 6)), draw.normal(0, 1.2, (15, 6))
+    deep = ann.depths(rows, asks, 2, 3)
+    for q, at in enumerate(asks):
+        for r, row in enumerate(np.floor(rows).astype(int)):
+            met = [28]
+            for t in (slice(0, 3), slice(3, 6)):
+                cell = np.floor(at[None, t]).astype(np.int64)
+                order = ann.probes(cell, at[None, t] - cell, 3, 27)[0].tolist()
+                met += [order.index(row[t].tolist()) + 1] if row[t].tolist() in order else []
+            assert deep[q, r] == min(met)
+
+
+def test_measured_settings_of_a_table(spark, monkeypatch):
+    """Recall over a table with vectors of two lengths, fitted on a few of its rows."""
+    draw = np.random.default_rng(7)
+    x = sphere(draw, 1500, 96)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, v.tolist()) for i, v in enumerate(sphere(draw, 200, 5))]
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 500)
+    used = topk.usable(frame(spark, rows))
+    got = lists(ann.nearest(used, used.filter("vec_id % 20 = 0"), 20))
+    want = brute([(i, np.float32(v).astype(float)) for i, v in rows], 20, 20, lambda a, b: float(np.dot(a, b)) if len(a) == len(b) else -9.0)
+    met = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert all(len(got[q]) == 20 for q in want) and met >= 0.9 * 20 * len(want)
