@@ -11,29 +11,22 @@ from pyspark.sql import types as T
 from pagemill.operators.joins import reliable_checkpoint, salt_big, salt_small
 
 SLICE_ROWS = 256
+SLICE_BYTES = 8 << 20
 
 
-def slices(batches: Iterable, rows: int = SLICE_ROWS) -> Iterator:
-    """Arrow batches in pieces of at most ``rows`` rows, so that few texts are Python objects at once."""
+def slices(batches: Iterable, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator:
+    """Arrow batches in pieces of at most ``rows`` rows and about ``size`` bytes, so that few texts are Python objects at
+    once; a longer row is a piece by itself."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
-SLICE_BYTES = 8 << 20
-
-
-def sized_slices(batches: Iterable, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator:
-    """Pieces of at most ``rows`` rows and about ``size`` bytes; a longer row is a piece by itself."""
-    for part in slices(batches, rows):
-        todo = [part]
-        while todo:
-            piece = todo.pop()
-            if piece.num_rows > 1 and piece.nbytes > size:
-                half = piece.num_rows // 2
-                todo += [piece.slice(half), piece.slice(0, half)]
-            else:
-                yield piece
+            todo = [batch.slice(start, rows)]
+            while todo:
+                piece = todo.pop()
+                if piece.num_rows > 1 and piece.nbytes > size:
+                    half = piece.num_rows // 2
+                    todo += [piece.slice(half), piece.slice(0, half)]
+                else:
+                    yield piece
 
 
 def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import sized_slices
+from pagemill.llm.common import slices
 from pagemill.operators.joins import shared_folder
 
 BITS = 31
@@ -211,7 +211,7 @@ def _walk(names: list[str]):
 
     def walk(batches: Iterable) -> Iterator:
         before = part = None
-        for piece in sized_slices(batches):
+        for piece in slices(batches):
             rows = []
             for key, text, at in zip(piece.column(0).to_pylist(), piece.column(1), piece.column(2).to_pylist(), strict=True):
                 now = _Document(key, text.as_py())
@@ -234,7 +234,7 @@ def _pairs(names: list[str]):
     """Arrow function over rows ``(id, text, next text)``."""
 
     def compare(batches: Iterable) -> Iterator:
-        for piece in sized_slices(batches, 1):
+        for piece in slices(batches, 1):
             row = [piece.column(k)[0].as_py() for k in range(3)]
             yield _record([_Document(row[0], row[1]).against(_Document(None, row[2]))], piece.schema.field(0).type, names)
 
@@ -304,7 +304,7 @@ def compare_spans(pairs: DataFrame) -> DataFrame:
     def add(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        for piece in sized_slices(batches):
+        for piece in slices(batches):
             found = [judge(*[piece.column(k)[r].as_py() for k in asked]) for r in range(piece.num_rows)]
             columns = [pa.array([f[k] for f in found], (pa.bool_(), pa.int64())[k]) for k in range(2)]
             yield pa.RecordBatch.from_arrays([*piece.columns, *columns], names=[*kept, "equal", "common"])

@@ -96,14 +96,15 @@ def mix(
     )
 
 
-def mix_documents(docs: DataFrame, **settings) -> DataFrame:
+def mix_documents(docs: DataFrame, folder: str | None = None, **settings) -> DataFrame:
     """The mixture of whole documents: every row of ``docs`` as often as it is taken, with the columns of ``docs``.
 
-    Documents are written once into the shared folder with a number for every row. Only numbers, sources and sizes are
+    Documents are written once into ``folder``, a new one in the shared folder if none is given, with a number for every
+    row; the result reads it, so it can be removed when the result is written. Only numbers, sources and sizes are
     ranked; the texts then meet their copies by row number, which spreads long documents evenly.
     """
     spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/mixed-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/mixed-{uuid.uuid4().hex}"
     whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc")
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), word_count(F.col("text")).alias("size"), whole)
     numbered.write.parquet(folder)
