@@ -57,10 +57,14 @@ STAGES = [
 ORACLE_SQL = None  # tokenizing, hashing into bands and learned patterns have no SQL form; tests/llm has brute force
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each but the last is written as Parquet in the shared folder and read again."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages in order; each but the last is written as Parquet and read again.
+
+    They are written into ``folder``, a new one in the shared folder if none is given. The result reads the last of
+    them: the folder can be removed when the result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
