@@ -6,7 +6,9 @@ every list it probes.
 
 * Queries that measure small are broadcast: each task streams its vectors once and keeps the best ``k`` per query,
   so vectors are never shuffled and a full list costs no more than any other.
-* Otherwise each cell is cut into blocks of bounded size on both sides, and each pair of blocks is one group.
+* Otherwise each cell is cut into strips of blocks on both sides, and each pair of strips is one group, compared block
+  by block. The number of strips follows the cores and the memory of a task, not the blocks, so rows are repeated for
+  as many groups when there are more of them, until a strip would not fit its bytes.
 
 Either way a task emits at most ``k`` rows per query it saw, never a pair list.
 """
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -29,8 +32,9 @@ from pagemill.operators.joins import broadcast_checked, measured_bytes, reliable
 # Queries to broadcast. Every task answers all of them with up to k rows each, so this also bounds what is
 # shuffled after the scan; it is far below what an executor could hold.
 QUERY_BYTES = 8 << 20
-BLOCK_BYTES = 64 << 20  # vectors of one block, in double precision
-QUERY_BYTES_OF_BLOCK = 16 << 20  # queries of one block, in double precision
+STRIP_BYTES = 64 << 20  # of one side of a task, in double precision; one block at least
+TILES_PER_CORE = 4  # tasks that block pairs are gathered in
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 256  # rows compared at once, unless the caller says
 SLACK = 1e-9  # of bounds in double precision
 SCORE_CELLS = 4_000_000  # entries of one score matrix inside a task
 
@@ -149,41 +153,124 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def _grid(vectors: DataFrame, queries: DataFrame, dim: int, vector_block: int, query_block: int) -> DataFrame:
+    """``cell, v_strips, q_strips``, one row per cell that has both sides: a strip is some blocks that share a task.
+
+    A row is repeated once per strip of the other side. All cells together are cut into about ``TILES_PER_CORE`` tiles
+    a core, by their shares of the scores, however many rows there are; only strips over ``STRIP_BYTES`` are cut further.
+    """
+    tiles = TILES_PER_CORE * max(1, vectors.sparkSession.sparkContext.defaultParallelism)
+    most = max(1, STRIP_BYTES // (8 * dim))  # rows of a strip, unless one block has more
+
+    def counted(df: DataFrame, side: str, block: int) -> DataFrame:
+        counts = df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        blocks, least = F.ceil(F.col("n") / block), F.ceil(F.col("n") / max(most, block))
+        return counts.select("cell", F.col("n").alias(side), blocks.alias(f"{side}_blocks"), least.alias(f"{side}_least"))
+
+    both = counted(vectors, "v", vector_block).join(counted(queries, "q", query_block), "cell")
+    both = reliable_checkpoint(both)  # one row per cell
+    scores = both.agg(F.sum(F.col("v").cast("double") * F.col("q"))).first()[0] or 1.0
+    share = F.ceil(F.lit(float(tiles)) * F.col("v") * F.col("q") / scores)
+    queried = F.least("q_blocks", F.ceil(F.sqrt(share)))
+    v_strips = F.greatest("v_least", F.least("v_blocks", F.ceil(share / queried)))
+    q_strips = F.greatest("q_least", F.least("q_blocks", F.ceil(share / v_strips)))
+    return both.select("cell", v_strips.cast("int").alias("v_strips"), q_strips.cast("int").alias("q_strips"))
+
+
+def _ranks(ids: pa.Array) -> np.ndarray:
+    """Place of every id in their order, equal for equal ids; null is last."""
+    order = pc.sort_indices(ids, null_placement="at_end").to_numpy()
+    follows = np.zeros(len(ids), np.int64)
+    if len(ids) > 1:
+        there = ids.take(pa.array(order))
+        follows[1:] = pc.fill_null(pc.not_equal(there[1:], there[:-1]), True).to_numpy(zero_copy_only=False)
+    ranks = np.empty(len(ids), np.int64)
+    ranks[order] = np.cumsum(follows)
+    return ranks
+
+
+def _best_of_strip(
+    ranks: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int, metric: str, step: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) of the best k of a strip for each query, -1 where there are fewer; ``step`` vectors at a time.
+    A matrix product finds the vectors that may be better than the k-th so far; these are scored exactly."""
+    places, scores = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), np.inf)
+    with np.errstate(all="ignore"):  # components that are no numbers, or too large
+        vv, qq = (vectors * vectors).sum(axis=1), (queries * queries).sum(axis=1)
+        slack = 1e-9 * (1 + qq + max(vv[np.isfinite(vv)], default=0.0))
+        offset = qq if metric == "L2" else np.zeros(len(queries))
+        turned = queries * (-2.0 if metric == "L2" else -1.0)
+        for start in range(0, len(vectors), step):
+            part = vectors[start : start + step]
+            rough = turned @ part.T
+            if metric == "L2":
+                rough += vv[start : start + step]
+            worst = np.where(places[:, -1] >= 0, scores[:, -1], np.inf) - offset
+            few = np.flatnonzero(places[:, -1] < 0)
+            if len(few) and len(part) > k:
+                worst[few] = np.partition(rough[few], k - 1, axis=1)[:, k - 1]
+            # negated, so that a score that is no number is looked at
+            query, vector = np.nonzero(~(rough > (worst + slack)[:, None]))
+            if not len(query):
+                continue
+            vector += start
+            exact, at_once = np.empty(len(query)), max(1, SCORE_CELLS // vectors.shape[1])
+            for first in range(0, len(query), at_once):
+                these = slice(first, first + at_once)
+                diff = vectors[vector[these]] - queries[query[these]] if metric == "L2" else None
+                exact[these] = (
+                    (diff * diff).sum(axis=1) if metric == "L2" else -(vectors[vector[these]] * queries[query[these]]).sum(axis=1)
+                )
+            asked = np.unique(query)
+            query = np.concatenate([np.repeat(asked, k), query])
+            vector = np.concatenate([places[asked].reshape(-1), vector])
+            exact = np.concatenate([scores[asked].reshape(-1), exact])
+            order = np.lexsort((ranks[vector], exact, vector < 0, query))
+            query, vector, exact = query[order], vector[order], exact[order]
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            kept = place < k
+            places[query[kept], place[kept]], scores[query[kept], place[kept]] = vector[kept], exact[kept]
+    return places, scores
+
+
 def _search_blocks(
     vectors: DataFrame, queries: DataFrame, k: int, metric: str, dim: int, schema, vector_block: int, query_block: int
 ) -> DataFrame:
-    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-
-    # one row per cell, so at most as many rows as there are lists
-    grid = F.broadcast(blocks(vectors, vector_block, "v_blocks").join(blocks(queries, query_block, "q_blocks"), "cell"))
+    grid = F.broadcast(_grid(vectors, queries, dim, vector_block, query_block))
     v = (
         vectors.join(grid, "cell")
-        .withColumn("v_block", F.pmod(F.xxhash64("id"), F.col("v_blocks")).cast("int"))
-        .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-        .select("cell", "v_block", "q_block", "id", "vector")
+        .withColumn("v_strip", F.pmod(F.xxhash64("id"), F.col("v_strips")).cast("int"))
+        .withColumn("q_strip", F.explode(F.sequence(F.lit(0), F.col("q_strips") - 1)))
+        .select("cell", "v_strip", "q_strip", "id", "vector")
     )
     q = (
         queries.join(grid, "cell")
-        .withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int"))
-        .withColumn("v_block", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)))
-        .select("cell", "v_block", "q_block", "query_id", "query_vector")
+        .withColumn("q_strip", F.pmod(F.xxhash64("query_id"), F.col("q_strips")).cast("int"))
+        .withColumn("v_strip", F.explode(F.sequence(F.lit(0), F.col("v_strips") - 1)))
+        .select("cell", "v_strip", "q_strip", "query_id", "query_vector")
     )
-    names = [f.name for f in schema]
-
-    def block_pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        top = _TopK(k)
-        if len(left) and len(right):
-            matrix, ids = _matrix(left["vector"], dim), left["id"].to_numpy()
-            q_ids, q_matrix = right["query_id"].to_numpy(), _matrix(right["query_vector"], dim)
-            for start in range(0, len(ids), 8192):
-                part = slice(start, start + 8192)
-                for j, best, score in _best(ids[part], matrix[part], q_matrix, k, metric):
-                    top.add(q_ids[j], best, score)
-        return top.frame(names)
-
-    keys = ["cell", "v_block", "q_block"]
-    return v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(block_pair, schema)
+    result = _arrow(schema)
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, found, scored = [], [], []
+        if left.num_rows and right.num_rows:
+            matrix, ranks = _matrix(left["vector"].combine_chunks(), dim), _ranks(left["id"].combine_chunks())
+            asking = right["query_vector"].combine_chunks()
+            step = min(vector_block, len(matrix))
+            at_once = max(1, min(query_block, SCORE_CELLS // step))
+            for start in range(0, right.num_rows, at_once):
+                block = _matrix(asking[start : start + at_once], dim)
+                places, scores = _best_of_strip(ranks, matrix, block, k, metric, step)
+                there = places >= 0
+                asked.append(start + np.nonzero(there)[0])
+                found.append(places[there])
+                scored.append(scores[there])
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        ids = [right["query_id"].take(pa.array(join(asked, np.int64))), left["id"].take(pa.array(join(found, np.int64)))]
+        return pa.table([*ids, pa.array(join(scored, np.float64))], names=result.names).cast(result)
+
+    keys = ["cell", "v_strip", "q_strip"]
+    return v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(tile, schema)
 
 
 def _search(
@@ -208,8 +295,8 @@ def _search(
         ]
     )
     wrong = F.raise_error(F.concat(F.lit(f"vector size is not {dim}: "), F.size("vector").cast("string")))
-    fits = F.lit(sizes[0] is None) | (F.size("vector") == dim)  # without queries nothing is compared
-    vectors = vectors.withColumn("vector", F.when(fits, F.col("vector")).otherwise(wrong))
+    same = F.lit(sizes[0] is None) | (F.size("vector") == dim)  # without queries nothing is compared
+    vectors = vectors.withColumn("vector", F.when(same, F.col("vector")).otherwise(wrong))
     size = measured_bytes(queries) + (measured_bytes(probes) if probes is not None else 0)
     if size <= max_bytes:
         partial = _search_broadcast(vectors, queries, probes, k, metric, dim, schema)
@@ -218,8 +305,8 @@ def _search(
             asking = queries.select(F.lit(0).alias("cell"), "query_id", "query_vector")
         else:
             asking = queries.join(probes, "query_id").select("cell", "query_id", "query_vector")
-        block = vector_block or max(1, BLOCK_BYTES // (8 * max(dim, 1)))
-        asked = query_block or max(1, QUERY_BYTES_OF_BLOCK // (8 * max(dim, 1)))
+        fits = max(1, STRIP_BYTES // (8 * dim))
+        block, asked = vector_block or min(VECTOR_BLOCK, fits), query_block or min(QUERY_BLOCK, fits)
         partial = _search_blocks(vectors, asking, k, metric, dim, schema, block, asked)
     w = Window.partitionBy("query_id").orderBy("score", "id")
     ranked = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

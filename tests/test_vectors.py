@@ -143,3 +143,52 @@ def test_given_centroids(spark):
     assert got == {1: 0, 2: None, 3: None, 4: 2}  # a tie goes to the first
     with pytest.raises(Exception, match="vector size is not 3"):
         V.ivf_assign(df, [[0.0] * 3]).collect()
+
+
+def exploded_rows(df) -> int:
+    """Rows that the explodes of the executed plan of ``df`` gave."""
+    df._jdf.collectToPython()
+
+    def walk(node) -> int:
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        own = node.metrics().apply("numOutputRows").value() if name == "Generate" else 0
+        children = node.children()
+        return own + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_rows_are_not_repeated_for_every_block(spark):
+    """Six times the vectors and queries: about six times the rows that reach the block pairs, not 36 times."""
+    rows = []
+    for n in (2_000, 12_000):
+        df = spark.range(n).select("id", F.array(F.rand(1), F.rand(2)).alias("vector"))
+        rows.append(exploded_rows(V.knn_l2(df, df, 3, max_bytes=0, vector_block=20, query_block=10)))
+    assert rows[0] >= 4_000 and rows[1] <= 7 * rows[0]
+
+
+def test_strips_are_bounded_and_shared_out(spark, monkeypatch):
+    side = lambda sizes, name: spark.createDataFrame([(c,) for c, n in sizes for _ in range(n)], "cell int").withColumn(name, F.lit(0))
+    v, q = side([(0, 400), (1, 40), (2, 5)], "id"), side([(0, 400), (1, 40)], "query_id")
+    strips = {r["cell"]: (r["v_strips"], r["q_strips"]) for r in V._grid(v, q, 2, 10, 10).collect()}
+    tiles = V.TILES_PER_CORE * spark.sparkContext.defaultParallelism
+    assert set(strips) == {0, 1} and strips[1] == (1, 1) and strips[0][0] * strips[0][1] <= tiles + strips[0][1]
+    monkeypatch.setattr(V, "STRIP_BYTES", 2 * 8 * 20)  # of twenty rows
+    assert {r["cell"]: (r["v_strips"], r["q_strips"]) for r in V._grid(v, q, 2, 10, 10).collect()}[0] == (20, 20)
+
+
+@pytest.mark.parametrize("metric", ["L2", "IP"])
+def test_components_that_are_no_numbers_and_repeated_ids(spark, metric):
+    """The same by blocks as by broadcast: rows without a score come last, ids may repeat on both sides."""
+    rows = [(n % 7, [float(n % 5), 1.0]) for n in range(30)] + [(90, [float("inf"), 0.0]), (91, [1e200, 1e200])]
+    df = spark.createDataFrame(rows, "id bigint, vector array<double>")
+    asking = df.filter("id < 90")
+    find = lambda **options: sorted(map(tuple, V.knn(df, asking, 9, metric, **options).collect()))
+    assert find(max_bytes=0, vector_block=4, query_block=3) == find()
+    none = df.unionByName(spark.createDataFrame([(92, [float("nan"), 0.0])], "id bigint, vector array<double>"))
+    got = V.knn(none, asking.filter("id = 1"), 200, metric, max_bytes=0, vector_block=4, query_block=3)
+    assert [r["id"] for r in got.orderBy(F.desc("rank")).limit(1).collect()] == [92]
