@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -28,7 +29,9 @@ DOM_TYPE = T.StructType(
 )
 
 
-PART_BYTES = 4 << 20  # of pages whose nodes are Python lists at once
+# Of pages whose nodes are Python lists at once, and that come out as one Arrow batch. An element may take three bytes
+# of a page and some hundred here.
+PART_BYTES = 512 << 10
 
 
 def _list_array(counts: list[int], values: pa.Array) -> pa.ListArray:
@@ -40,7 +43,7 @@ def _list_array(counts: list[int], values: pa.Array) -> pa.ListArray:
 
 
 def _dom_batch(html: pa.Array) -> pa.Array:
-    """Parse one Arrow batch of pages; every column of the result is built flat, once per batch."""
+    """Parse a few pages; every column of the result is built flat, once for all of them."""
     texts, counts = [], []
     index, last, parent, tags, start, stop = [], [], [], [], [], []
     attr_offsets, keys, values = [0], [], []
@@ -86,8 +89,11 @@ def _parts(html: pa.Array, size: int = PART_BYTES) -> list[pa.Array]:
 
 
 @F.arrow_udf(DOM_TYPE)
-def _dom_udf(html: pa.Array) -> pa.Array:
-    return pa.concat_arrays([_dom_batch(part) for part in _parts(html)])
+def _dom_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    # each part goes out when it is parsed: Spark bounds a batch by its pages, not by the elements in them
+    for html in batches:
+        for part in _parts(html):
+            yield _dom_batch(part)
 
 
 # Marked nondeterministic so that the optimizer never copies the call: each page is parsed once however many

@@ -243,3 +243,25 @@ def test_pages_in_pieces_give_the_same():
     parts = N._parts(pages, 50)
     assert len(parts) > 5 and sum(map(len, parts)) == 40
     assert pa.concat_arrays([N._dom_batch(p) for p in parts]).to_pylist() == N._dom_batch(pages).to_pylist()
+
+
+def test_parsed_pages_come_out_in_bounded_pieces(monkeypatch):
+    """One batch of pages with many elements is never one batch of the result, and the next one is not asked for early."""
+    import pyarrow as pa
+
+    from pagemill.functions import nodes as N
+
+    pages = pa.array([f"<article id=a{k}>" + "<font>" * 600 + "text" for k in range(1000)])
+    taken = []
+
+    def batches():
+        for _ in range(2):
+            taken.append(1)
+            yield pages
+
+    sizes, rows = [], 0
+    for piece in N._dom_udf.func(batches()):
+        assert len(taken) == rows // 1000 + 1
+        sizes.append(len(piece.field("nodes").flatten()))
+        rows += len(piece)
+    assert rows == 2000 and max(sizes) < 200_000 and sum(sizes) == 2000 * 604
