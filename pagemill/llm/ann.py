@@ -27,6 +27,7 @@ from pagemill.llm.topk import best_of_row, best_rows, matrix
 TABLES = 4
 FUNCTIONS = 6
 WIDTHS = (0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8)  # of a cell, in units of the largest norm; wider ones where none of them serves
+BUCKETS = 32  # of a table that a query visits at most, so that visits grow with the queries alone; wider cells where these do not serve
 TARGET = 0.94  # share of the nearest pairs that the settings must find, beside two standard errors of the sample
 SAMPLE_ROWS = 4_000  # rows the settings are measured on
 SAMPLE_QUERIES = 400
@@ -120,13 +121,18 @@ def _nearest_pairs(rows, row_ids, queries, query_ids, k: int):
     return wanted & np.isfinite(scores)
 
 
-def fit(sample, norm: float, share: float, k: int, widths: Iterable[float], tables: int, functions: int, seed: int):
+def fit(
+    sample, norm: float, share: float, k: int, widths: Iterable[float], tables: int, functions: int, seed: int,
+    buckets: int | None = None,
+):
     """``(width, count, visited)``: cell width, buckets per table, and the share of rows these visit on the sample.
 
     ``sample`` holds ``(rows, row ids, queries, query ids)`` per vector length. It is the ``share`` of all rows, so the
     ``k`` nearest of all are at least as near as the ``k * share`` nearest of the sample: the settings find the former
     at least as well. Of the settings that find ``TARGET`` and two standard errors of those, all where the queries are
-    few, the one that visits the fewest rows is taken, fewer buckets first among those within a tenth of it.
+    few, the one that visits the fewest rows is taken, fewer buckets first among those within a tenth of it. Settings of
+    more than ``buckets`` per table do not count: without that limit, samples of almost the same vectors may differ
+    twentyfold in the buckets visited, for a few rows less.
     """
     import numpy as np
 
@@ -138,7 +144,7 @@ def fit(sample, norm: float, share: float, k: int, widths: Iterable[float], tabl
         axes, shift = _projections(tables, functions, rows.shape[1], seed)
         wanted = _nearest_pairs(rows, row_ids, queries, query_ids, near)
         parts.append((_spread(rows / norm, False, axes), _spread(queries / norm, True, axes), shift, wanted))
-    most = 3**functions
+    most = min(3**functions, buckets or 3**functions)
     found: list[tuple[float, int, float]] = []
     if not any(wanted.any() for *_, wanted in parts):
         return max(widths), most, 1.0  # no query has a candidate in the sample
@@ -159,7 +165,7 @@ def fit(sample, norm: float, share: float, k: int, widths: Iterable[float], tabl
 
 def settings(
     rows: DataFrame, queries: DataFrame, k: int, norm: float, widths: Iterable[float] = WIDTHS,
-    tables: int = TABLES, functions: int = FUNCTIONS, seed: int = SEED,
+    tables: int = TABLES, functions: int = FUNCTIONS, seed: int = SEED, buckets: int | None = BUCKETS,
 ) -> tuple[float, int, float]:
     """`fit` on at most ``SAMPLE_ROWS`` rows and ``SAMPLE_QUERIES`` queries, drawn by a hash of their id."""
     import numpy as np
@@ -176,7 +182,7 @@ def settings(
             pair = [matrix(part.column("vector")).astype(np.float64), part.column("vec_id").to_numpy()]
             by_length.setdefault(int(length), [None, None])[place] = pair
     sample = [(*r, *q) for r, q in by_length.values() if r and q]
-    return fit(sample, norm, min(1.0, most / max(1, total)), k, tuple(widths), tables, functions, seed)
+    return fit(sample, norm, min(1.0, most / max(1, total)), k, tuple(widths), tables, functions, seed, buckets)
 
 
 def _buckets(norm: float, asks: bool, tables: int, functions: int, width: float, count: int, seed: int):
@@ -324,8 +330,8 @@ def nearest(
     rows, queries = saved(rows.select("vec_id", "vector")), saved(queries.select("vec_id", "vector"))
     largest = rows.agg(F.max(norm)).first()[0] or 1.0
     if width is None or count is None:
-        widths = WIDTHS if width is None else (width,)
-        width, count, _ = settings(rows, queries, k, largest, widths, tables, functions, seed)
+        widths, limit = (WIDTHS, BUCKETS) if width is None else ((width,), None)
+        width, count, _ = settings(rows, queries, k, largest, widths, tables, functions, seed, limit)
 
     def hashed(side: DataFrame, asks: bool) -> DataFrame:
         placed = side.mapInArrow(

@@ -199,3 +199,19 @@ def test_measured_settings_of_a_table(spark, monkeypatch):
     want = brute([(i, np.float32(v).astype(float)) for i, v in rows], 20, 20, lambda a, b: float(np.dot(a, b)) if len(a) == len(b) else -9.0)
     met = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert all(len(got[q]) == 20 for q in want) and met >= 0.9 * 20 * len(want)
+
+
+def test_buckets_visited_are_bounded(spark, monkeypatch):
+    """Where many small buckets would spare rows, a query still visits a bounded number of them."""
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 1_000)
+    draw = np.random.default_rng(5)
+    x = draw.standard_normal((4_000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+    asking = rows.filter("vec_id % 20 = 0")
+    assert ann.settings(rows, asking, 20, 1.0)[1] <= 32
+    found = ann.nearest(rows, asking, 20).collect()
+    scores = x[::20] @ x.T
+    scores[np.arange(200), np.arange(0, 4_000, 20)] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    assert len({(r["query_id"], r["vec_id"]) for r in found} & {(20 * q, int(i)) for q, near in enumerate(best) for i in near}) >= 0.9 * 4_000
