@@ -559,11 +559,18 @@ def _stream_urls(delay: str | None) -> Callable:
 
 
 def _arrivals(spark, parts: list[DataFrame]) -> DataFrame:
-    """A stream that brings the parts one after the other, a batch each."""
-    folder = _scratch(spark) + "/captured"
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return S.stream_pages(spark, folder, parts[0].schema, max_files_per_trigger=1)
+    """A stream that brings the parts one after the other, a batch each. Every part is written by all cores, as one file
+    per core; where some part has too few rows for that, every part is one file."""
+    schema = parts[0].schema
+    for files in (spark.sparkContext.defaultParallelism, 1):
+        folder = _scratch(spark) + "/captured"
+        for part in parts:
+            dealt = part.repartition(files) if files > 1 else part.coalesce(1)
+            dealt.write.mode("append").parquet(folder)
+        # no part has more files than that
+        if len(spark.read.schema(schema).parquet(folder).inputFiles()) == files * len(parts):
+            break
+    return S.stream_pages(spark, folder, schema, max_files_per_trigger=files)
 
 
 def _stored(spark, sf_dir):

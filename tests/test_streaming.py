@@ -7,6 +7,7 @@ from pagemill.sources.batches import BatchTable
 from pagemill.operators.dedup import dedup_documents
 from pagemill.operators.robots import robots_rules
 from pagemill.streaming import pages as S
+from pagemill.streaming.state import run_batches
 from pagemill.streaming.store import stream_store_documents
 from tests.conftest import plan_of
 from tests.test_frontier import site
@@ -152,3 +153,32 @@ def test_batches_are_there_once(spark, tmp_path):
     assert sorted((r["n"], r["batch"]) for r in table.read().collect()) == [(1, 7), (1, 8), (2, 7)]
     assert table.write(rows.filter("n = 2"), 8, again=True).first()["n"] == 2
     assert table.read().count() == 3 and table.next_batch() == 9 and table.read([8]).count() == 1
+
+
+def arrived(spark, parts, tmp_path):
+    """(rows, partitions with rows) of every batch of a stream of ``parts``."""
+    import __spark_entry__ as entry
+
+    seen = []
+
+    def each(batch, number):
+        seen.append((sorted(r["n"] for r in batch.collect()), batch.select(F.spark_partition_id()).distinct().count()))
+
+    run_batches(entry._arrivals(spark, parts), each, str(tmp_path / "progress"))
+    return seen
+
+
+def test_arriving_parts_are_spread_over_the_cores(spark, tmp_path):
+    """A part is a batch, and no batch is one file that one task writes and parses alone."""
+    cores = spark.sparkContext.defaultParallelism
+    numbers = spark.range(6_000).select(F.col("id").alias("n"), F.repeat(F.lit("page "), 2_000).alias("html"))
+    parts = [numbers.filter(f"n % 3 = {k}") for k in (2, 0, 1)]
+    seen = arrived(spark, parts, tmp_path)
+    assert [rows for rows, _ in seen] == [list(range(k, 6_000, 3)) for k in (2, 0, 1)]
+    assert min(used for _, used in seen) >= cores // 2
+
+
+def test_small_and_empty_parts_stay_a_batch_each(spark, tmp_path):
+    numbers = spark.range(9).select(F.col("id").alias("n"))
+    parts = [numbers.filter("n < 8"), numbers.filter("n < 0"), numbers.filter("n = 8"), numbers]
+    assert [rows for rows, _ in arrived(spark, parts, tmp_path)] == [list(range(8)), [], [8], list(range(9))]
